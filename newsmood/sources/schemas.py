@@ -1,0 +1,34 @@
+"""Declared schemas of the stored tables."""
+
+from __future__ import annotations
+
+from pyspark.sql.types import StructType
+
+_DDL = {
+    "sources": "source_id string, name string, feed_url string, site_domain string, kind string, is_active boolean, "
+    "etag string, last_modified string, last_fetched_at timestamp, last_status string, consecutive_failures int",
+    "assets": "asset_id string, slug string, name string, asset_type string, description_simple string",
+    "asset_aliases": "asset_id string, alias string, is_case_sensitive boolean",
+    "stories": "story_id string, headline string, first_seen_at timestamp, last_seen_at timestamp, "
+    "article_count bigint, source_count bigint",
+    "articles": "article_id string, source_id string, url string, url_hash string, title string, excerpt string, "
+    "published_at timestamp, fetched_at timestamp, story_id string, language string",
+    "asset_mentions": "article_id string, asset_id string, sentences array<struct<id:string,text:string>>",
+    "asset_signals": "article_id string, asset_id string, stance string, strength smallint, evidence_ids array<string>, "
+    "why string, status string, failure_reason string, model string, prompt_version string, created_at timestamp",
+    "daily_mood": "asset_id string, day date, score decimal(5,3), confidence string, article_count bigint, "
+    "source_count bigint, agreement decimal(4,3)",
+    "daily_prices": "asset_id string, day date, open double, high double, low double, close double, source string, "
+    "symbol string, fetched_at timestamp",
+    "watchlists": "user_id string, asset_id string, added_at timestamp",
+    "user_settings": "user_id string, beginner_mode boolean",
+    "briefs": "user_id string, day date, level string, watchlist_hash string, "
+    "bullets array<struct<text:string,asset_slugs:array<string>,article_ids:array<string>>>, source string, "
+    "created_at timestamp",
+    "llm_calls": "call_id string, created_at timestamp, stage string, model string, prompt_hash string, "
+    "prompt_version string, input_tokens int, output_tokens int, est_cost_usd decimal(10,6), duration_ms int, "
+    "attempt int, status string, error string",
+    "job_runs": "job string, started_at timestamp, finished_at timestamp, status string, stats string",
+}
+
+TABLES = {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
