@@ -5,6 +5,8 @@ Everything here is a built-in expression, so it stays inside the JVM and inside
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,15 @@ _ENTITY = r"(?i)&(#x[0-9a-f]+|#\d+|[a-z]+);"
 _BREAK = "\u0001"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with the value computed once per row.
+
+    Written out, an expression that uses its input several times would run the regular
+    expressions below it once per use, and inside a lambda once per element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def collapse(text: Column) -> Column:
     """Runs of white space become one blank; the ends are trimmed."""
     return F.trim(F.regexp_replace(text, WS + "+", " "))
@@ -50,13 +61,13 @@ def decode_entities(text: Column) -> Column:
             .otherwise(F.coalesce(F.try_element_at(names, name), entity))
         )
 
-    entities = F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(0))
-    parts = F.split(text, _ENTITY, -1)
-    joined = F.array_join(
-        F.zip_with(parts, entities, lambda part, e: F.concat(part, F.coalesce(decoded(e), F.lit("")))),
-        "",
-    )
-    return F.when(F.instr(text, "&") > 0, joined).otherwise(text)
+    def whole(t: Column) -> Column:
+        entities = F.regexp_extract_all(t, F.lit(_ENTITY), F.lit(0))
+        parts = F.split(t, _ENTITY, -1)
+        zipped = F.zip_with(parts, entities, lambda part, e: F.concat(part, F.coalesce(decoded(e), F.lit(""))))
+        return F.when(F.instr(t, "&") > 0, F.array_join(zipped, "")).otherwise(t)
+
+    return let(text, whole)
 
 
 def strip_html(text: Column) -> Column:
@@ -69,11 +80,16 @@ def strip_html(text: Column) -> Column:
 
 def truncate(text: Column, limit: int) -> Column:
     """Cut at the last blank if it lies beyond 60 % of the limit, else at the limit."""
-    cut = F.substring(text, 1, limit)
-    from_end = F.instr(F.reverse(cut), " ")
-    last_blank = F.when(from_end > 0, F.length(cut) - from_end).otherwise(-1)
-    shortened = F.when(last_blank > limit * 0.6, F.substring(cut, F.lit(1), last_blank)).otherwise(cut)
-    return F.when(F.length(text) <= limit, text).otherwise(F.trim(shortened))
+
+    def shortened(cut: Column) -> Column:
+        from_end = F.instr(F.reverse(cut), " ")
+        last_blank = F.when(from_end > 0, F.length(cut) - from_end).otherwise(-1)
+        return F.trim(F.when(last_blank > limit * 0.6, F.substring(cut, F.lit(1), last_blank)).otherwise(cut))
+
+    return let(
+        text,
+        lambda t: F.when(F.length(t) <= limit, t).otherwise(let(F.substring(t, 1, limit), shortened)),
+    )
 
 
 def split_sentences(text: Column) -> Column:
@@ -100,12 +116,16 @@ def build_sentences(title: Column, excerpt: Column) -> Column:
     A sentence of the excerpt that repeats the title, ignoring case, is left out.
     """
     head = F.substring(collapse(F.coalesce(title, F.lit(""))), 1, config.SENTENCE_MAX)
-    rest = F.filter(split_sentences(F.coalesce(excerpt, F.lit(""))), lambda s: F.lower(s) != F.lower(head))
-    texts = F.filter(F.concat(F.array(head), rest), lambda s: s != "")
-    return F.transform(
-        texts,
-        lambda s, i: F.struct(F.concat(F.lit("S"), (i + 1).cast("string")).alias("id"), s.alias("text")),
-    )
+    pieces = split_sentences(F.coalesce(excerpt, F.lit("")))
+
+    def numbered(h: Column) -> Column:
+        texts = F.concat(F.array(h["head"]), F.filter(pieces, lambda s: F.lower(s) != h["lower"]))
+        return F.transform(
+            F.filter(texts, lambda s: s != ""),
+            lambda s, i: F.struct(F.concat(F.lit("S"), (i + 1).cast("string")).alias("id"), s.alias("text")),
+        )
+
+    return let(let(head, lambda h: F.struct(h.alias("head"), F.lower(h).alias("lower"))), numbered)
 
 
 def title_words(title: Column) -> Column:
@@ -117,11 +137,12 @@ def title_words(title: Column) -> Column:
 
 def shingles(words: Column, size: int = config.SHINGLE_WORDS) -> Column:
     """The set of word n-grams; a shorter title is the set of its words."""
-    grams = F.transform(
-        F.sequence(F.lit(0), F.size(words) - size),
-        lambda i: F.array_join(F.slice(words, i + 1, size), " "),
-    )
-    return F.array_distinct(F.when(F.size(words) < size, words).otherwise(grams))
+
+    def grams(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(w) - (size - 1))
+        return F.when(F.size(w) < size, w).otherwise(F.transform(starts, lambda i: F.array_join(F.slice(w, i, size), " ")))
+
+    return F.array_distinct(let(words, grams))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -142,11 +163,9 @@ def banned_phrase(text: Column) -> Column:
     The nouns "sell-off" and "buy-back" are reporting, so they are taken out first.
     """
     cleaned = F.regexp_replace(text, r"(?i)\b(sell-?offs?|buy-?backs?)\b", " ")
-    checks = [
-        F.when(
-            cleaned.rlike(r"(?iu)(?<![\p{L}\p{N}])" + phrase.replace(" ", r"\s+") + r"(?![\p{L}\p{N}])"),
-            F.lit(phrase),
-        )
-        for phrase in config.BANNED_PHRASES
-    ]
-    return F.coalesce(*checks)
+
+    def first_found(t: Column) -> Column:
+        whole = lambda phrase: r"(?iu)(?<![\p{L}\p{N}])" + phrase.replace(" ", r"\s+") + r"(?![\p{L}\p{N}])"
+        return F.coalesce(*[F.when(t.rlike(whole(p)), F.lit(p)) for p in config.BANNED_PHRASES])
+
+    return let(cleaned, first_found)

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from newsmood import config
-from newsmood.functions.text import WS
+from newsmood.functions.text import WS, let
 
 _PARTS = r"(?i)^(https?)://([^/?#]*)([^?#]*)(\?[^#]*)?(#[\s\S]*)?$"
 
@@ -17,31 +17,38 @@ def canonical_url(raw: Column) -> Column:
     Anything else is NULL. Percent signs, dot segments and international host names are kept as
     they are written.
     """
-    url = F.regexp_replace(raw, f"^{WS}+|{WS}+$", "")
+    return let(F.regexp_replace(raw, f"^{WS}+|{WS}+$", ""), lambda url: F.when(url.rlike(_PARTS), _rebuild(url)))
+
+
+def _rebuild(url: Column) -> Column:
     part = lambda i: F.regexp_extract(url, _PARTS, i)
-    scheme = F.lower(part(1))
-    default_port = F.when(scheme == "https", ":443").otherwise(":80")
-    authority = F.lower(part(2))
-    host = F.when(authority.endswith(":"), F.regexp_replace(authority, ":$", "")).when(
-        F.endswith(authority, default_port), F.regexp_replace(authority, ":[0-9]+$", "")
-    ).otherwise(authority)
-    path = F.when(part(3) == "", "/").otherwise(part(3))
-
-    params = F.split(F.substring(part(4), 2, 2**30), "&", -1)
-    key = lambda p: F.lower(F.substring_index(p, "=", 1))
-    kept = F.filter(
-        params, lambda p: ~(key(p).startswith(config.TRACKING_PREFIX) | key(p).isin(config.TRACKING_PARAMS))
-    )
-    query = (
-        F.when(F.size(kept) == F.size(params), part(4))
-        .when(F.size(kept) == 0, "")
-        .otherwise(F.concat(F.lit("?"), F.array_join(kept, "&")))
-    )
-    bad_host = (host == "") | host.contains("@") | host.rlike(r"[\s<>\\^|%]")
-    return F.when(
-        url.rlike(_PARTS) & ~bad_host, F.concat(scheme, F.lit("://"), host, path, query)
+    pieces = F.struct(
+        F.lower(part(1)).alias("scheme"), F.lower(part(2)).alias("authority"), part(3).alias("path"),
+        part(4).alias("query"), F.split(F.substring(part(4), 2, 2**30), "&", -1).alias("params"),
     )
 
+    def joined(p: Column) -> Column:
+        default_port = F.when(p["scheme"] == "https", ":443").otherwise(":80")
+        host = F.when(
+            p["authority"].endswith(":") | F.endswith(p["authority"], default_port),
+            F.regexp_replace(p["authority"], ":[0-9]*$", ""),
+        ).otherwise(p["authority"])
+        path = F.when(p["path"] == "", "/").otherwise(p["path"])
+        key = lambda x: F.lower(F.substring_index(x, "=", 1))
+        kept = F.filter(
+            p["params"], lambda x: ~(key(x).startswith(config.TRACKING_PREFIX) | key(x).isin(config.TRACKING_PARAMS))
+        )
+        query = let(
+            kept,
+            lambda k: F.when(F.size(k) == F.size(p["params"]), p["query"])
+            .when(F.size(k) == 0, "")
+            .otherwise(F.concat(F.lit("?"), F.array_join(k, "&"))),
+        )
+        bad_host = (host == "") | host.contains("@") | host.rlike(r"[\s<>\\^|%]")
+        return F.when(~bad_host, F.concat(p["scheme"], F.lit("://"), host, path, query))
+
+    return let(pieces, joined)
+
 
 def url_hash(canonical: Column) -> Column:
     return F.sha2(canonical, 256)

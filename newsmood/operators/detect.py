@@ -10,6 +10,8 @@ from newsmood.functions import numbers, text
 from newsmood.operators.dedupe import unseen
 
 _WORD = r"[\p{L}\p{N}]+"
+# First words that may be used inside every row; a larger catalogue is joined instead.
+ANCHOR_LIMIT = 2000
 
 
 def alias_pattern(alias: Column, case_sensitive: Column) -> Column:
@@ -34,51 +36,73 @@ def with_sentences(articles: DataFrame) -> DataFrame:
     return articles.select("article_id", text.build_sentences(F.col("title"), F.col("excerpt")).alias("sentences"))
 
 
-def evidence_window(sentences: Column, hits: Column, limit: int = config.MAX_MENTION_SENTENCES) -> Column:
+def evidence_window(near: Column, hits: Column, limit: int = config.MAX_MENTION_SENTENCES) -> Column:
     """The sentences to keep, from the 0-based positions that mention the asset.
 
+    `near` holds {i, s}: the mentioning sentences and their neighbours with their positions.
     Mentions take the places first, then their neighbours in the order of the mentions (left
     before right); the result is in text order.
     """
     first_hits = F.slice(F.array_sort(F.array_distinct(hits)), 1, limit)
-    last = F.size(sentences) - 1
-    neighbours = F.flatten(
-        F.transform(first_hits, lambda i: F.filter(F.array(i - 1, i + 1), lambda n: (n >= 0) & (n <= last)))
-    )
-    chosen = F.slice(F.array_distinct(F.concat(first_hits, neighbours)), 1, limit)
-    return F.transform(F.array_sort(chosen), lambda i: F.get(sentences, i))
+
+    def window(n: Column) -> Column:
+        known = F.transform(n, lambda x: x["i"])
+        both_sides = lambda h: F.flatten(F.transform(h, lambda i: F.array(i - 1, i + 1)))
+        chosen = text.let(
+            first_hits,
+            lambda h: F.slice(
+                F.array_distinct(F.concat(h, F.filter(both_sides(h), lambda i: F.array_contains(known, i)))), 1, limit
+            ),
+        )
+        kept = text.let(chosen, lambda c: F.filter(n, lambda x: F.array_contains(c, x["i"])))
+        return F.transform(F.array_sort(kept), lambda x: x["s"])
+
+    return text.let(F.array_distinct(near), window)
 
 
 def match_assets(sentenced: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Mentions (article_id, asset_id, hits, sentences) of each asset in each article.
+    """Mentions (article_id, asset_id, sentences) of each asset in each article.
 
     Instead of testing every alias on every sentence, the article's words meet the aliases on the
     alias's first word (an alias starts and ends at a word edge, so none is lost) and only those
-    few pairs are tested with the pattern. The alias side is small; Spark broadcasts it when its
-    measured size allows and shuffles on the word otherwise.
+    few pairs are tested with the pattern.
+
+    A catalogue of up to ANCHOR_LIMIT first words is checked for its size and then used to drop all
+    other words inside the row, so a text is carried only by the words that can match. With a
+    larger one the words travel without the text, which is joined back to the pairs that are left.
     """
     compiled = compile_aliases(aliases)
-    words = F.array_distinct(
-        F.flatten(F.transform("sentences", lambda s: F.regexp_extract_all(F.lower(s["text"]), F.lit(_WORD), F.lit(0))))
-    )
-    candidates = (
-        sentenced.select("article_id", "sentences", F.explode(F.concat(F.array(F.lit("")), words)).alias("anchor"))
-        .join(compiled, "anchor")
-    )
+    text_words = F.regexp_extract_all(F.lower(F.array_join(F.col("sentences.text"), " ")), F.lit(_WORD), F.lit(0))
+    words = F.concat(F.array(F.lit("")), text_words)
+    anchors = [r.anchor for r in compiled.select("anchor").distinct().limit(ANCHOR_LIMIT + 1).collect()]
+    if len(anchors) <= ANCHOR_LIMIT:
+        known = F.array(*[F.lit(a) for a in anchors]).cast("array<string>")
+        candidates = sentenced.select(
+            "article_id", "sentences", F.explode(F.array_intersect(words, known)).alias("anchor")
+        ).join(compiled, "anchor")
+    else:
+        pairs = sentenced.select("article_id", F.explode(F.array_distinct(words)).alias("anchor")).join(compiled, "anchor")
+        candidates = pairs.join(sentenced, "article_id")
     hit_positions = F.filter(
         F.transform("sentences", lambda s, i: F.when(F.regexp(s["text"], F.col("pattern")), i)), lambda i: i.isNotNull()
     )
     tested = candidates.select(
         "article_id", "asset_id", "sentences", F.slice(hit_positions, 1, config.MAX_MENTION_SENTENCES).alias("hits")
     ).where(F.size("hits") > 0)
-    # The first six positions of each alias hold the first six of the asset.
-    per_asset = tested.groupBy("article_id", "asset_id").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("hits")))).alias("hits"),
-        F.any_value("sentences").alias("sentences"),
+    # An alias keeps its first six positions, which hold the first six of the asset, and only the
+    # sentences around them: whole texts do not cross the shuffle.
+    around = text.let(
+        F.col("hits"),
+        lambda h: F.array_distinct(F.flatten(F.transform(h, lambda i: F.array(i - 1, i, i + 1)))),
+    )
+    near = F.filter(
+        F.transform(around, lambda i: F.struct(i.alias("i"), F.get(F.col("sentences"), i).alias("s"))),
+        lambda x: x["s"].isNotNull(),
     )
-    return per_asset.select(
-        "article_id", "asset_id", evidence_window(F.col("sentences"), F.col("hits")).alias("sentences")
+    per_asset = tested.select("article_id", "asset_id", "hits", near.alias("near")).groupBy("article_id", "asset_id").agg(
+        F.flatten(F.collect_set("hits")).alias("hits"), F.flatten(F.collect_set("near")).alias("near")
     )
+    return per_asset.select("article_id", "asset_id", evidence_window(F.col("near"), F.col("hits")).alias("sentences"))
 
 
 def mention_rows(articles: DataFrame, aliases: DataFrame, stored: DataFrame | None = None) -> DataFrame:

@@ -185,10 +185,10 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     "raw_candles": ([], """
         SELECT 'SYM' || (l_suppkey % 12) AS symbol,
                CAST(CAST(epoch(l_shipdate) AS BIGINT) + (l_orderkey * 10 + l_linenumber) % 86400 AS VARCHAR) AS epoch,
-               CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 'n/a' ELSE printf('%.2f', l_extendedprice) END AS open,
-               printf('%.2f', l_extendedprice * 2 * (1 + l_tax)) AS high,
-               printf('%.2f', l_extendedprice * 2 * (1 + l_discount / 2)) AS low,
-               CASE WHEN l_quantity = 1 THEN '0' ELSE printf('%.2f', l_extendedprice) END AS close
+               CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 'n/a' ELSE CAST(l_extendedprice AS VARCHAR) END AS open,
+               CAST(l_extendedprice * 2 * (1 + l_tax) AS VARCHAR) AS high,
+               CAST(l_extendedprice * 2 * (1 + l_discount / 2) AS VARCHAR) AS low,
+               CASE WHEN l_quantity = 1 THEN '0' ELSE CAST(l_extendedprice AS VARCHAR) END AS close
         FROM lineitem"""),
     "candles": (["raw_candles"], """
         SELECT symbol, o.epoch, o.open, o.high, o.low, o.close FROM (

@@ -222,7 +222,7 @@ class Views:
     def raw_candles(self) -> DataFrame:
         """Text fields; discounts above the tax give high < low, returns give text that is no number."""
         price = F.col("l_extendedprice")
-        as_text = lambda c: F.format_string("%.2f", c)
+        as_text = lambda c: c.cast("string")
         return self.table("lineitem").select(
             F.concat(F.lit("SYM"), (F.col("l_suppkey") % 12).cast("string")).alias("symbol"),
             (F.unix_seconds("l_shipdate") + (F.col("l_orderkey") * 10 + F.col("l_linenumber")) % 86400).cast("string").alias("epoch"),
