@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
-
-_DDL = {
+TABLES = {
     "sources": "source_id string, name string, feed_url string, site_domain string, kind string, is_active boolean, "
     "etag string, last_modified string, last_fetched_at timestamp, last_status string, consecutive_failures int",
     "assets": "asset_id string, slug string, name string, asset_type string, description_simple string",
@@ -30,5 +28,3 @@ _DDL = {
     "attempt int, status string, error string",
     "job_runs": "job string, started_at timestamp, finished_at timestamp, status string, stats string",
 }
-
-TABLES = {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}

@@ -29,7 +29,12 @@ def upsert(batch: DataFrame, stored: DataFrame, keys: Sequence[str], order: Sequ
     return stored.join(fresh.select(*keys), list(keys), "left_anti").select(*stored.columns).unionByName(fresh)
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def column_names(ddl: str) -> list[str]:
+    """Column names of a schema text whose columns are separated by a comma and a blank."""
+    return [column.split()[0] for column in ddl.split(", ")]
+
+
+def read_table(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """A stored table, or an empty one before its first write."""
     try:
         return spark.read.schema(schema).parquet(path)
