@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 
 from newsmood import config
 
-# Every character the feeds' producers treat as white space, not only the ASCII ones.
-WS = r"[\s\x0b\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+# Every character the feeds' producers treat as white space, not only the ASCII ones. The range
+# before && keeps the many letters that are no white space down to two cheap tests each.
+WS = (
+    r"[\x09\x0a\x0b\x0c\x0d\x20\xa0"
+    r"[\x{1680}-\x{feff}&&[\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]]]"
+)
 _ENTITY = r"(?i)&(#x[0-9a-f]+|#\d+|[a-z]+);"
 _BREAK = "\u0001"
 

@@ -30,27 +30,23 @@ def example_id(article_id: Column, slug: Column) -> Column:
 def hard_cases(mentions: DataFrame, aliases: DataFrame) -> DataFrame:
     """Bucket of every mention: not_in_title, multi_asset (three or more assets), standard.
 
-    The headline is sentence S1. Assets per article are counted by an aggregation joined back; an
-    article has at most as many mentions as the catalogue has assets.
+    The headline is sentence S1. An article has at most as many mentions as the catalogue has
+    assets, so its mentions are counted by a window; the patterns of an asset are one short list.
     """
-    per_article = mentions.groupBy("article_id").agg(F.count("*").alias("assets"))
+    patterns = compile_aliases(aliases).groupBy("asset_id").agg(F.collect_list("pattern").alias("patterns"))
     headline = F.get(F.filter("sentences", lambda s: s["id"] == "S1"), F.lit(0))["text"]
-    titled = (
-        mentions.select("article_id", "asset_id", headline.alias("headline"))
-        .join(compile_aliases(aliases), "asset_id")
-        .where(F.regexp("headline", F.col("pattern")))
-        .select("article_id", "asset_id")
-        .distinct()
-        .withColumn("in_title", F.lit(True))
-    )
-    bucket = (
-        F.when(F.col("in_title").isNull(), "not_in_title")
-        .when(F.col("assets") >= config.HARD_ASSETS_PER_ARTICLE, "multi_asset")
-        .otherwise("standard")
-    )
+    in_title = F.exists("patterns", lambda p: F.coalesce(F.regexp(headline, p), F.lit(False)))
+    assets = F.count("*").over(Window.partitionBy("article_id"))
     return (
-        mentions.join(per_article, "article_id").join(titled, ["article_id", "asset_id"], "left")
-        .withColumn("bucket", bucket).drop("assets", "in_title")
+        mentions.withColumn("assets", assets)
+        .join(patterns, "asset_id", "left")
+        .withColumn(
+            "bucket",
+            F.when(~F.coalesce(in_title, F.lit(False)), "not_in_title")
+            .when(F.col("assets") >= config.HARD_ASSETS_PER_ARTICLE, "multi_asset")
+            .otherwise("standard"),
+        )
+        .drop("assets", "patterns")
     )
 
 
@@ -91,6 +87,8 @@ def stratified_sample(
     Only the numbers of rows picked come back to the driver.
     """
     spark = candidates.sparkSession
+    # Read by every stage; four short columns of each candidate.
+    candidates = checkpoint(candidates.select("key", "asset", "source", "hard"))
     if existing is None:
         existing = spark.createDataFrame([], "asset string, hard boolean")
     have, have_hard = existing.agg(F.count("*"), F.count_if("hard")).first()

@@ -132,7 +132,7 @@ def best_parents(
         F.floor(F.unix_seconds("at") / window_seconds).alias("block"),
         numbers.hours_before(F.col("at"), window_hours).alias("since"),
     )
-    # Read three times below; the cut also keeps the plan of the chain loop short.
+    # Tables that several of the following joins read are computed once and cut from their plan.
     pool = checkpoint(pool)
     probes = pool.where("NOT is_stored")
 
@@ -143,43 +143,39 @@ def best_parents(
     )
 
     def hits(members: DataFrame, asked: DataFrame, key: str) -> DataFrame:
-        """asked: id, at, since, key, is_stored, similarity -> candidates (stored flag renamed)."""
+        """The best earlier hit of each asking article; asked: id, at, since, key, is_stored, similarity."""
         found = first_at_or_after(members.select(key, "is_stored", "at", "id"), asked, [key, "is_stored"])
+        hit = F.struct(
+            (-F.col("similarity")).alias("distance"), (~F.col("is_stored_hit")).alias("is_new"), "hit_at", "hit_id"
+        )
         return (
             asked.join(found, [key, "is_stored", "since"])
             .withColumnRenamed("is_stored", "is_stored_hit")
             .where(earlier)
-            .select(
-                "id",
-                F.struct(
-                    (-F.col("similarity")).alias("distance"),
-                    (~F.col("is_stored_hit")).alias("is_new"),
-                    "hit_at",
-                    "hit_id",
-                ).alias("hit"),
-            )
+            .groupBy("id")
+            .agg(F.min(hit).alias("hit"))
         )
 
     flags = [False] if recent is None else [False, True]
     both = F.explode(F.array(*[F.lit(f) for f in flags])).alias("is_stored")
-    copies = hits(pool, probes.select("id", "at", "since", "set_key", both, F.lit(1.0).alias("similarity")), "set_key")
-    copies = copies.groupBy("id").agg(F.min("hit").alias("hit"))
+    exact = probes.select("id", "at", "since", "set_key", both, F.lit(1.0).alias("similarity"))
+    copies = checkpoint(hits(pool, exact, "set_key"))
 
-    classes = shingle_classes(pool.select("set_key", "shingles").dropDuplicates(["set_key"]), threshold)
-    classed = pool.drop("shingles").join(classes, "set_key")
+    classes = checkpoint(shingle_classes(pool.select("set_key", "shingles").dropDuplicates(["set_key"]), threshold))
+    tokens_of = classes.select("class_key", "n", "tokens").dropDuplicates(["class_key"])
+    classed = pool.drop("shingles").join(classes.select("set_key", "class_key"), "set_key")
     open_probes = classed.where("NOT is_stored").join(copies.select("id"), "id", "left_anti")
-    active = ["class_key", "n", "tokens", "block"]
     matches = similar_classes(
-        open_probes.select(*active).dropDuplicates(["class_key", "block"]),
-        classed.select(*active, "is_stored").dropDuplicates(["class_key", "block", "is_stored"]),
+        open_probes.select("class_key", "block").distinct().join(tokens_of, "class_key"),
+        classed.select("class_key", "block", "is_stored").distinct().join(tokens_of, "class_key"),
         threshold,
     )
-    asked = (
+    asked = checkpoint(
         open_probes.select("id", "at", "since", F.col("class_key").alias("probe_class"), F.col("block").alias("probe_block"))
         .join(matches, ["probe_class", "probe_block"])
         .select("id", "at", "since", "class_key", "is_stored", "similarity")
     )
-    near = hits(classed, asked, "class_key").groupBy("id").agg(F.min("hit").alias("hit"))
+    near = hits(classed, asked, "class_key")
     return copies.unionByName(near).select(
         F.col("id").alias("article_id"),
         F.col("hit.hit_id").alias("parent_id"),
@@ -191,11 +187,11 @@ def best_parents(
 def chain_roots(parents: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Follows parent links to their ends: article_id, root_id, root_is_stored.
 
-    Pointer jumping: every round doubles the length of the links, so the rounds grow with the
+    `parents` should be a stored or checkpointed table. Pointer jumping: every round doubles the length of the links, so the rounds grow with the
     logarithm of the longest chain. Each round is checkpointed and only the open links are joined.
     """
-    links = checkpoint(
-        parents.select("article_id", F.col("parent_id").alias("root_id"), F.col("parent_is_stored").alias("root_is_stored"))
+    links = parents.select(
+        "article_id", F.col("parent_id").alias("root_id"), F.col("parent_is_stored").alias("root_is_stored")
     )
     for _ in range(max_rounds):
         step = links.select(
