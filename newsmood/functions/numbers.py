@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from newsmood import config
+from newsmood.functions.text import let
 
 
 def round3(x: Column) -> Column:
@@ -69,6 +70,11 @@ def parse_date(text: Column) -> Column:
     return F.coalesce(iso, *[F.when(zoned.rlike(r"^\d{1,2} [A-Za-z]{3} \d{2,4} "), r) for r in rfc])
 
 
+def published_at(text: Column, now: Column) -> Column:
+    """The date of an item, not later than now; NULL if there is none."""
+    return let(parse_date(text), lambda at: F.when(at > now, now).otherwise(at))
+
+
 def allowed_stances(asset_type: Column) -> Column:
     lits = lambda xs: F.array(*[F.lit(x) for x in xs])
     return F.when(asset_type == "central_bank", lits(config.CENTRAL_BANK_STANCES)).otherwise(

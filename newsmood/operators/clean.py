@@ -23,7 +23,7 @@ def normalise_items(items: DataFrame, as_of) -> DataFrame:
         text.truncate(text.strip_html(F.coalesce("title", F.lit(""))), config.TITLE_MAX).alias("title"),
         urls.canonical_url(F.col("link")).alias("url"),
         text.truncate(text.strip_html(F.coalesce("summary", F.lit(""))), config.EXCERPT_MAX).alias("excerpt"),
-        F.least(numbers.parse_date(F.col("date")), now).alias("published_at"),
+        numbers.published_at(F.col("date"), now).alias("published_at"),
     )
     too_old = F.col("published_at") < numbers.days_before(now, config.MAX_AGE_DAYS)
     return cleaned.withColumns(

@@ -155,9 +155,8 @@ def truncate_on_words(v):
 
 @query("B6", f"SELECT page_id, {_stamp_sql('item_at')} AS published_at, item_at < TIMESTAMP '2024-01-24' AS too_old FROM feed_items", "feed_items")
 def date_rule(v):
-    at = numbers.parse_date(F.col("date"))
     now = numbers.instant(AS_OF)
-    return v.feed_items.select("page_id", F.least(at, now).alias("at")).select(
+    return v.feed_items.select("page_id", numbers.published_at(F.col("date"), now).alias("at")).select(
         "page_id", stamp("at").alias("published_at"), (F.col("at") < numbers.days_before(now, 7)).alias("too_old")
     )
 

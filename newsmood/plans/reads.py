@@ -182,7 +182,7 @@ def visible_rows(v):
   UNION ALL SELECT 'sources', 'feed_url_https', CAST(count_if(feed_url NOT LIKE 'https://%') AS BIGINT) FROM sources
   UNION ALL SELECT 'sources', 'kind', CAST(count_if(kind NOT IN ('central_bank','news','markets')) AS BIGINT) FROM sources
   UNION ALL SELECT 'assets', 'slug_format', CAST(count_if(NOT regexp_matches(slug, '^[a-z0-9-]{2,30}$')) AS BIGINT) FROM part_assets
-  UNION ALL SELECT 'assets', 'asset_type', CAST(count_if(asset_type IS NULL) AS BIGINT) FROM part_assets WHERE false
+  UNION ALL SELECT 'assets', 'asset_type', CAST(count_if(asset_type NOT IN ('currency_pair','commodity','index','stock','crypto','central_bank')) AS BIGINT) FROM part_assets
   UNION ALL SELECT 'asset_aliases', 'alias_length', CAST(count_if(length(alias) NOT BETWEEN 1 AND 60) AS BIGINT) FROM part_aliases
   UNION ALL SELECT 'asset_mentions', 'sentences_size', CAST(count_if(len(sids) NOT BETWEEN 1 AND 6) AS BIGINT) FROM mentions
   UNION ALL SELECT 'daily_prices', 'high_low_close', CAST(count_if(NOT (high >= low AND close > 0)) AS BIGINT) FROM (
@@ -190,7 +190,7 @@ def visible_rows(v):
   UNION ALL SELECT 'daily_mood', 'score_range', CAST(count_if(score NOT BETWEEN -1 AND 1) AS BIGINT) FROM mood
   UNION ALL SELECT 'daily_mood', 'confidence', CAST(count_if(confidence NOT IN ('low','medium','high')) AS BIGINT) FROM mood
   UNION ALL SELECT 'llm_calls', 'stage', CAST(count_if(stage NOT IN ('stance','brief')) AS BIGINT) FROM calls
-  UNION ALL SELECT 'llm_calls', 'status', CAST(0 AS BIGINT) FROM calls GROUP BY ALL
+  UNION ALL SELECT 'llm_calls', 'status', CAST(count_if(status NOT IN ('ok','schema_retry','failed','timeout','rate_limited')) AS BIGINT) FROM calls
   UNION ALL SELECT 'asset_signals', 'stance', CAST(count_if(stance NOT IN ('bullish','bearish','hawkish','dovish','neutral','unclear')) AS BIGINT) FROM signals
   UNION ALL SELECT 'asset_signals', 'strength', CAST(count_if(strength NOT BETWEEN 0 AND 3) AS BIGINT) FROM signals
   UNION ALL SELECT 'asset_signals', 'status', CAST(count_if(status NOT IN ('ok','unclear','failed')) AS BIGINT) FROM signals
