@@ -10,7 +10,6 @@ from newsmood.functions import numbers
 from newsmood.operators.dedupe import first_per_key
 
 _FIELDS = ["epoch", "open", "high", "low", "close"]
-_NUMBER = r"^\s*([+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?)?\s*$"
 
 
 def valid_candles(raw: DataFrame) -> DataFrame:
@@ -20,8 +19,10 @@ def valid_candles(raw: DataFrame) -> DataFrame:
     """
 
     def number(name: str) -> Column:
-        as_text = F.col(name).cast("string")
-        value = F.when(F.trim(as_text) == "", 0.0).when(as_text.rlike(_NUMBER), F.trim(as_text).try_cast("double"))
+        as_text = F.trim(F.col(name).cast("string"))
+        # The cast also takes Java's type suffixes, which are no part of a number here.
+        suffixed = F.lower(F.right(as_text, F.lit(1))).isin("d", "f")
+        value = F.when(as_text == "", 0.0).when(~suffixed, as_text.try_cast("double"))
         return F.when(F.abs(value) < float("inf"), value)
 
     typed = raw.withColumns({name: number(name) for name in _FIELDS})

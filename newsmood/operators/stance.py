@@ -255,5 +255,6 @@ def usage_rollup(calls: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == "rate_limited").alias("rate_limited"),
         tokens("input_tokens").alias("input_tokens"),
         tokens("output_tokens").alias("output_tokens"),
-        F.round(F.coalesce(F.sum("est_cost_usd"), F.lit(0.0)), 6).alias("cost_usd"),
+        # Added up as decimals, so the sum does not depend on the order of the calls.
+        F.coalesce(F.round(F.sum(F.col("est_cost_usd").cast("decimal(20,10)")), 6), F.lit(0)).cast("double").alias("cost_usd"),
     )

@@ -10,11 +10,16 @@ How the work stays small on skewed data:
   settled by an as-of lookup, without any comparison;
 * a shingle that only one set holds can never be shared, so sets that differ only in such shingles
   (templates with a number or a date in them) are one class and are compared once;
-* classes meet only on their rarest shingles (prefix filter), only if sizes and positions still
-  allow the threshold, and only if they are active within the window of each other;
-* within a matched class, the first member in the window comes from the same as-of lookup.
-
-What remains grows with the pairs of *classes* that really are similar inside one window.
+* classes meet on a rare shingle, whose list is short by definition, only if sizes and positions
+  still allow the threshold, and only if they are active within the window of each other;
+* two headlines that share frequent shingles only are as similar as their frequent parts say, so
+  for those pairs all classes with the same frequent part are one family, and families are matched
+  instead of classes: a template filled with thousands of names is one family;
+* within a matched class or family, the first member in the window comes from the same as-of
+  lookup. A family may understate the similarity of a member that shares a rare shingle as well;
+  that member's own class then brings its true, higher value.
+
+So no list of all pairs within a group of similar headlines is ever built.
 """
 
 from __future__ import annotations
@@ -30,6 +35,8 @@ from newsmood.operators.asof import first_at_or_after
 from newsmood.session import checkpoint
 
 _SEP = "\u0001"
+# A shingle that more distinct headlines than this hold counts as frequent.
+FREQUENT_SHINGLE = 200
 
 
 def with_shingles(articles: DataFrame) -> DataFrame:
@@ -45,29 +52,56 @@ def _overlap_needed(n: Column, m: Column, threshold: float) -> Column:
     return F.ceil((n + m) * (threshold / (1 + threshold)) - 1e-9)
 
 
-def shingle_classes(sets: DataFrame, threshold: float = config.JOIN_THRESHOLD) -> DataFrame:
-    """set_key -> class: the shingles that at least two sets hold, rarest first, and the set size.
+def _class_key(kind: str) -> Column:
+    return F.sha2(F.concat_ws(_SEP, F.lit(kind), F.col("n").cast("string"), F.array_join("tokens", _SEP)), 256)
+
+
+def _reaches(threshold: float) -> Column:
+    """Whether enough tokens are left to reach the threshold with any other set."""
+    return F.size("tokens") >= F.ceil(F.col("n") * threshold - 1e-9)
 
-    Two different sets share exactly the shingles their classes share, so similarity is a property
-    of the classes. Sets left with too few shingles to reach the threshold have no class.
+
+def shingle_classes(
+    sets: DataFrame, threshold: float = config.JOIN_THRESHOLD, frequent: int = FREQUENT_SHINGLE
+) -> DataFrame:
+    """set_key, n, tokens, rare, class_key of every set that can be similar to another one.
+
+    `tokens` are the shingles that at least two sets hold, rarest first, and `rare` is how many of
+    them at most `frequent` sets hold. Two different sets share exactly the shingles their classes
+    share, so similarity is a property of the classes.
     """
     postings = sets.select("set_key", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     shared = postings.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
     return (
         postings.join(shared, "shingle")
         .groupBy("set_key", "n")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).getField("shingle").alias("tokens"))
-        .where(F.size("tokens") >= F.ceil(F.col("n") * threshold - 1e-9))
-        .withColumn(
-            "class_key", F.sha2(F.concat_ws(_SEP, F.col("n").cast("string"), F.array_join("tokens", _SEP)), 256)
+        .agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("counted"))
+        .select(
+            "set_key", "n", F.col("counted.shingle").alias("tokens"),
+            F.size(F.filter("counted", lambda t: t["df"] <= frequent)).alias("rare"),
         )
+        .where(_reaches(threshold))
+        .withColumn("class_key", _class_key("class"))
+    )
+
+
+def shingle_families(classes: DataFrame, threshold: float = config.JOIN_THRESHOLD) -> DataFrame:
+    """set_key, n, tokens, class_key of the frequent parts, for sets where these reach far enough."""
+    return (
+        classes.withColumn("tokens", F.slice("tokens", F.col("rare") + 1, F.size("tokens")))
+        .where((F.size("tokens") > 0) & _reaches(threshold))
+        .select("set_key", "n", "tokens", F.size("tokens").alias("rare"), _class_key("family").alias("class_key"))
     )
 
 
 def _prefix(threshold: float) -> Column:
-    """The rarest tokens of which two similar classes must share at least one, with positions."""
+    """The rarest tokens of which two similar classes must share at least one, with positions.
+
+    Only rare tokens: a pair that shares a rare token has it as its first common one.
+    """
     needed = F.ceil(F.col("n") * threshold - 1e-9)
-    return F.posexplode(F.slice("tokens", 1, (F.size("tokens") - needed + 1).cast("int"))).alias("pos", "token")
+    length = F.least(F.size("tokens") - needed + 1, F.col("rare")).cast("int")
+    return F.posexplode(F.slice("tokens", 1, length)).alias("pos", "token")
 
 
 def similar_classes(
@@ -75,7 +109,7 @@ def similar_classes(
 ) -> DataFrame:
     """Pairs of classes with Jaccard similarity >= threshold that are active near each other.
 
-    `probes`: class_key, n, tokens, block. `candidates`: the same and is_stored. A probe looks at
+    `probes`: class_key, n, tokens, rare, block. `candidates`: the same and is_stored. A probe looks at
     its own time block and the one before, and for stored articles also at the next one. Exact:
     every filter only removes pairs that cannot reach the threshold.
     """
@@ -162,20 +196,29 @@ def best_parents(
     copies = checkpoint(hits(pool, exact, "set_key"))
 
     classes = checkpoint(shingle_classes(pool.select("set_key", "shingles").dropDuplicates(["set_key"]), threshold))
-    tokens_of = classes.select("class_key", "n", "tokens").dropDuplicates(["class_key"])
-    classed = pool.drop("shingles").join(classes.select("set_key", "class_key"), "set_key")
-    open_probes = classed.where("NOT is_stored").join(copies.select("id"), "id", "left_anti")
-    matches = similar_classes(
-        open_probes.select("class_key", "block").distinct().join(tokens_of, "class_key"),
-        classed.select("class_key", "block", "is_stored").distinct().join(tokens_of, "class_key"),
-        threshold,
-    )
-    asked = checkpoint(
-        open_probes.select("id", "at", "since", F.col("class_key").alias("probe_class"), F.col("block").alias("probe_block"))
-        .join(matches, ["probe_class", "probe_block"])
-        .select("id", "at", "since", "class_key", "is_stored", "similarity")
-    )
-    near = hits(classed, asked, "class_key")
+    slim = pool.drop("shingles").join(copies.select("id", F.lit(True).alias("settled")), "id", "left")
+
+    def near_hits(grouped: DataFrame) -> DataFrame:
+        """Best hits through one grouping of the sets; articles with an earlier copy do not ask."""
+        tokens_of = grouped.select("class_key", "n", "tokens", "rare").dropDuplicates(["class_key"])
+        members = slim.join(grouped.select("set_key", "class_key"), "set_key")
+        probing = members.where("NOT is_stored AND settled IS NULL")
+        matches = similar_classes(
+            probing.select("class_key", "block").distinct().join(tokens_of, "class_key"),
+            members.select("class_key", "block", "is_stored").distinct().join(tokens_of, "class_key"),
+            threshold,
+        )
+        asked = checkpoint(
+            probing.select("id", "at", "since", F.col("class_key").alias("probe_class"), F.col("block").alias("probe_block"))
+            .join(matches, ["probe_class", "probe_block"])
+            .select("id", "at", "since", "class_key", "is_stored", "similarity")
+        )
+        return hits(members, asked, "class_key")
+
+    near = near_hits(classes)
+    families = shingle_families(classes, threshold)
+    if not families.isEmpty():
+        near = near.unionByName(near_hits(families)).groupBy("id").agg(F.min("hit").alias("hit"))
     return copies.unionByName(near).select(
         F.col("id").alias("article_id"),
         F.col("hit.hit_id").alias("parent_id"),

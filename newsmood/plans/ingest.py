@@ -211,22 +211,29 @@ def title_shingles(v):
 
 
 @query("D3 D4", """SELECT a, b, round(inter / (na + nb - inter), 6) AS similarity FROM (
-  SELECT x.key AS a, y.key AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS inter
-  FROM keyed x JOIN keyed y ON x.shingle = y.shingle AND x.key < y.key GROUP BY x.key, y.key)
+  SELECT x.label AS a, y.label AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS inter
+  FROM tokens x JOIN tokens y ON x.shingle = y.shingle AND x.label <= y.label GROUP BY x.label, y.label)
   WHERE inter / (na + nb - inter) >= 0.5""", "shingle_sets",
-       recursive="""keyed AS (SELECT array_to_string(sh, '|') AS key, len(sh) AS n, unnest(sh) AS shingle
-         FROM (SELECT DISTINCT list_sort(sh) AS sh FROM shingle_sets WHERE len(sh) > 0))""")
+       recursive="""sets AS (SELECT DISTINCT list_sort(sh) AS sh FROM shingle_sets WHERE len(sh) > 0),
+         spread AS (SELECT row_number() OVER () AS id, sh, len(sh) AS n FROM sets),
+         held AS (SELECT id, n, shingle, count(*) OVER (PARTITION BY shingle) AS df FROM (SELECT id, n, unnest(sh) AS shingle FROM spread)),
+         classes AS (SELECT DISTINCT n, list(shingle ORDER BY shingle) AS kept FROM held WHERE df > 1 GROUP BY id, n),
+         tokens AS (SELECT n || ':' || array_to_string(kept, '|') AS label, n, unnest(kept) AS shingle FROM classes)""")
 def similar_headlines(v):
-    """Pairs of different headline shingle sets with Jaccard similarity of at least 0.5."""
+    """Pairs of headline classes with Jaccard similarity of at least 0.5, a class with itself included.
+
+    A class is a number of shingles and those of them that other headlines share.
+    """
     sets = stories.with_shingles(v.articles).select("set_key", "shingles").dropDuplicates(["set_key"])
-    classes = stories.shingle_classes(sets)
-    active = classes.select("class_key", "n", "tokens", F.lit(0).cast("long").alias("block")).dropDuplicates(["class_key"])
+    # Every shingle counts as rare here, so that classes meet on all of them.
+    classes = stories.shingle_classes(sets, frequent=2**31 - 1).dropDuplicates(["class_key"])
+    label = F.concat(F.col("n").cast("string"), F.lit(":"), F.array_join(F.array_sort("tokens"), "|"))
+    active = classes.select("class_key", "n", "tokens", "rare", F.lit(0).cast("long").alias("block"))
     matches = stories.similar_classes(active, active.withColumn("is_stored", F.lit(False)))
-    named = classes.join(sets.withColumn("label", F.array_join("shingles", "|")), "set_key").select("class_key", "label")
     return (
-        matches.join(named.select(F.col("class_key").alias("probe_class"), F.col("label").alias("a")), "probe_class")
-        .join(named.select("class_key", F.col("label").alias("b")), "class_key")
-        .where("a < b")
+        matches.join(classes.select(F.col("class_key").alias("probe_class"), label.alias("a")), "probe_class")
+        .join(classes.select("class_key", label.alias("b")), "class_key")
+        .where("a <= b")
         .select("a", "b", F.round("similarity", 6).alias("similarity"))
     )
 

@@ -17,14 +17,9 @@ _AT = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 SOURCE = "coalesce(s.name, 'Unknown source') AS source"
 
 
-@query("I1", "SELECT asset_id, slug, name, asset_type, row_number() OVER (ORDER BY asset_type, name, asset_id) AS place FROM part_assets", "part_assets")
+@query("I1", "SELECT asset_id, slug, name, asset_type FROM part_assets ORDER BY asset_type, name, asset_id", "part_assets")
 def ordered_catalogue(v):
-    """The catalogue in page order; the place is the row's position in the sorted output."""
-    ordered = catalogue.ordered_catalogue(catalogue.asset_rows(v.part_records))
-    # zipWithIndex numbers rows by the sorted partitions; no single task holds them all.
-    schema = "asset_id string, slug string, name string, asset_type string, place long"
-    rows = ordered.select("asset_id", "slug", "name", "asset_type").rdd.zipWithIndex().map(lambda r: (*r[0], r[1] + 1))
-    return v.spark.createDataFrame(rows, schema)
+    return catalogue.ordered_catalogue(catalogue.asset_rows(v.part_records)).select("asset_id", "slug", "name", "asset_type")
 
 
 @query("I1", "SELECT asset_id, slug, name, asset_type FROM part_assets WHERE slug = 'small-ring-0'", "part_assets")

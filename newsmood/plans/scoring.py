@@ -177,11 +177,11 @@ def validation_health(v):
 
 
 @query("F11", """SELECT stage, model, status, count(*) AS calls, CAST(count(input_tokens) AS BIGINT) AS priced,
-  round(sum((input_tokens * 0.15 + output_tokens * 0.6) / 1000000), 6) AS cost FROM calls GROUP BY ALL""", "calls")
+  CAST(sum(CAST((input_tokens * 0.15 + output_tokens * 0.6) / 1000000 AS DECIMAL(20,10))) AS DOUBLE) AS cost FROM calls GROUP BY ALL""", "calls")
 def call_costs(v):
     cost = stance.call_cost(F.col("input_tokens"), F.col("output_tokens"), 0.15, 0.6)
     return v.calls.withColumn("cost", cost).groupBy("stage", "model", "status").agg(
-        F.count("*").alias("calls"), F.count("cost").alias("priced"), F.round(F.sum("cost"), 6).alias("cost")
+        F.count("*").alias("calls"), F.count("cost").alias("priced"), F.sum(F.col("cost").cast("decimal(20,10)")).cast("double").alias("cost")
     )
 
 
@@ -189,7 +189,7 @@ def call_costs(v):
   CAST(count_if(status = 'rate_limited') AS BIGINT) AS rate_limited,
   CAST(sum(CASE WHEN status IN ('ok', 'schema_retry') THEN input_tokens END) AS BIGINT) AS input_tokens,
   CAST(sum(CASE WHEN status IN ('ok', 'schema_retry') THEN output_tokens END) AS BIGINT) AS output_tokens,
-  round(sum((input_tokens * 0.15 + output_tokens * 0.6) / 1000000), 6) AS cost_usd FROM calls GROUP BY ALL""", "calls")
+  CAST(round(sum(CAST((input_tokens * 0.15 + output_tokens * 0.6) / 1000000 AS DECIMAL(20,10))), 6) AS DOUBLE) AS cost_usd FROM calls GROUP BY ALL""", "calls")
 def usage_rollup(v):
     return stance.usage_rollup(
         v.calls.withColumn("est_cost_usd", stance.call_cost(F.col("input_tokens"), F.col("output_tokens"), 0.15, 0.6))

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
 from newsmood.operators.dedupe import first_per_key, unseen
+from newsmood.session import checkpoint
 
 
 def new_rows(batch: DataFrame, stored: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -56,8 +57,9 @@ def upsert_partitions(batch: DataFrame, path: str, keys: Sequence[str], order: S
     """Upsert into a parquet table, rewriting only the partitions the batch touches.
 
     Stored rows are read back only from those partitions, and dynamic partition overwrite replaces
-    each of them when the job commits.
+    each of them when the job commits. The batch is read several times, so it is computed once.
     """
+    batch = checkpoint(batch)
     stored = read_table(batch.sparkSession, path, batch.schema)
     touched = batch.select(partition_by).distinct()
     affected = stored.join(touched, partition_by, "left_semi")
