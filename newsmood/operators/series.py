@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsmood import config
-from newsmood.functions import numbers
+from newsmood.functions import numbers, text
 from newsmood.operators.dedupe import first_per_key
 
 _FIELDS = ["epoch", "open", "high", "low", "close"]
@@ -18,18 +18,22 @@ def valid_candles(raw: DataFrame) -> DataFrame:
     Fields may be numbers or numeric text (blank text counts as 0); all others are dropped.
     """
 
-    def number(name: str) -> Column:
-        as_text = F.trim(F.col(name).cast("string"))
+    def number(t: Column) -> Column:
         # The cast also takes Java's type suffixes, which are no part of a number here.
-        suffixed = F.lower(F.right(as_text, F.lit(1))).isin("d", "f")
-        value = F.when(as_text == "", 0.0).when(~suffixed, as_text.try_cast("double"))
-        return F.when(F.abs(value) < float("inf"), value)
-
-    typed = raw.withColumns({name: number(name) for name in _FIELDS})
-    complete = F.lit(True)
-    for name in _FIELDS:
-        complete = complete & F.col(name).isNotNull()
-    return typed.where(complete & (F.col("close") > 0) & (F.col("high") >= F.col("low")))
+        suffixed = F.lower(F.right(t, F.lit(1))).isin("d", "f")
+        return F.when(t == "", 0.0).when(~suffixed, t.try_cast("double"))
+
+    fields = F.struct(*[text.let(F.trim(F.col(name).cast("string")), number).alias(name) for name in _FIELDS])
+
+    def usable(c: Column) -> Column:
+        finite = F.lit(True)
+        for name in _FIELDS:
+            finite = finite & F.coalesce(F.abs(c[name]) < float("inf"), F.lit(False))
+        return finite & (c["close"] > 0) & (c["high"] >= c["low"])
+
+    # One struct per row, kept or dropped as a whole: each field is parsed once.
+    others = [c for c in raw.columns if c not in _FIELDS]
+    return raw.select(*others, F.inline(F.filter(F.array(fields), usable)))
 
 
 def candle_day(epoch: Column) -> Column:

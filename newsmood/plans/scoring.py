@@ -72,11 +72,11 @@ def pending_pairs(v):
 
 
 @query("F2", """SELECT article_id, asset_id FROM pending ORDER BY event_at DESC, article_id, asset_id
-  LIMIT (SELECT greatest(0, 60 - count(*)) FROM calls WHERE created_at >= TIMESTAMP '2001-11-01')""",
+  LIMIT (SELECT greatest(0, 300 - count(*)) FROM calls WHERE created_at >= TIMESTAMP '2001-11-04')""",
        "mentions assets articles mention_signals calls", recursive=PENDING_SQL)
 def within_call_budget(v):
-    """Pairs that the calls left on 2001-11-01 allow (the cap is the feature)."""
-    return stance.within_budget(all_pending(v), v.calls, "2001-11-01 12:00:00", 60).select("article_id", "asset_id")
+    """Pairs that the calls left on 2001-11-04 allow (the cap is the feature)."""
+    return stance.within_budget(all_pending(v), v.calls, "2001-11-04 12:00:00", 300).select("article_id", "asset_id")
 
 
 @query("F3", """SELECT asset_id, CASE WHEN asset_type = 'central_bank' THEN 'hawkish,dovish,neutral,unclear'
