@@ -24,8 +24,6 @@ So no list of all pairs within a group of similar headlines is ever built.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 

@@ -6,7 +6,6 @@ from datetime import datetime, timedelta
 from newsmood.operators.asof import first_at_or_after
 from newsmood.sources import catalogue
 from newsmood.streaming import health, ingest, mood
-from newsmood.operators import mood as mood_ops
 from tests.conftest import rows
 from tests.test_clean import RSS
 from tests.test_mood_and_series import signals
