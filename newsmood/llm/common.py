@@ -32,3 +32,18 @@ def fold(doc_id: Column, modulus: int) -> Column:
 def power_of_two(n: int) -> int:
     """The smallest power of two that is at least `n`."""
     return 1 << max(0, int(n) - 1).bit_length()
+
+
+#: A group is large if it holds more than one in LARGE of all rows; so there are fewer than LARGE large groups.
+LARGE = 2000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """Inner join of `rows` with one row per key in `groups`, where column `size` counts the rows of the key among `total`.
+
+    Large groups are broadcast (fewer than LARGE rows), the others are shuffled: no key is hot in the shuffle.
+    """
+    large = F.col(size) * LARGE > total
+    few = rows.join(F.broadcast(groups.where(large)), key)
+    rest = rows.join(F.broadcast(groups.where(large).select(key)), key, "left_anti").join(groups.where(~large), key)
+    return few.unionByName(rest)

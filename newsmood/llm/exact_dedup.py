@@ -4,7 +4,7 @@ Pass 1 reads one 64-bit hash per text. A hash owns three bits of one 64-bit word
 when at least two rows set it. Pass 2 tests every row: a row whose three bits are not all kept is unique
 for certain and passes straight through; the others are grouped by SHA-256.
 
-The filter is the only broadcast. It has at most `max_words` words (16 bytes each as a row), whatever the input;
+Rows of large groups get their decision from a broadcast of fewer than 2000 groups, the others by a join. The filter has at most `max_words` words (16 bytes each as a row), whatever the input;
 words in which no bit repeats are not stored. Beyond that size more unique rows join the shuffle, and the result
 stays the same.
 
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsmood.llm.common import power_of_two, stage, whole_text
+from newsmood.llm.common import join_groups, power_of_two, stage, whole_text
 
 BITS_PER_ROW = 16
 MAX_WORDS = 1 << 21
@@ -71,7 +71,8 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **si
     once = rows.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha")
     several = rows.where("maybe")
     groups = several.groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    both = once.unionByName(several.select("doc_id", "sha").join(groups, "sha").select("doc_id", "keep_id", "group_size", "sha"))
+    placed = join_groups(several.select("doc_id", "sha"), stage(groups, "groups"), "sha", "group_size", rows.count())
+    both = once.unionByName(placed.select("doc_id", "keep_id", "group_size", "sha"))
     return both.select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),

@@ -59,3 +59,25 @@ def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     from newsmood.llm import mixing
 
     return mixing.mix(table(spark, folder, "documents"), **MIX)
+
+
+@query()
+def op3_simhash_pivots(spark: SparkSession, folder: str) -> DataFrame:
+    from newsmood.llm import simhash_pivots
+
+    return simhash_pivots.near_duplicates(table(spark, folder, "documents"), shingle=3)
+
+
+@query()
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    from newsmood.llm import packing
+
+    packed = packing.pack(table(spark, folder, "documents"), tokenizer_file("word_bpe_49k.json"))
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@query()
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from newsmood.llm import toxicity
+
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
