@@ -81,3 +81,10 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     from newsmood.llm import toxicity
 
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query()
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    from newsmood.llm import language_id
+
+    return language_id.languages(table(spark, folder, "documents"), tokenizer_file("piece_bpe_32k.model"))

@@ -6,9 +6,11 @@ a lattice. A character trigram model, counted over all documents, prefers likely
 best path. Ordinary words have one path only and are taken as they are; restored words are added to what was
 written, so restoring can only add evidence.
 
-The scorer is fitted on labelled rows. Features are words and their first 4 and 5 letters, hashed into BUCKETS buckets; a bucket
-weighs the lower confidence bound of its log odds for the toxic label, if that is clearly positive. A text's evidence is the
-sum of its TOP strongest words; a monotone curve fitted on the training rows turns it into a probability.
+The scorer is fitted on labelled rows. Features of a text are its words, and the stems (first 4 and 5 letters) that
+one or several of its different words share, with a share of all its words that grows with the level, so a long text does
+not reach a level by its length. Features are hashed into BUCKETS buckets; a bucket weighs the lower confidence bound of its log odds for the toxic
+label, if that is clearly positive. A text's evidence is the sum of its TOP largest weights; a monotone curve
+fitted on the training rows turns it into a probability.
 
 Bounds: at most about `sample` labelled rows (picked by a hash of their id) are used to fit; their ids are the only broadcast
 rows. The model has BUCKETS weights, 28^3 trigrams and CURVE points, whatever the input. There is no shuffle of texts.
@@ -21,6 +23,7 @@ counts as toxic if one of its labels says so; null labels are skipped. Repeated
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -156,16 +159,38 @@ class Restorer(dict):
         value = self[chunk] = self.of_words(self.words(chunk))
         return value
 
-    def of_text(self, text: str) -> list:
-        found = [self[chunk] for chunk in set(text.split())]
+    def of_text(self, text: str) -> tuple[list, int]:
+        """What was found in the text, and its number of different chunks."""
+        chunks = set(text.split())
+        found = [x for x in map(self.__getitem__, chunks) if x]
         extra = self.spaced(text)
-        return [x for x in found if x] + ([self.of_words(extra)] if extra else [])
+        return found + ([self.of_words(extra)] if extra else []), len(chunks)
 
 
-def _buckets(words: set[str]) -> list[tuple[int, ...]]:
-    """Per word its feature buckets: the word, its first 4 and its first 5 letters."""
-    digest = lambda s: xxhash.xxh32_intdigest(s) % BUCKETS
-    return [tuple({digest("w" + w), digest("4" + w[:4]), digest("5" + w[:5])}) for w in words if len(w) > 2]
+def _bases(words: set[str]) -> tuple[tuple[int, int, int], ...]:
+    """Per word a number for itself, for its first 4 and for its first 5 letters."""
+    digest = xxhash.xxh32_intdigest
+    return tuple((digest("w" + w), digest("4" + w[:4]), digest("5" + w[:5])) for w in words if len(w) > 2)
+
+
+#: Levels of a stem: so many different words, and such a share of all different words.
+LEVELS = ((1, 0.0), (2, 0.004), (3, 0.008), (5, 0.016))
+
+
+def _bucket(base: int, level: int) -> int:
+    return (base + level * 0x9E3779B1) % BUCKETS
+
+
+def _features(found: list, size: int) -> set[int]:
+    """The feature buckets of a text with `size` different chunks, of which `found` holds the numbers of their words."""
+    words = {word for part in found for word in part}
+    stems = Counter(stem for word in words for stem in word[1:])
+    out = {_bucket(word[0], 0) for word in words}
+    for stem, n in stems.items():
+        for level, (least, share) in enumerate(LEVELS, 1):
+            if n >= least and n >= share * size:
+                out.add(_bucket(stem, level))
+    return out
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int) -> DataFrame:
@@ -184,12 +209,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     train = _labelled(docs, labels, id_col, text_col, sample)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer, counts, rows = Restorer(letters, _buckets), np.zeros((2, BUCKETS), np.int32), [0, 0]
+        restorer, counts, rows = Restorer(letters, _bases), np.zeros((2, BUCKETS), np.int32), [0, 0]
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 kind = int(toxic > 0)
                 rows[kind] += 1
-                counts[kind, list({b for found in restorer.of_text(text) for word in found for b in word})] += 1
+                counts[kind, list(_features(*restorer.of_text(text)))] += 1
         at = np.flatnonzero(counts.any(axis=0))
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.append(at, -1).astype(np.int32)), *(pa.array(np.append(counts[k, at], rows[k]).astype(np.int64)) for k in (0, 1))],
@@ -203,11 +228,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not clean or not toxic:
         share = 1.0 if toxic else 0.0
         return {"letters": letters, "weights": np.zeros(BUCKETS, np.float32), "curve": np.full(CURVE, share)}
-    odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
-    error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    strong = summed.where("at >= 0 and toxic >= 3").select("at", (odds - 3 * error).alias("low"), odds.alias("odds")).where("low > 0.7")
+    odds = F.log((F.col("toxic") + 1) / (toxic + 1)) - F.log((F.col("clean") + 1) / (clean + 1))
+    error = F.sqrt(1 / (F.col("toxic") + 1) + 1 / (F.col("clean") + 1))
+    strong = summed.where("at >= 0 and toxic >= 3").select("at", (odds - 2.5 * error).alias("low")).where("low > 0.7")
     weights = np.zeros(BUCKETS, np.float32)
-    for at, low, _ in strong.collect():  # at most BUCKETS rows
+    for at, low in strong.collect():  # at most BUCKETS rows
         weights[at] = low
 
     def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,14 +270,18 @@ def monotone(clean: np.ndarray, toxic: np.ndarray) -> np.ndarray:
 def _evidence(model: dict):
     weights = model["weights"]
 
-    def strongest(words: set[str]) -> tuple[float, ...]:
-        found = (max(float(weights[b]) for b in word) for word in _buckets(words))
-        return tuple(w for w in found if w > 0)
+    weighty = lambda base, levels: any(weights[_bucket(base, level)] > 0 for level in levels)
+    stem_levels = range(1, len(LEVELS) + 1)
+
+    def telling(words: set[str]) -> tuple[tuple[int, int, int], ...]:
+        """The words that may add to a weight; most words cannot."""
+        return tuple(x for x in _bases(words) if weighty(x[0], (0,)) or weighty(x[1], stem_levels) or weighty(x[2], stem_levels))
 
-    restorer = Restorer(model["letters"], strongest)
+    restorer = Restorer(model["letters"], telling)
 
     def evidence(text: str) -> float:
-        return sum(sorted((w for found in restorer.of_text(text) for w in found), reverse=True)[:TOP])
+        found, size = restorer.of_text(text)
+        return float(sum(sorted((weights[b] for b in _features(found, size)), reverse=True)[:TOP])) if found else 0.0
 
     return evidence
 
