@@ -32,8 +32,8 @@ from newsmood.llm.token_counts import MARK, vocabulary
 ROUNDS = 1
 LONG = 32
 #: Different words that a task holds at once.
-TYPES = 100_000
-REMEMBERED_WORDS = 150_000
+TYPES = 300_000
+REMEMBERED_WORDS = 300_000
 UNKNOWN = "und"
 #: Smoothing: so many expected counts are added, spread over the pieces as they occur in all languages.
 ADDED = 1000.0
@@ -174,7 +174,6 @@ def expected(words: list[str], counts: np.ndarray, pieces: Pieces, p: np.ndarray
     """Expected counts of the pieces over all segmentations; `counts` is (words x languages), as is the result (pieces x languages)."""
     out = np.zeros(p.shape)
     short = [i for i, w in enumerate(words) if len(w) <= LONG]
-    languages = np.arange(p.shape[1])
     for part in _by_length([words[i] for i in short]):
         rows = [short[i] for i in part]
         codes, lengths = _matrix([words[i] for i in rows])
@@ -184,11 +183,17 @@ def expected(words: list[str], counts: np.ndarray, pieces: Pieces, p: np.ndarray
         beta = np.zeros_like(alpha)
         share = counts[rows] / alpha[np.arange(n), lengths]
         beta[np.arange(n), lengths] = share
+        numbers, amounts = [], []
         for end in range(width, 0, -1):
             for start, at, found in ending[end]:
                 passed = beta[at, end] * p[found]
-                np.add.at(out, (found[:, None], languages), alpha[at, start] * passed)
+                numbers.append(found)
+                amounts.append(alpha[at, start] * passed)
                 beta[at, start] += passed
+        if numbers:
+            number, amount = np.concatenate(numbers), np.concatenate(amounts)
+            for k in range(p.shape[1]):
+                out[:, k] += np.bincount(number, amount[:, k], minlength=len(out))
     for i, w in enumerate(words):
         if len(w) > LONG:
             out += _expected_long(w, counts[i], pieces, p)

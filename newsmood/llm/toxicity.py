@@ -50,7 +50,7 @@ STANDS_FOR = {
 # Log probabilities of the channel.
 AS_WRITTEN, AS_SIGN, DROP_REPEAT, DROP_SIGN, DROP_SPACE, BREAK = -0.05, -0.9, -0.8, -1.6, -0.4, -2.0
 
-_EDGE = re.compile(r"^[^\w@$]+|[^\w@$!]+$|([@$!])\1\1+$")
+_EDGE = re.compile(r"^[^\w@$]+|[^\w@$]+$|([@$])\1\1+$")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
 _SPACED = re.compile(r"(?<!\S)(?:\S[ \t]){3,}\S(?!\S)")
@@ -139,6 +139,9 @@ class Restorer(dict):
 
     def words(self, chunk: str) -> set[str]:
         low = chunk.lower()
+        plain = low.rstrip(".,;:!?")
+        if plain.isalpha() and not _TRIPLE.search(plain):
+            return {plain}
         found = set(_LETTERS.findall(low))
         core = _EDGE.sub("", low)
         if core and (not core.isalpha() or _TRIPLE.search(core)) and any(c.isalpha() for c in core):
@@ -270,12 +273,22 @@ def monotone(clean: np.ndarray, toxic: np.ndarray) -> np.ndarray:
 def _evidence(model: dict):
     weights = model["weights"]
 
-    weighty = lambda base, levels: any(weights[_bucket(base, level)] > 0 for level in levels)
-    stem_levels = range(1, len(LEVELS) + 1)
+    weighty = set(np.flatnonzero(weights).tolist())
+    levels = range(1, len(LEVELS) + 1)
+    stems: dict[str, bool] = {}
+
+    def stem(kind: str, letters: str) -> bool:
+        known = stems.get(kind + letters)
+        if known is None:
+            if len(stems) >= REMEMBERED_CHUNKS:
+                stems.clear()
+            base = xxhash.xxh32_intdigest(kind + letters)
+            known = stems[kind + letters] = any(_bucket(base, level) in weighty for level in levels)
+        return known
 
     def telling(words: set[str]) -> tuple[tuple[int, int, int], ...]:
         """The words that may add to a weight; most words cannot."""
-        return tuple(x for x in _bases(words) if weighty(x[0], (0,)) or weighty(x[1], stem_levels) or weighty(x[2], stem_levels))
+        return _bases({w for w in words if stem("4", w[:4]) or stem("5", w[:5]) or _bucket(xxhash.xxh32_intdigest("w" + w), 0) in weighty})
 
     restorer = Restorer(model["letters"], telling)
 
