@@ -88,3 +88,12 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     from newsmood.llm import language_id
 
     return language_id.languages(table(spark, folder, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+@query()
+def op5_multi_index(spark: SparkSession, folder: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from newsmood.llm import multi_index
+
+    return multi_index.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
