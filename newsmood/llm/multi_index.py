@@ -34,6 +34,8 @@ SAMPLE = 20_000
 BLOCK = 8192
 QUERIES = 4096
 MARGIN = 1.0
+#: The first radius tried, and the next one if it finds too few.
+NEAR, FAR = 8, 26
 EDGES = [round(BITS * i / PARTS) for i in range(PARTS + 1)]
 
 
@@ -146,14 +148,14 @@ def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
     wanted = codes(unit, model)
     out_q, out_id, out_s = [], [], []
     for i in range(len(q)):
-        radius, scores, near = 8, np.zeros(0), np.zeros(0, np.int64)
+        radius, scores, near = NEAR, np.zeros(0), np.zeros(0, np.int64)
         while True:
             near = index.within(wanted[i], radius)
             near = near[ids[near] != query_ids[i]]
             # A fixed order of additions: equal vectors get equal scores.
             scores = (x[near] * q[i]).sum(axis=1)
             if len(near) < k:
-                need = BITS if radius >= 2 * BITS // 3 else radius + 8
+                need = FAR if radius < FAR else BITS
             else:
                 kth = np.partition(scores, len(scores) - k)[len(scores) - k]
                 need = radius_for(kth / (lengths[i] * model["norm"]))

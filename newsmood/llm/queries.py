@@ -97,3 +97,10 @@ def op5_multi_index(spark: SparkSession, folder: str) -> DataFrame:
     from newsmood.llm import multi_index
 
     return multi_index.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query()
+def op1_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    from newsmood.llm import lm_scoring
+
+    return lm_scoring.scores(table(spark, folder, "documents"))
