@@ -104,3 +104,11 @@ def op1_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     from newsmood.llm import lm_scoring
 
     return lm_scoring.scores(table(spark, folder, "documents"))
+
+
+@query()
+def op6_suffix_levels(spark: SparkSession, folder: str) -> DataFrame:
+    from newsmood.llm import suffix_levels
+
+    found = suffix_levels.repeated(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
