@@ -189,11 +189,166 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """The rows of `docs` that are the smallest id of their group, with all their columns.
+# ---- groups of similar texts ------------------------------------------------------------------------------------------------------
+#
+# At a similarity of 0.8 fingerprints differ in about ten bits, too many for cells of equal blocks. So cells are made of equal minima
+# of shingle hashes here, two texts of that similarity share one of KEYS minima all but surely, and the pivots do the
+# same work as above: a pair is discarded if its distances to a pivot differ by more than FAR bits. Inside a cell every member is tied to the
+# member that it agrees with most in MINIMA further minima; such ties are verified on the whole texts.
 
-    Rows with a null id stay. Of rows that repeat the kept id and its text, all stay: they are one document.
+KEYS, MINIMA, FAR = 8, 32, 24
+#: A tie is verified if at least this share of the minima agree, and is as good as certain from CLOSE on.
+HOPEFUL, CLOSE = 0.5, 0.9
+
+
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """The different shingles of a text as sorted hashes (none for a text without words)."""
+    words = _WORDS.findall(text.translate(_LOWER))
+    if not words:
+        return np.zeros(0, np.uint64)
+    one = np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], np.uint64)
+    n = max(1, len(words) - shingle + 1)
+    mixed = np.zeros(n, np.uint64)
+    for i in range(min(shingle, len(words))):
+        mixed = (mixed ^ one[i: i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(32)
+    return np.unique(mixed)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Shared shingles by all shingles; two texts without words are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    every = len(a) + len(b) - both
+    return both / every if every else 1.0
+
+
+def _minima(hashes: np.ndarray, n: int) -> np.ndarray:
+    draw = np.random.default_rng(5)
+    factors = draw.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1)
+    out = np.zeros(n, np.uint64)
+    for i in range(n if len(hashes) else 0):
+        mixed = hashes * factors[i]
+        out[i] = (mixed ^ (mixed >> np.uint64(32))).min()
+    return out
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """`doc_id`, `fp`, `n` (different shingles), `keys` and `minima` of every whole text; no shuffle."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(F.col(text_col)).cast("binary").alias("text"))
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, sizes, keys, minima = [], [], [], []
+            for text in batch.column(1).to_pylist():
+                hashes = shingle_hashes(text, shingle)
+                least = _minima(hashes, KEYS + MINIMA)
+                bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+                prints.append(np.packbits(bits * 2 > len(hashes), bitorder="little").view(np.int64)[0])
+                sizes.append(len(hashes))
+                keys.append(least[:KEYS].view(np.int64))
+                minima.append(least[KEYS:].astype(np.uint32).view(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(prints, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(minima, pa.list_(pa.int32()))],
+                names=["doc_id", "fp", "n", "keys", "minima"])
+
+    return rows.mapInArrow(compute, "doc_id long, fp long, n long, keys array<long>, minima array<int>")
+
+
+def _ties(ids: np.ndarray, fps: np.ndarray, minima: np.ndarray, spread: np.ndarray) -> list[tuple[int, int]]:
+    """Ties of one cell: every member with the reached member that it agrees with most, if that is hopeful."""
+    table = np.bitwise_count(fps[:, None] ^ spread).astype(np.int8)
+    left = np.arange(1, len(ids))
+    best, tied = np.zeros(len(ids)), np.full(len(ids), -1)
+    queue, links = [0], []
+    while len(left):
+        if not queue:
+            # None is close: go on with the member that agrees most with those reached.
+            node = left[np.argmax(best[left])]
+            if tied[node] >= 0:
+                links.append((int(ids[tied[node]]), int(ids[node])))
+            left = left[left != node]
+            queue.append(node)
+            continue
+        node = queue.pop()
+        agree = (minima[left] == minima[node]).mean(axis=1)
+        agree[(np.abs(table[left] - table[node]) > FAR).any(axis=1)] = 0
+        better = (agree > best[left]) & (agree >= HOPEFUL)
+        best[left[better]], tied[left[better]] = agree[better], node
+        close = left[agree >= CLOSE]
+        links += [(int(ids[node]), int(ids[i])) for i in close]
+        queue += close.tolist()
+        left = left[agree < CLOSE]
+    return links
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """`doc_id`, `component_id` (the smallest id reachable over texts that share at least `similarity` of their shingles).
+
+    Texts with the same shingles are one class. Rows without id take no part. Candidate ties miss a similar pair only if no minimum
+    is shared (0.2^8 at 0.8) and nothing else connects it; a tie is kept only if the whole texts' similarity is reached.
+    """
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    found = stage(sketches(rows, "doc_id", "text", shingle), "sketches")
+    same = F.struct("fp", "n", F.xxhash64("keys", "minima"))
+    tagged = found.withColumn("same", same)
+    classes = stage(tagged.groupBy("same").agg(
+        F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("minima").alias("minima")), "classes")
+    _, spread = pivots(blocks_for(0))
+
+    keyed = classes.select("rep", "fp", "minima", F.posexplode("keys").alias("table", "key"))
+    shared = keyed.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1").select("table", "key")
+    met = keyed.join(shared, ["table", "key"]).repartition("table", "key").sortWithinPartitions("table", "key", "rep")
+
+    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: pd.DataFrame | None = None
+
+        def ties_of(rows: pd.DataFrame) -> pd.DataFrame:
+            ids, fps = rows["rep"].to_numpy(np.int64), rows["fp"].to_numpy(np.int64).view(np.uint64)
+            minima = np.stack(rows["minima"].to_numpy())
+            cell = rows[["table", "key"]].to_numpy()
+            edges = np.concatenate([[0], np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1, [len(rows)]])
+            out: list[tuple[int, int]] = []
+            for lo, hi in zip(edges, edges[1:]):
+                if hi - lo > 1:
+                    out += _ties(ids[lo:hi], fps[lo:hi], minima[lo:hi], spread)
+            pairs = np.array(out, np.int64).reshape(-1, 2)
+            return pd.DataFrame({"a": pairs.min(axis=1, initial=np.iinfo(np.int64).max), "b": pairs.max(axis=1, initial=np.iinfo(np.int64).min)})
+
+        for batch in batches:
+            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            if not len(rows):
+                continue
+            last = (rows["table"] == rows["table"].iloc[-1]) & (rows["key"] == rows["key"].iloc[-1])
+            rest = rows[last]
+            if len(rest) < len(rows):
+                yield ties_of(rows[~last])
+        if rest is not None and len(rest):
+            yield ties_of(rest)
+
+    ties = stage(met.select("table", "key", "rep", "fp", "minima").mapInPandas(cells, "a long, b long").distinct(), "ties")
+    members = ties.select(F.col("a").alias("rep")).union(ties.select("b")).distinct()
+    texts = rows.join(members, rows["doc_id"] == members["rep"], "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
+    texts = stage(texts, "tied-texts")
+    pairs = ties.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), "a").join(
+        texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right")), "b").select("a", "b", "left", "right")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [[shingle_hashes((t or "").encode(), shingle) for t in batch.column(i).to_pylist()] for i in (2, 3)]
+            yield batch.select(["a", "b"]).filter(pa.array([jaccard(x, y) >= similarity for x, y in zip(*texts)], pa.bool_()))
+
+    links = pairs.mapInArrow(verify, "a long, b long")
+    roots = components(links, "a", "b")
+    placed = classes.join(roots, classes["rep"] == roots["node"], "left").select("same", "copies", F.coalesce("root", "rep").alias("component_id"))
+    groups = stage(placed, "groups")
+    return join_groups(tagged.select("doc_id", "same"), groups, "same", "copies", found.count()).select("doc_id", "component_id")
+
+
+def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of `docs` with the smallest id of their group of similar texts, with all their columns.
+
+    Rows with a null id stay. Of rows that repeat the kept id, all stay: they are one document.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle)
+    found = similar_groups(docs, id_col, text_col, shingle, similarity)
     leave = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__leaving")).distinct()
     return docs.join(leave, docs[id_col] == leave["__leaving"], "left_anti")
