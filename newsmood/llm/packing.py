@@ -19,6 +19,9 @@ chunk by chunk.
 from __future__ import annotations
 
 import heapq
+import json
+import os
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -34,7 +37,7 @@ CAPACITY = 2048
 PIECE = 512
 WINDOWS = 256
 END_ID = 1
-REMEMBERED_CHUNKS = 400_000
+REMEMBERED, YOUNG = 300_000, 50_000
 #: Characters that Python splits at but the tokenizer does not count as white space.
 _SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 
@@ -84,19 +87,76 @@ def pack_block(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 class _Ids(dict):
-    """Ids of chunks as little-endian bytes, emptied when it has REMEMBERED_CHUNKS entries."""
+    """Ids of chunks as little-endian bytes.
+
+    The first REMEMBERED chunks stay; later ones are kept in `young`, which is emptied when it has YOUNG entries.
+
+    The tokenizer keeps runs of letters apart from other characters. So a chunk of letters and closing punctuation has the ids of the
+    letters, remembered in `words` (without case if ASCII, as the tokenizer ignores it), and those of the punctuation.
+    """
 
     def __init__(self, path: str):
         super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives a task one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def learn(self, chunks: list[str]) -> None:
-        if len(self) + len(chunks) > REMEMBERED_CHUNKS:
-            self.clear()
+        self.young: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.young_words: dict[str, bytes] = {}
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, number in self.tokenizer.get_vocab().items():
+            self.ends[number] = bool(suffix) and token.endswith(suffix)
+
+    def __missing__(self, chunk: str) -> bytes:
+        return self.young[chunk]
+
+    def word(self, word: str) -> bytes:
+        return self.words.get(word) or self.young_words[word]
+
+    def learn(self, seen: set[str]) -> None:
+        """Makes sure that all of `seen` can be looked up until the next call."""
+        if len(self.young) > YOUNG:
+            self.young.clear()
+        chunks = [c for c in seen if c not in self and c not in self.young]
+        into = self if len(self) < REMEMBERED else self.young
+        parted, words, closes, whole = [], [], [], []
+        for chunk in chunks:
+            word = chunk.rstrip(string.punctuation)
+            if word.isalpha():
+                parted.append(chunk)
+                closes.append(chunk[len(word):])
+                words.append(word.lower() if word.isascii() else word)
+            else:
+                whole.append(chunk)
+        if len(self.young_words) > YOUNG:
+            self.young_words.clear()
+        keep = self.words if len(self.words) < 2 * REMEMBERED else self.young_words
+        missing = lambda some: [w for w in set(some) if w not in self.words and w not in self.young_words]
+        self._learn_words(missing(words), keep)
+        self._learn_each(missing(closes), keep)
+        of = self.word
+        into.update((chunk, of(word) + of(close) if close else of(word)) for chunk, word, close in zip(parted, words, closes))
+        self._learn_each(whole, into)
+
+    def _learn_words(self, words: list[str], into: dict[str, bytes]) -> None:
+        """Tokenizes many words at once and parts the ids at the tokens that end a word."""
+        groups = [words[i: i + 256] for i in range(0, len(words), 256)]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(found.ids, "<u4")
+            last = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(last) != len(group):
+                self._learn_each(group, into)
+                continue
+            data, start = ids.tobytes(), 0
+            for word, end in zip(group, last):
+                into[word] = data[start:end]
+                start = end
+
+    def _learn_each(self, chunks: list[str], into: dict[str, bytes]) -> None:
         for chunk, found in zip(chunks, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)):
-            self[chunk] = np.array(found.ids, "<u4").tobytes()
+            into[chunk] = np.array(found.ids, "<u4").tobytes()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -109,22 +169,13 @@ _SPAN = 1 << 20
 
 def _document_ids(known: _Ids, texts: list[str]) -> list[bytes]:
     split = [None if any(c in text for c in _SEPARATORS) else text.split() for text in texts]
-    missing = list({chunk for chunks in split if chunks for chunk in chunks if chunk not in known})
-    if missing:
-        known.learn(missing)
-        if len(missing) > len(known):  # cleared in between
-            known.learn(missing)
-    out = []
-    for text, chunks in zip(texts, split):
-        if chunks is None:
-            out.append(known.whole(text))
-            continue
-        try:
-            out.append(b"".join(map(known.__getitem__, chunks)))
-        except KeyError:  # the table was emptied after this chunk had been found in it
-            known.learn(list(set(chunks)))
-            out.append(b"".join(map(known.__getitem__, chunks)))
-    return out
+    seen: set[str] = set()
+    for chunks in split:
+        seen.update(chunks or ())
+    known.learn(seen)
+    return [
+        known.whole(text) if chunks is None else b"".join(map(known.__getitem__, chunks)) for text, chunks in zip(texts, split)
+    ]
 
 
 def pieces(
