@@ -25,12 +25,12 @@ ANSWERED = "chunk int, bucket int, kind int, totals binary"
 SENT_NAMES = ["bucket", "chunk", "kind", "keys", "more"]
 
 
-def dealt(docs: DataFrame, id_col: str, text_col: str, apart=None) -> tuple[DataFrame, int]:
+def dealt(docs: DataFrame, id_col: str, text_col: str, apart=None, chunk_bytes: int | None = None) -> tuple[DataFrame, int]:
     """(`chunk`, `doc_id`, `text` (bytes), `apart`; number of chunks). Rows for which `apart` holds get chunks of their own."""
     text = whole_text(F.col(text_col)).cast("binary")
     apart = F.lit(False) if apart is None else apart
     size = docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
-    chunks = max(1, -(-size // CHUNK_BYTES))
+    chunks = max(1, -(-size // (chunk_bytes or CHUNK_BYTES)))
     number = F.pmod(F.xxhash64(F.col(id_col), F.crc32(text)), F.lit(chunks)).cast("int")
     rows = docs.select(
         (number + F.when(apart, chunks).otherwise(0)).cast("int").alias("chunk"),

@@ -87,6 +87,6 @@ def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
         F.unhex(F.sha2(whole_text(F.col(f"row.`{text_col}`")).cast("binary"), 256)).alias("sha"),
     )
     stay = several.groupBy("sha").agg(F.max("id").alias("id"))
-    on = [several["sha"] == F.col("s.sha"), several["id"].eqNullSafe(F.col("s.id"))]
-    kept = several.join(stay.alias("s"), on, "left_semi").dropDuplicates(["sha", "id"])
+    on = [F.col("t.sha") == F.col("s.sha"), F.col("t.id").eqNullSafe(F.col("s.id"))]
+    kept = several.alias("t").join(stay.alias("s"), on, "left_semi").dropDuplicates(["sha", "id"])
     return flagged.where("not maybe").select("row").unionByName(kept.select("row")).select("row.*")

@@ -172,7 +172,9 @@ def learn_weights(histogram: np.ndarray, uniform: float, rounds: int = 60) -> np
         for _ in range(rounds):
             share = w[:, None] * parts
             share = share / share.sum(axis=0) * rows[:, 3]
-            w = (share.sum(axis=1) + 1e-3 * (weights[bucket] > 0)) / (rows[:, 3].sum() + 1e-3 * (weights[bucket] > 0).sum())
+            # Half a count each: an estimate that the fold never needed keeps some weight for texts that do.
+            free = 0.5 * (weights[bucket] > 0)
+            w = (share.sum(axis=1) + free) / (rows[:, 3].sum() + free.sum())
         weights[bucket] = w
     return weights
 
@@ -221,7 +223,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             starts, word, context, pair, _ = _counts_of(docs, answers, 1 if chunk >= buckets else None)
             context = _first_contexts(context, starts, texts["all"])
             two, one, zero = _estimates(word, context, pair, n, v)
-            w = weights[_bucket(context)]
+            w = weights[_bucket(context)] if n else np.array([[0.0, 0.0, 1.0]])
             p = w[:, 0] * two + w[:, 1] * one + w[:, 2] * zero
             base = np.log10(word + 1.0) - np.log10(n + 1.0 * (v + 1))
             sums = lambda x: np.add.reduceat(x, starts[:-1])

@@ -36,6 +36,8 @@ from newsmood.llm.chunks import Levels
 
 LENGTH = 200
 GRAM = 64
+#: A task may look at every window of a chunk, so chunks are small. Suffixes are far fewer than bytes: a range of them serves several chunks.
+CHUNK_BYTES, CHUNKS_PER_RANGE = 4_000_000, 8
 #: Bytes looked at together.
 SPAN = 1 << 20
 SUFFIX, WINDOW = 0, 1
@@ -165,15 +167,16 @@ def _statuses(docs: pa.Table, answers: pa.Table, length: int):
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """`doc_id`, `n_bytes`, `n_removed`, `n_spans`, `kept_sha256`, `kept` (the remaining bytes) of every whole text."""
-    rows, buckets = chunks.dealt(docs, id_col, text_col)
-    edges = chunks.bucket_edges(buckets)
+    rows, number = chunks.dealt(docs, id_col, text_col, chunk_bytes=CHUNK_BYTES)
+    suffix_edges = chunks.bucket_edges(-(-number // CHUNKS_PER_RANGE))
+    window_edges = chunks.bucket_edges(number)
     kind_of_id = rows.schema["doc_id"].dataType.simpleString()
 
     def send_suffixes(docs: pa.Table) -> pa.Table:
         chunk = docs["chunk"][0].as_py()
         gram, own, count = _suffix_array(docs, length)
         out = [(b, chunk, SUFFIX, gram[p].astype("<u8").tobytes() + own[p].astype("<u8").tobytes(), chunks.planes(count[p]))
-               for b, p in chunks.split(gram, edges)]
+               for b, p in chunks.split(gram, suffix_edges)]
         return chunks.table(chunks.SENT_NAMES, out, chunks.SENT)
 
     def meet_suffixes(sent: pa.Table) -> pa.Table:
@@ -203,7 +206,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
         chunk, flags = docs["chunk"][0].as_py(), _statuses(docs, answers, length)
         found = [keys for _, _, _, keys in _window_keys(docs, length, lambda g, a: flags(g, a) == SOME)]
         unique, count = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
-        out = [(b, chunk, WINDOW, unique[p].astype("<u8").tobytes(), chunks.planes(count[p])) for b, p in chunks.split(unique, edges)]
+        out = [(b, chunk, WINDOW, unique[p].astype("<u8").tobytes(), chunks.planes(count[p])) for b, p in chunks.split(unique, window_edges)]
         return chunks.table(chunks.SENT_NAMES, out, chunks.SENT)
 
     def meet_windows(sent: pa.Table) -> pa.Table:
