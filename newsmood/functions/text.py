@@ -1,6 +1,7 @@
 """Column expressions for text: HTML stripping, entities, sentences, title words, shingles.
 
-Everything here is a built-in expression, so it stays inside the JVM and inside code generation.
+Everything here is a built-in expression, so no row leaves the JVM. Expressions over arrays run outside whole-stage code
+generation.
 """
 
 from __future__ import annotations
@@ -97,21 +98,18 @@ def truncate(text: Column, limit: int) -> Column:
 
 
 def split_sentences(text: Column) -> Column:
-    """Sentences of a text, each at most 400 characters.
+    """Sentences of a text, whole.
 
     A sentence ends at white space after `!`, `?`, `…`, or after `.` when the next character is
-    not a lower-case letter; closing quotes and brackets stay with the sentence. There is no
-    break without white space, and no special rule for other scripts.
+    not a lower-case letter; closing quotes and brackets stay with the sentence. The full-width marks of scripts that use
+    no blanks end a sentence by themselves.
     """
     closing = r"""["'”’)\]]*"""
     marked = F.regexp_replace(collapse(text), rf"([!?…]{closing}) ", "$1" + _BREAK)
     marked = F.regexp_replace(marked, rf"(\.{closing}) ([^\p{{Ll}}])", "$1" + _BREAK + "$2")
+    marked = F.regexp_replace(marked, r"""([。！？｡]["'”’」』）)\]]*)""", "$1" + _BREAK)
     pieces = F.transform(F.split(marked, _BREAK, -1), F.trim)
-    limit = config.SENTENCE_MAX
-    return F.transform(
-        F.filter(pieces, lambda s: s != ""),
-        lambda s: F.when(F.length(s) > limit, F.concat(F.substring(s, 1, limit - 1), F.lit("…"))).otherwise(s),
-    )
+    return F.filter(pieces, lambda s: s != "")
 
 
 def build_sentences(title: Column, excerpt: Column) -> Column:
@@ -119,7 +117,7 @@ def build_sentences(title: Column, excerpt: Column) -> Column:
 
     A sentence of the excerpt that repeats the title, ignoring case, is left out.
     """
-    head = F.substring(collapse(F.coalesce(title, F.lit(""))), 1, config.SENTENCE_MAX)
+    head = collapse(F.coalesce(title, F.lit("")))
     pieces = split_sentences(F.coalesce(excerpt, F.lit("")))
 
     def numbered(h: Column) -> Column:

@@ -13,22 +13,23 @@ def normalise_items(items: DataFrame, as_of) -> DataFrame:
     """Clean raw items; one pass, no shuffle.
 
     `items` has title, link, summary, date (all strings, nullable); other columns pass through.
-    Adds url, url_hash, excerpt, published_at and reject_reason, and replaces title. The first
-    failing rule decides the reason: no_title, bad_url, too_old. A future date is clamped to
+    Adds url, url_hash, body, excerpt, published_at and reject_reason, and replaces title. Title and body are whole; excerpt
+    is the body shortened for display, and nothing is computed from it. The first failing rule decides the reason: no_title, bad_url, too_old. A future date is clamped to
     `as_of`; an item without a readable date is accepted with a NULL time.
     """
     now = numbers.instant(as_of)
     cleaned = items.select(
         *[c for c in items.columns if c not in ("title", "link", "summary", "date")],
-        text.truncate(text.strip_html(F.coalesce("title", F.lit(""))), config.TITLE_MAX).alias("title"),
+        text.strip_html(F.coalesce("title", F.lit(""))).alias("title"),
         urls.canonical_url(F.col("link")).alias("url"),
-        text.truncate(text.strip_html(F.coalesce("summary", F.lit(""))), config.EXCERPT_MAX).alias("excerpt"),
+        text.strip_html(F.coalesce("summary", F.lit(""))).alias("body"),
         numbers.published_at(F.col("date"), now).alias("published_at"),
     )
     too_old = F.col("published_at") < numbers.days_before(now, config.MAX_AGE_DAYS)
     return cleaned.withColumns(
         {
             "url_hash": urls.url_hash(F.col("url")),
+            "excerpt": text.truncate(F.col("body"), config.EXCERPT_MAX),
             "reject_reason": F.when(F.col("title") == "", "no_title")
             .when(F.col("url").isNull(), "bad_url")
             .when(too_old, "too_old"),

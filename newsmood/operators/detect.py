@@ -10,8 +10,6 @@ from newsmood.functions import numbers, text
 from newsmood.operators.dedupe import unseen
 
 _WORD = r"[\p{L}\p{N}]+"
-# First words that may be used inside every row; a larger catalogue is joined instead.
-ANCHOR_LIMIT = 2000
 
 
 def alias_pattern(alias: Column, case_sensitive: Column) -> Column:
@@ -23,17 +21,19 @@ def alias_pattern(alias: Column, case_sensitive: Column) -> Column:
 
 
 def compile_aliases(aliases: DataFrame) -> DataFrame:
-    """asset_id, pattern and anchor (the alias's first word in lower case; '' if it has none)."""
+    """asset_id, pattern and anchor (the alias's longest word in lower case, the first of equals; '' if it has none)."""
+    words = F.regexp_extract_all(F.lower("alias"), F.lit(_WORD), F.lit(0))
+    longest = F.aggregate(words, F.lit(""), lambda best, w: F.when(F.length(w) > F.length(best), w).otherwise(best))
     return aliases.where(F.trim("alias") != "").select(
         "asset_id",
         alias_pattern(F.col("alias"), F.col("is_case_sensitive")).alias("pattern"),
-        F.regexp_extract(F.lower("alias"), _WORD, 0).alias("anchor"),
+        longest.alias("anchor"),
     )
 
 
 def with_sentences(articles: DataFrame) -> DataFrame:
-    """article_id and its numbered sentences."""
-    return articles.select("article_id", text.build_sentences(F.col("title"), F.col("excerpt")).alias("sentences"))
+    """article_id and its numbered sentences, from title and body."""
+    return articles.select("article_id", text.build_sentences(F.col("title"), F.col("body")).alias("sentences"))
 
 
 def evidence_window(near: Column, hits: Column, limit: int = config.MAX_MENTION_SENTENCES) -> Column:
@@ -63,29 +63,16 @@ def evidence_window(near: Column, hits: Column, limit: int = config.MAX_MENTION_
 def match_assets(sentenced: DataFrame, aliases: DataFrame) -> DataFrame:
     """Mentions (article_id, asset_id, sentences) of each asset in each article.
 
-    Instead of testing every alias on every sentence, the article's words meet the aliases on the
-    alias's first word (an alias starts and ends at a word edge, so none is lost) and only those
-    few pairs are tested with the pattern.
-
-    A catalogue of up to ANCHOR_LIMIT first words is checked for its size and then used to drop all
-    other words inside the row, so a text is carried only by the words that can match. With a
-    larger one the words travel without the text, which is joined back to the pairs that are left.
+    Instead of testing every alias on every sentence, the words of every sentence meet the aliases on the alias's longest
+    word (an alias starts and ends at a word edge, so none is lost), and only the sentences found so are tested. The words
+    travel without text; the sentences are joined back to the articles that are left.
     """
     compiled = compile_aliases(aliases)
-    text_words = F.regexp_extract_all(F.lower(F.array_join(F.col("sentences.text"), " ")), F.lit(_WORD), F.lit(0))
-    words = F.concat(F.array(F.lit("")), text_words)
-    anchors = [r.anchor for r in compiled.select("anchor").distinct().limit(ANCHOR_LIMIT + 1).collect()]
-    if len(anchors) <= ANCHOR_LIMIT:
-        known = F.array(*[F.lit(a) for a in anchors]).cast("array<string>")
-        candidates = sentenced.select(
-            "article_id", "sentences", F.explode(F.array_intersect(words, known)).alias("anchor")
-        ).join(compiled, "anchor")
-    else:
-        pairs = sentenced.select("article_id", F.explode(F.array_distinct(words)).alias("anchor")).join(compiled, "anchor")
-        candidates = pairs.join(sentenced, "article_id")
-    hit_positions = F.filter(
-        F.transform("sentences", lambda s, i: F.when(F.regexp(s["text"], F.col("pattern")), i)), lambda i: i.isNotNull()
-    )
+    key = sentenced.select(F.col("article_id"), F.posexplode("sentences.text").alias("i", "text"))
+    words = F.concat(F.array(F.lit("")), F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))
+    met = key.select("article_id", "i", F.explode(F.array_distinct(words)).alias("anchor")).join(compiled, "anchor")
+    candidates = met.groupBy("article_id", "asset_id", "pattern").agg(F.array_sort(F.collect_set("i")).alias("at")).join(sentenced, "article_id")
+    hit_positions = F.filter("at", lambda i: F.regexp(F.get(F.col("sentences"), i)["text"], F.col("pattern")))
     tested = candidates.select(
         "article_id", "asset_id", "sentences", F.slice(hit_positions, 1, config.MAX_MENTION_SENTENCES).alias("hits")
     ).where(F.size("hits") > 0)

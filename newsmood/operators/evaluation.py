@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from newsmood import config
 from newsmood.functions import numbers
-from newsmood.operators.dedupe import first_per_key
 
 
 def format_sentences(sentences: Column) -> Column:
@@ -89,7 +88,7 @@ def check_labels(rows: DataFrame, order: str = "row_no") -> DataFrame:
             ),
             F.when(
                 (F.col("kind") == "rejected") & known_type & allowed,
-                named(F.concat(F.lit("bad sentence line: "), F.substring(bad_line, 1, 60))),
+                named(F.concat(F.lit("bad sentence line: "), bad_line)),
             ),
             F.when(
                 (F.col("kind") == "labelled") & (F.size(unknown) > 0),
@@ -315,7 +314,7 @@ def dataset_fingerprint(examples: DataFrame) -> DataFrame:
     ]
     return examples.agg(
         F.count("*").alias("examples"),
-        F.substring(F.sha2(F.concat_ws(",", F.count("*").cast("string"), *lanes), 256), 1, 12).alias("fingerprint"),
+        F.sha2(F.concat_ws(",", F.count("*").cast("string"), *lanes), 256).alias("fingerprint"),
     )
 
 
@@ -347,7 +346,3 @@ def smoke_totals(rows: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == "skipped").alias("skipped"),
         F.floor(F.avg("latency_ms") + 0.5).alias("avg_latency_ms"),
     )
-
-
-def last_attempt(attempts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return first_per_key(attempts, list(keys), [F.desc("attempt")])

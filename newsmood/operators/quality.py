@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 from newsmood import config
 
 
-def _one_of(column: str, values: Sequence[str]) -> Column:
-    return F.col(column).isin(list(values))
-
-
 # The check constraints of every table, as (rule, predicate).
 CHECKS: dict[str, dict[str, Column | str]] = {
     "sources": {

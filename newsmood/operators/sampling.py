@@ -13,8 +13,8 @@ from newsmood.session import checkpoint
 
 
 def seeded_order(seed: int, *key: Column | str) -> Column:
-    """A position that depends only on the key and the seed."""
-    return F.xxhash64(*key, F.lit(seed))
+    """A position that depends only on the key and the seed: an MD5, which any SQL engine has."""
+    return F.md5(F.concat_ws(":", *key, F.lit(str(seed))).cast("binary"))
 
 
 def spot_check(rows: DataFrame, key: Sequence[str], n: int, seed: int) -> DataFrame:
@@ -23,8 +23,8 @@ def spot_check(rows: DataFrame, key: Sequence[str], n: int, seed: int) -> DataFr
 
 
 def example_id(article_id: Column, slug: Column) -> Column:
-    digest = F.sha1(F.concat(article_id.cast("string"), F.lit(":"), slug))
-    return F.concat(slug, F.lit("-"), F.substring(digest, 1, 8))
+    """The slug and the whole digest of article and slug: it serves as a key, so nothing is cut off."""
+    return F.concat(slug, F.lit("-"), F.sha1(F.concat(article_id.cast("string"), F.lit(":"), slug)))
 
 
 def hard_cases(mentions: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -16,11 +16,10 @@ FAILURES = ["invalid_json", "bad_citation", "schema"]
 
 
 def pending_pairs(mentions: DataFrame, assets: DataFrame, articles: DataFrame, signals: DataFrame, as_of,
-                  limit: int) -> DataFrame:
-    """Mentions without a signal, event time in the last 7 days, newest first.
+                  limit: int | None) -> DataFrame:
+    """Mentions without a signal, event time in the last 7 days; the newest `limit`, or all of them with None.
 
-    The limit is clamped to 0..500. Sentences are joined back after the limit, so the sort moves
-    only keys.
+    Sentences are joined back after the limit, so the sort moves only keys.
     """
     since = numbers.days_before(numbers.instant(as_of), config.MAX_AGE_DAYS)
     keys = ["article_id", "asset_id"]
@@ -31,9 +30,9 @@ def pending_pairs(mentions: DataFrame, assets: DataFrame, articles: DataFrame, s
         .join(signals.select(*keys), keys, "left_anti")
         .join(recent, "article_id")
         .join(named, "asset_id")
-        .orderBy(F.desc("event_at"), "article_id", "asset_id")
-        .limit(max(0, min(limit, config.PENDING_LIMIT_MAX)))
     )
+    if limit is not None:
+        top = top.orderBy(F.desc("event_at"), "article_id", "asset_id").limit(max(0, limit))
     return top.join(mentions.select(*keys, "sentences"), keys)
 
 

@@ -185,7 +185,7 @@ def miss_list(v):
     return evaluation.misses(v.pairs).select("example_id", "gold", "pred")
 
 
-@query("L15")
+@query("L15", "SELECT example_id, verdict FROM pairs ORDER BY md5(example_id || ':7'), example_id LIMIT 30", "pairs")
 def spot_check(v):
     """Thirty verdicts in seeded order."""
     return sampling.spot_check(v.pairs.select("example_id", "verdict"), ["example_id"], 30, seed=7)
@@ -201,7 +201,7 @@ def hard_cases(v):
     return sampling.hard_cases(v.mentions, v.aliases).select("article_id", "asset_id", "bucket")
 
 
-@query("L17", "SELECT asset_id || '-' || substr(sha1(article_id || ':' || asset_id), 1, 8) AS example_id FROM signals", "signals")
+@query("L17", "SELECT asset_id || '-' || sha1(article_id || ':' || asset_id) AS example_id FROM signals", "signals")
 def example_ids(v):
     return v.signals.select(sampling.example_id(F.col("article_id"), F.col("asset_id")).alias("example_id"))
 
@@ -214,7 +214,28 @@ def candidates(v: Views) -> DataFrame:
     )
 
 
-@query("L18")
+def _levels_sql(name: str, pool: str, before: str, limit: str) -> str:
+    """The first `limit` picks of a pool when every pick goes to the asset with the fewest rows so far in `before`."""
+    return f"""ranked_{name} AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY source_turn, md5(asset || ':' || source || ':42'), source) AS asset_turn
+    FROM (SELECT *, row_number() OVER (PARTITION BY asset, source ORDER BY md5(key || ':42'), key) AS source_turn FROM {pool})),
+  {name} AS (SELECT key, asset, source, hard FROM ranked_{name} LEFT JOIN (SELECT asset, count(*) AS have FROM {before} GROUP BY asset) USING (asset)
+    ORDER BY coalesce(have, 0) + asset_turn, md5(asset || ':42'), asset LIMIT {limit})"""
+
+
+_SAMPLE = _BUCKETS + """,
+  cands AS (SELECT asset_id || '-' || sha1(article_id || ':' || asset_id) AS key, asset_id AS asset, source_id AS source, bucket <> 'standard' AS hard
+    FROM buckets JOIN (SELECT article_id, source_id FROM articles) USING (article_id)),
+  hard_ones AS (SELECT * FROM cands WHERE hard), easy_ones AS (SELECT * FROM cands WHERE NOT hard), nothing AS (SELECT * FROM cands WHERE false),
+""" + ",\n".join((
+    _levels_sql("first_picks", "hard_ones", "nothing", "60"),
+    _levels_sql("second_picks", "easy_ones", "first_picks", "(SELECT 200 - count(*) FROM first_picks)"),
+    "both_picks AS (SELECT * FROM first_picks UNION ALL SELECT * FROM second_picks)",
+    "hard_rest AS (SELECT * FROM hard_ones WHERE key NOT IN (SELECT key FROM first_picks))",
+    _levels_sql("third_picks", "hard_rest", "both_picks", "(SELECT 200 - count(*) FROM both_picks)"),
+))
+
+
+@query("L18", "SELECT * FROM both_picks UNION ALL SELECT * FROM third_picks", "mentions hits articles", recursive=_SAMPLE)
 def stratified_sample(v):
     """Two hundred examples to label, balanced over assets and sources, 30 % hard ones."""
     return sampling.stratified_sample(candidates(v), 200, seed=42, hard_share=0.3)
@@ -228,7 +249,12 @@ def sample_tallies(v):
     return evaluation.tallies(rows, ["asset_id", "source_id", "bucket"])
 
 
-@query("L20")
+@query("L20", r"""SELECT n AS examples, sha256(n || ',' || s0 || ',' || s1 || ',' || s2 || ',' || s3) AS fingerprint FROM (SELECT count(*) AS n,
+    sum(CAST('0x' || substr(h, 1, 15) AS UBIGINT)) AS s0, sum(CAST('0x' || substr(h, 16, 15) AS UBIGINT)) AS s1,
+    sum(CAST('0x' || substr(h, 31, 15) AS UBIGINT)) AS s2, sum(CAST('0x' || substr(h, 46, 15) AS UBIGINT)) AS s3
+  FROM (SELECT sha256('{"example_id":"' || example_id || '","gold_stance":"' || gold || '","gold_ids":'
+      || CASE v % 4 WHEN 0 THEN '["S1","S2"]' WHEN 1 THEN '[]' WHEN 2 THEN '["S7","S1"]' ELSE '["S2"]' END
+      || ',"sentences":[{"id":"S1","text":"One."},{"id":"S2","text":"Two."}]}') AS h FROM kinds WHERE kind = 'labelled'))""", "ev", recursive=_LABEL_SQL)
 def dataset_fingerprint(v):
     return evaluation.dataset_fingerprint(evaluation.labelled_examples(evaluation.check_labels(label_rows(v))))
 
@@ -260,7 +286,8 @@ def smoke_totals(v):
     return totals.withColumns({c: r(c) for c in ("accuracy", "unclear_recall", "unclear_precision", "evidence_validity")})
 
 
-@query("A10")
+@query("A10", """SELECT count(*) AS n, CAST(count_if(gold = pred) AS BIGINT) AS correct FROM pairs
+  UNION ALL SELECT count(*), CAST(count_if(gold = pred) AS BIGINT) FROM pairs""", "pairs")
 def evaluation_results(v):
     """Summary and per-example rows written as JSON and counted back."""
     path = scratch_path(v.spark, "eval")

@@ -95,7 +95,10 @@ def catalogue_load(v):
     return assets.join(aliases, "asset_id").select("asset_id", "slug", "name", "asset_type", "alias", "is_case_sensitive")
 
 
-@query("A8")
+@query("A8", """SELECT 'ingest' AS job, '2024-01-30 12:00:00' AS started_at, '2024-01-31 00:00:00' AS finished_at, 'ok' AS status,
+    '{"sources":' || count(*) || ',"fetched_ok":' || count_if(outcome = 'ok') || ',"not_modified":' || count_if(outcome = 'not_modified')
+    || ',"failed":' || count_if(outcome = 'error') || ',"deactivated":' || count_if(outcome = 'error' AND consecutive_failures >= 4) || '}' AS stats
+  FROM (SELECT * FROM sources WHERE is_active) LEFT JOIN outcomes USING (source_id)""", "sources outcomes")
 def run_ledger(v):
     """A ledger row with the fetch counters of a run, appended to a table and read back."""
     path = scratch_path(v.spark, "job_runs")

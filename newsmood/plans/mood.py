@@ -109,20 +109,19 @@ def symbol_results(v):
     return series.symbol_results(v.raw_candles, v.symbols)
 
 
-@query("H4", """SELECT asset_id, CAST(max(day) AS VARCHAR) AS last_day FROM assets LEFT JOIN
-  (SELECT * FROM prices WHERE close > 400000) USING (asset_id) GROUP BY 1""", "prices assets")
+@query("H4", """SELECT asset_id, CAST(max(day) AS VARCHAR) AS last_day FROM assets LEFT JOIN prices USING (asset_id) GROUP BY 1""", "prices assets")
 def latest_price_days(v):
-    return series.latest_days(v.assets.select("asset_id"), v.prices.where("close > 400000")).withColumn("last_day", text_of("last_day"))
+    return series.latest_days(v.assets.select("asset_id"), v.prices).withColumn("last_day", text_of("last_day"))
 
 
 @query("H5", """SELECT asset_id, CAST(last_day AS VARCHAR) AS last_day FROM (
-  SELECT asset_id, max(CASE WHEN close > 400000 THEN day END) AS last_day FROM part_assets p LEFT JOIN prices USING (asset_id) GROUP BY 1
-  UNION ALL SELECT asset_id, max(CASE WHEN close > 400000 THEN day END) FROM prices GROUP BY 1)
+  SELECT asset_id, max(day) AS last_day FROM part_assets p LEFT JOIN prices USING (asset_id) GROUP BY 1
+  UNION ALL SELECT asset_id, max(day) FROM prices GROUP BY 1)
   WHERE last_day IS NULL OR last_day < DATE '2024-01-31' ORDER BY last_day NULLS FIRST, asset_id LIMIT 2005""", "prices part_assets")
 def pick_stale(v):
     """Assets with prices and never-priced ones, most out of date first (a top-n report)."""
     tracked = v.part_records.select("asset_id").unionByName(v.assets.select("asset_id"))
-    dated = series.latest_days(tracked, v.prices.where("close > 400000")).withColumn("slug", F.col("asset_id"))
+    dated = series.latest_days(tracked, v.prices).withColumn("slug", F.col("asset_id"))
     return series.pick_stale(dated, AS_OF, 2005).select("asset_id", text_of("last_day").alias("last_day"))
 
 

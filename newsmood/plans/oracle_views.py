@@ -66,7 +66,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     "articles": ([], f"""
         SELECT doc_id AS article_id, CASE WHEN lang = 'de' THEN 'x-' || source ELSE source END AS source_id,
                'https://news.example/' || doc_id AS url, sha256('https://news.example/' || doc_id) AS url_hash,
-               {truncate('head')} AS title, body AS excerpt,
+               head AS title, body AS excerpt,
                CASE WHEN doc_id % 10 <> 0 THEN t0 END AS published_at, t0 + INTERVAL 30 MINUTE AS fetched_at,
                CASE WHEN n_chars % 7 <> 0 THEN 'st' || (n_chars % 97) END AS story_id, lang AS language
         FROM (SELECT *, {collapse("regexp_extract(text, '^[^\\n.]*')")} AS head, {collapse('text')} AS body,
@@ -89,10 +89,10 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     "sentences": (["articles"], r"""
         SELECT article_id, pos, 'S' || pos AS sid, txt FROM (
           SELECT article_id, txt, row_number() OVER (PARTITION BY article_id ORDER BY raw_pos) AS pos FROM (
-            SELECT article_id, 0 AS raw_pos, substr(title, 1, 400) AS txt, substr(title, 1, 400) AS head FROM articles
+            SELECT article_id, 0 AS raw_pos, title AS txt, title AS head FROM articles
             UNION ALL
-            SELECT article_id, raw_pos, CASE WHEN length(s) > 400 THEN substr(s, 1, 399) || '…' ELSE s END, head FROM (
-              SELECT article_id, substr(title, 1, 400) AS head, trim(unnest(parts)) AS s, unnest(range(1, len(parts) + 1)) AS raw_pos
+            SELECT article_id, raw_pos, s, head FROM (
+              SELECT article_id, title AS head, trim(unnest(parts)) AS s, unnest(range(1, len(parts) + 1)) AS raw_pos
               FROM (SELECT article_id, title, string_split(regexp_replace(regexp_replace(excerpt,
                       '([!?…]["''”’)\]]*) ', '\1' || chr(1), 'g'),
                       '(\.["''”’)\]]*) ([^\p{Ll}])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS parts FROM articles))
@@ -215,7 +215,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         SELECT page_id, feed, title, url, sha256(url) AS url_hash, excerpt, published_at,
                CASE WHEN title = '' THEN 'no_title' WHEN url IS NULL THEN 'bad_url'
                     WHEN published_at < TIMESTAMP '2024-01-31' - INTERVAL 7 DAY THEN 'too_old' END AS reject_reason
-        FROM (SELECT page_id, feed, {truncate('t')} AS title, {truncate('s')} AS excerpt, least(item_at, TIMESTAMP '2024-01-31') AS published_at,
+        FROM (SELECT page_id, feed, t AS title, {truncate('s')} AS excerpt, least(item_at, TIMESTAMP '2024-01-31') AS published_at,
                      scheme || '://' || host || CASE WHEN path = '' THEN '/' ELSE path END
                        || CASE WHEN len(kept) = 0 THEN '' ELSE '?' || array_to_string(kept, '&') END AS url
               FROM (SELECT *, {strip_html('title')} AS t, {strip_html('summary')} AS s,

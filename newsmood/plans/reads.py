@@ -117,9 +117,9 @@ def watchlists_in_order(v):
 
 
 @query("I9", """SELECT DISTINCT w.user_id, coalesce(u.beginner_mode, false) AS beginner_mode FROM watchlists w
-  LEFT JOIN (SELECT * FROM users WHERE beginner_mode) u USING (user_id)""", "watchlists users")
+  LEFT JOIN users u USING (user_id)""", "watchlists users")
 def beginner_flags(v):
-    stored = v.users.where("beginner_mode").select("user_id", "beginner_mode")
+    stored = v.users.select("user_id", "beginner_mode")
     return reads.beginner_flags(v.watchlists, stored)
 
 
@@ -189,38 +189,86 @@ def visible_rows(v):
   UNION ALL SELECT 'asset_signals', 'stance', CAST(count_if(stance NOT IN ('bullish','bearish','hawkish','dovish','neutral','unclear')) AS BIGINT) FROM signals
   UNION ALL SELECT 'asset_signals', 'strength', CAST(count_if(strength NOT BETWEEN 0 AND 3) AS BIGINT) FROM signals
   UNION ALL SELECT 'asset_signals', 'status', CAST(count_if(status NOT IN ('ok','unclear','failed')) AS BIGINT) FROM signals
-  UNION ALL SELECT 'asset_signals', 'failure_reason', CAST(count_if(status <> 'failed' AND strength = 3) AS BIGINT) FROM signals""",
+  UNION ALL SELECT 'asset_signals', 'failure_reason', CAST(count_if(status <> 'failed' AND strength = 3) AS BIGINT) FROM signals
+  UNION ALL SELECT 'asset_signals', 'why_length', CAST(count_if(article_id % 230 > 200) AS BIGINT) FROM signals
+  UNION ALL SELECT 'briefs', 'level', CAST(count_if(o_orderpriority = '5-LOW') AS BIGINT) FROM orders
+  UNION ALL SELECT 'briefs', 'source', CAST(count_if(o_orderstatus = 'P') AS BIGINT) FROM orders
+  UNION ALL SELECT 'job_runs', 'job', CAST(count_if(l_linenumber % 5 = 4) AS BIGINT) FROM lineitem
+  UNION ALL SELECT 'job_runs', 'status', CAST(count_if(l_linenumber % 4 = 3) AS BIGINT) FROM lineitem""",
        "articles sources part_assets part_aliases mentions raw_candles mood calls signals")
 def check_constraints(v):
-    """Violations of the declared checks; strong signals that did not fail carry a planted reason."""
+    """Violations of all declared checks; some rows carry planted reasons, texts, levels and states that break a rule."""
     from newsmood.operators import mood
 
     candles = v.raw_candles.select(*[F.col(c).try_cast("double").alias(c) for c in ("high", "low", "close")])
-    signals = v.signals.withColumn("failure_reason", F.when(F.col("strength") == 3, "schema"))
+    signals = v.signals.withColumns({
+        "failure_reason": F.when(F.col("strength") == 3, "schema"), "why": F.repeat(F.lit("y"), (F.col("article_id") % 230).cast("int"))})
+    briefs = v.table("orders").select(
+        F.when(F.col("o_orderpriority") == "5-LOW", "expert").otherwise("standard").alias("level"),
+        F.when(F.col("o_orderstatus") == "P", "human").when(F.col("o_orderstatus") == "F", "ai").otherwise("template").alias("source"))
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (n + 1).cast("int"))
+    runs = v.table("lineitem").select(
+        pick(["ingest", "score", "mood", "prices", "backup"], F.col("l_linenumber") % 5).alias("job"),
+        pick(["ok", "partial", "failed", "running"], F.col("l_linenumber") % 4).alias("status"))
     tables = {
         "articles": v.articles, "sources": v.sources, "assets": v.part_records, "asset_mentions": v.mentions, "daily_prices": candles,
         "asset_aliases": catalogue.alias_rows(v.part_records, catalogue.asset_rows(v.part_records)),
         "daily_mood": mood.daily_mood(v.signals, AS_OF), "llm_calls": v.calls, "asset_signals": signals,
+        "briefs": briefs, "job_runs": runs,
     }
     parts = [
-        quality.check_counts(t, {r: p for r, p in quality.CHECKS[name].items() if r != "why_length"}).withColumn("tab", F.lit(name))
+        quality.check_counts(t, quality.CHECKS[name]).withColumn("tab", F.lit(name))
         for name, t in tables.items()
     ]
+    assert set(tables) == set(quality.CHECKS)
     return reduce(DataFrame.unionByName, parts).select("tab", "rule", "violations")
 
 
-@query("K1", """SELECT article_id, 'excerpt_length' AS rule FROM articles WHERE length(excerpt) > 500""", "articles")
+@query("K1", """SELECT article_id, 'excerpt_length' AS rule FROM articles WHERE length(excerpt) > 500
+  UNION ALL SELECT article_id, 'title_length' FROM articles WHERE length(title) > 500""", "articles")
 def check_violations(v):
     return quality.check_violations(v.articles, quality.CHECKS["articles"]).select("article_id", "rule")
 
 
-@query("K2", """SELECT 'slug' AS key, name AS value, count(*) AS copies FROM part_assets GROUP BY name HAVING count(*) > 1
-  UNION ALL SELECT 'title', title, count(*) FROM articles GROUP BY title HAVING count(*) > 1""", "part_assets articles")
+# Key columns of the mapped tables, and the SQL table that holds each of them.
+_KEYED = {
+    "sources": "sources", "assets": "part_assets", "asset_aliases": "part_aliases", "stories": "stories", "articles": "articles",
+    "asset_mentions": "mentions", "asset_signals": "signals", "daily_mood": "mood", "daily_prices": "prices", "watchlists": "watchlists",
+    "user_settings": "users",
+    "briefs": "(SELECT o_custkey AS user_id, CAST(o_orderdate AS DATE) AS day, 'standard' AS level, 'h' || o_custkey AS watchlist_hash FROM orders)",
+}
+_DUPLICATES = " UNION ALL ".join(
+    f"SELECT '{tab}' AS tab, '{','.join(key)}' AS key, count(*) AS values_repeated, CAST(coalesce(sum(n), 0) AS BIGINT) AS row_count FROM "
+    f"(SELECT count(*) AS n FROM {source} u GROUP BY {', '.join(key)} HAVING count(*) > 1)"
+    for tab, source in _KEYED.items() for key in quality.KEYS[tab]
+) + """ UNION ALL SELECT 'articles again', 'article_id', count(*), CAST(2 * count(*) AS BIGINT) FROM articles WHERE article_id % 7 = 0
+  UNION ALL SELECT 'assets', 'name', count(*), CAST(sum(n) AS BIGINT) FROM (SELECT count(*) AS n FROM part_assets GROUP BY name HAVING count(*) > 1)"""
+
+
+@query("K2", _DUPLICATES, "sources part_assets part_aliases stories articles mentions signals mood prices watchlists users")
 def duplicate_keys(v):
-    """Names of parts and titles of articles taken as keys, which they are not."""
-    parts = quality.duplicate_keys(v.part_records, ["name"]).select(F.lit("slug").alias("key"), F.col("name").alias("value"), "copies")
-    titles = quality.duplicate_keys(v.articles, ["title"]).select(F.lit("title").alias("key"), F.col("title").alias("value"), "copies")
-    return parts.unionByName(titles)
+    """Repeated values of every declared key; a seventh of the articles twice, and part names, show that repeats are found."""
+    from newsmood.operators import mood
+
+    tables = {
+        "sources": v.sources, "assets": v.part_records, "asset_aliases": catalogue.alias_rows(v.part_records, catalogue.asset_rows(v.part_records)),
+        "stories": v.stories, "articles": v.articles, "asset_mentions": v.mentions, "asset_signals": v.signals,
+        "daily_mood": mood.daily_mood(v.signals, AS_OF), "daily_prices": v.prices, "watchlists": v.watchlists, "user_settings": v.users,
+        "briefs": v.table("orders").select(
+            F.col("o_custkey").alias("user_id"), F.to_date("o_orderdate").alias("day"), F.lit("standard").alias("level"),
+            F.concat(F.lit("h"), F.col("o_custkey").cast("string")).alias("watchlist_hash")),
+    }
+    assert set(tables) == set(quality.KEYS)
+    again = v.articles.select("article_id")
+    asked = [(tab, tables[tab], key) for tab, keys in quality.KEYS.items() for key in keys]
+    asked += [("articles again", again.union(again.where("article_id % 7 = 0")), ["article_id"]), ("assets", v.part_records, ["name"])]
+    parts = [
+        quality.duplicate_keys(table, key).agg(
+            F.count("*").alias("values_repeated"), F.coalesce(F.sum("copies"), F.lit(0)).cast("long").alias("row_count")
+        ).select(F.lit(tab).alias("tab"), F.lit(",".join(key)).alias("key"), "values_repeated", "row_count")
+        for tab, table, key in asked
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("K3", "SELECT article_id, source_id FROM articles WHERE source_id NOT IN (SELECT source_id FROM sources)", "articles sources")

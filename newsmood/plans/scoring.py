@@ -62,9 +62,9 @@ def stub_scorer(batch: pd.DataFrame) -> pd.DataFrame:
 
 
 @query("F1", "SELECT article_id, asset_id, asset_name, asset_type, strftime(event_at, '%Y-%m-%d %H:%M:%S') AS event_at, array_to_string(sids, ',') AS sids "
-       "FROM pending ORDER BY pending.event_at DESC, article_id, asset_id LIMIT 500", "mentions assets articles mention_signals", recursive=PENDING_SQL)
+       "FROM pending", "mentions assets articles mention_signals", recursive=PENDING_SQL)
 def pending_pairs(v):
-    rows = stance.pending_pairs(v.mentions, v.assets, v.articles, v.mention_signals, AS_OF, 100_000)
+    rows = stance.pending_pairs(v.mentions, v.assets, v.articles, v.mention_signals, AS_OF, None)
     return rows.select(
         "article_id", "asset_id", "asset_name", "asset_type", stamp("event_at").alias("event_at"),
         F.array_join(F.transform("sentences", lambda s: s["id"]), ",").alias("sids"),

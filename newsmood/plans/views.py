@@ -79,8 +79,9 @@ class Views:
             F.when(F.col("lang") == "de", F.concat(F.lit("x-"), "source")).otherwise(F.col("source")).alias("source_id"),
             url.alias("url"),
             urls.url_hash(url).alias("url_hash"),
-            text.truncate(text.collapse(F.regexp_extract("text", r"^[^\n.]*", 0)), 500).alias("title"),
+            text.collapse(F.regexp_extract("text", r"^[^\n.]*", 0)).alias("title"),
             text.collapse(F.col("text")).alias("excerpt"),
+            text.collapse(F.col("text")).alias("body"),
             F.when(F.col("doc_id") % 10 != 0, base).alias("published_at"),
             (base + F.expr("INTERVAL 30 MINUTES")).alias("fetched_at"),
             F.when(F.col("n_chars") % 7 != 0, F.concat(F.lit("st"), (F.col("n_chars") % 97).cast("string"))).alias("story_id"),

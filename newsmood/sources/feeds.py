@@ -60,6 +60,6 @@ def read_feeds(spark: SparkSession, path: str) -> DataFrame:
     return read_rss(spark, path).unionByName(read_atom(spark, path))
 
 
-def write_rss(items: DataFrame, path: str) -> None:
-    """Items (title, link, description, pubDate) as RSS files."""
-    items.write.format("xml").option("rootTag", "rss").option("rowTag", "item").mode("errorifexists").save(path)
+def write_rss(items: DataFrame, path: str, *folders: str) -> None:
+    """Items (title, link, description, pubDate) as RSS files, in one folder per value of the columns `folders`."""
+    items.write.partitionBy(*folders).format("xml").option("rootTag", "rss").option("rowTag", "item").mode("errorifexists").save(path)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from newsmood import config
 
@@ -37,6 +36,3 @@ def write_labels(rows: DataFrame, path: str) -> None:
         header=True, quote='"', escape='"', emptyValue="", lineSep="\n",
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     ).csv(path)
-
-
-LABEL_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in config.JUDGE_COLUMNS])

@@ -19,7 +19,7 @@ from newsmood.session import checkpoint
 from newsmood.sources import sinks
 
 ARTICLES = (
-    "article_id string, source_id string, url string, url_hash string, title string, excerpt string, "
+    "article_id string, source_id string, url string, url_hash string, title string, body string, excerpt string, "
     "published_at timestamp, fetched_at timestamp, story_id string"
 )
 HEADS = "story_id string, headline string, first_seen_at timestamp"
@@ -27,22 +27,22 @@ RSS_ITEM = "title string, link string, description string, pubDate string"
 
 
 def read_landing(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
-    """A stream of raw items from landed RSS files; the file name is the source."""
-    reader = spark.readStream.format("xml").option("rowTag", "item").schema(RSS_ITEM)
+    """A stream of raw items from RSS files landed in one folder per source, `source_id=<id>`."""
+    reader = spark.readStream.format("xml").option("rowTag", "item").schema(f"{RSS_ITEM}, source_id string")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.load(folder).select(
-        F.input_file_name().alias("source_id"), "title", "link", F.col("description").alias("summary"),
+        "source_id", "title", "link", F.col("description").alias("summary"),
         F.col("pubDate").alias("date"),
     )
 
 
 def ingest_batch(items: DataFrame, tables: str, aliases: DataFrame, as_of) -> None:
-    """One run over a batch of raw items (source_id, title, link, summary, date)."""
+    """One run over a batch of raw items (source_id, title, link, summary, date), in the order of the feeds."""
     spark = items.sparkSession
     stored = sinks.read_table(spark, f"{tables}/articles", ARTICLES)
-    good = clean.accepted(clean.normalise_items(items, as_of))
-    fresh = unseen(first_per_key(good, ["url_hash"], ["source_id", "title", "excerpt"]), stored, ["url_hash"])
+    good = clean.accepted(clean.normalise_items(items.withColumn("position", F.monotonically_increasing_id()), as_of))
+    fresh = unseen(first_per_key(good, ["url_hash"], ["source_id", "position"]), stored, ["url_hash"])
     fresh = checkpoint(
         fresh.withColumns({"article_id": F.col("url_hash"), "fetched_at": numbers.instant(as_of)})
     )

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from newsmood import config
+from newsmood.functions import numbers
 from newsmood.operators import mood
 from newsmood.sources import sinks
 
@@ -23,7 +25,9 @@ def mood_batch(signals: DataFrame, tables: str, as_of) -> None:
     """Stores new signals and upserts the mood of the last days, rewriting only those days."""
     dated = signals.withColumn("created_day", F.to_date("created_at")).select(*sinks.column_names(SIGNALS))
     sinks.append_new(dated, f"{tables}/signals", ["article_id", "asset_id"], ["created_at"], ["created_day"])
-    stored = signals.sparkSession.read.schema(SIGNALS).parquet(f"{tables}/signals")
+    # Older partitions cannot hold a vote of the days that are recomputed.
+    oldest = F.date_sub(F.to_date(numbers.instant(as_of)), config.MOOD_DAYS + config.MOOD_READ_MARGIN_DAYS)
+    stored = signals.sparkSession.read.schema(SIGNALS).parquet(f"{tables}/signals").where(F.col("created_day") >= oldest)
     recent = mood.rolling_mood(stored, as_of)
     sinks.upsert_partitions(recent, f"{tables}/daily_mood", ["asset_id", "day"], ["score"], partition_by="day")
 

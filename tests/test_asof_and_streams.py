@@ -4,13 +4,11 @@ import random
 from datetime import datetime, timedelta
 
 from newsmood.operators.asof import first_at_or_after
-from newsmood.sources import catalogue
 from newsmood.streaming import health, ingest, mood
 from tests.conftest import rows
-from tests.test_clean import RSS
-from tests.test_mood_and_series import signals
+from tests.test_mood_and_series import NOON, signals
 
-T0 = datetime(2026, 9, 20)
+T0 = datetime(2031, 3, 4)
 
 
 def test_first_at_or_after(spark):
@@ -30,42 +28,52 @@ def test_first_at_or_after(spark):
     assert {(r.g, r.since): (r.hit_at, r.hit_id) for r in got.collect()} == want
 
 
-def test_ingest_stream_twice(spark, tmp_path):
-    landing, tables, progress = (str(tmp_path / x) for x in ("landing", "tables", "progress"))
-    (tmp_path / "landing").mkdir()
-    (tmp_path / "landing" / "a.xml").write_text(RSS)
-    records = catalogue.default_records(spark)
-    aliases = catalogue.alias_rows(records, catalogue.asset_rows(records))
+ITEM = "<item><title>{}</title><link>https://pier.test/{}</link><description>{}</description><pubDate>Sun, 09 Mar 2031 0{}:00:00 GMT</pubDate></item>"
+
+
+def land(folder, source, name, *items):
+    (folder / f"source_id={source}").mkdir(parents=True, exist_ok=True)
+    body = "".join(ITEM.format(*i) for i in items)
+    (folder / f"source_id={source}" / name).write_text(f"<rss><channel>{body}</channel></rss>")
+
+
+def test_ingest_stream(spark, tmp_path):
+    landing, tables, progress = tmp_path / "landing", str(tmp_path / "tables"), str(tmp_path / "progress")
+    aliases = spark.createDataFrame([("kelp", "kelp", False), ("tin", "TIN", True)], "asset_id string, alias string, is_case_sensitive boolean")
+    far = "Calm seas. " * 80 + "TIN was found."
 
     def run(as_of):
-        ingest.start_ingest(ingest.read_landing(spark, landing, 1), tables, aliases, as_of, progress).awaitTermination()
-        count = lambda t: spark.read.parquet(f"{tables}/{t}").count()
-        return count("articles"), count("story_heads"), count("mentions")
-
-    assert run("2026-09-25 12:00:00") == (2, 2, 2)
-    # The same items in another file, one with a new link and nearly the same title.
-    (tmp_path / "landing" / "b.xml").write_text(RSS.replace("/fed<", "/fed2<").replace("rates</title>", "rates!</title>"))
-    assert run("2026-09-25 14:00:00") == (3, 2, 3)
-    assert run("2026-09-25 16:00:00") == (3, 2, 3)
-    assert max(r["article_count"] for r in rows(ingest.current_stories(spark, tables))) == 2
-    # A batch repeated after a failure.
-    items = spark.read.format("xml").option("rowTag", "item").schema(ingest.RSS_ITEM).load(landing).selectExpr(
-        "'x' AS source_id", "title", "link", "description AS summary", "pubDate AS date"
-    )
-    ingest.ingest_batch(items, tables, aliases, "2026-09-25 18:00:00")
+        ingest.start_ingest(ingest.read_landing(spark, str(landing), 1), tables, aliases, as_of, progress).awaitTermination()
+        return [spark.read.parquet(f"{tables}/{t}").count() for t in ("articles", "story_heads", "mentions")]
+
+    land(landing, "pier", "1.xml", ("Kelp boat sinks off north reef overnight", "a", "None hurt.", 1), ("Second words", "a", "Same link.", 1), ("Mast raised", "b", far, 2))
+    assert run("2031-03-10 00:00:00") == [2, 2, 2]
+    got = {r.url: r for r in spark.read.parquet(f"{tables}/articles").collect()}
+    # The first item of a feed wins, the article carries its source, the body is whole.
+    assert got["https://pier.test/a"].title.startswith("Kelp boat") and {r.source_id for r in got.values()} == {"pier"}
+    assert got["https://pier.test/b"].body == far
+    # Another source repeats one link and tells one story again.
+    land(landing, "buoy", "1.xml", ("Mast raised", "b", far, 2), ("Kelp boat sinks off north reef overnight again", "c", "", 3))
+    assert run("2031-03-10 02:00:00") == [3, 2, 3]
+    assert run("2031-03-10 04:00:00") == [3, 2, 3]
+    story = max(rows(ingest.current_stories(spark, tables)), key=lambda r: r["article_count"])
+    assert (story["article_count"], story["source_count"]) == (2, 2)
+    # A batch repeated after a failure adds nothing.
+    items = spark.read.format("xml").option("rowTag", "item").schema(f"{ingest.RSS_ITEM}, source_id string").load(str(landing)).selectExpr(
+        "source_id", "title", "link", "description AS summary", "pubDate AS date")
+    ingest.ingest_batch(items, tables, aliases, "2031-03-10 06:00:00")
     assert spark.read.parquet(f"{tables}/articles").count() == 3
 
 
 def test_mood_stream_recomputes_late_days(spark, tmp_path):
     tables = str(tmp_path)
-    as_of = "2026-09-25 12:00:00"
-    drop = lambda df: df.selectExpr("*").withColumn("article_id", df.article_id.substr(5, 9).cast("long"))
-    first = drop(signals(spark, {"source_id": "a"}, {"source_id": "b", "event_at": datetime(2026, 9, 23, 10)}))
-    late = drop(signals(spark, {}, {}, {"source_id": "c", "stance": "bearish", "event_at": datetime(2026, 9, 23, 11)}))
+    number = lambda df: df.withColumn("article_id", df.article_id.substr(6, 9).cast("long"))
+    first = number(signals(spark, ("a", "1", "bullish", 3), ("b", "2", "bearish", 3, 50)))
+    late = number(signals(spark, ("a", "1", "bullish", 3), ("b", "2", "bearish", 3, 50), ("c", "3", "bearish", 3, 49)))
     for batch in (first, late, late):
-        mood.mood_batch(batch, tables, as_of)
-    got = {str(r.day): (r.score, r.source_count) for r in spark.read.parquet(f"{tables}/daily_mood").collect()}
-    assert got["2026-09-25"][1] == 1 and got["2026-09-23"][1] == 2
+        mood.mood_batch(batch, tables, str(NOON))
+    got = {str(r.day): r.source_count for r in spark.read.parquet(f"{tables}/daily_mood").collect()}
+    assert got["2031-03-10"] == 1 and got["2031-03-08"] == 2
 
 
 def test_health_stream_over_batches(spark):

@@ -1,50 +1,60 @@
-"""Asset detection with the built-in catalogue."""
+"""Asset detection with a small catalogue of our own."""
 
 import pytest
 
 from newsmood.operators import detect
-from newsmood.sources import catalogue
+
+CATALOGUE = [
+    ("kelp", "kelp", False), ("kelp", "sea weed", False), ("tin", "TIN", True), ("bank", "Bank of the Isles", False), ("pair", "KLP/TIN", True),
+    ("index", "T&K 40", False), ("dot", "K.L. Corp.", False), ("sign", "$$", False),
+]
 
 
 @pytest.fixture(scope="module")
 def aliases(spark):
-    records = catalogue.default_records(spark)
-    return catalogue.alias_rows(records, catalogue.asset_rows(records)).cache()
+    return spark.createDataFrame(CATALOGUE, "asset_id string, alias string, is_case_sensitive boolean")
 
 
-def found(spark, aliases, texts):
-    df = spark.createDataFrame([(i, t, e) for i, (t, e) in enumerate(texts)], "article_id int, title string, excerpt string")
+def found(spark, aliases, *texts):
+    df = spark.createDataFrame([(i, t, e) for i, (t, e) in enumerate(texts)], "article_id int, title string, body string")
     out = {i: {} for i in range(len(texts))}
     for r in detect.mention_rows(df, aliases).collect():
         out[r.article_id][r.asset_id] = [s.id for s in r.sentences]
     return out
 
 
-@pytest.mark.parametrize("limit", [2000, 3])
-def test_whole_words_case_and_special_characters(spark, aliases, monkeypatch, limit):
-    monkeypatch.setattr(detect, "ANCHOR_LIMIT", limit)  # 3: the way for a catalogue that is too large
-    cases = [
-        ("Golden State Warriors win again", set()), ("Gold climbs as dollar slips", {"gold"}), ("NVDA jumps after earnings", {"nvidia"}),
-        ("nvda is lowercase noise", set()), ("nvidia matches the name", {"nvidia"}), ("Farmers fed the cattle", set()),
-        ("Fed's Powell speaks", {"fed"}), ("an apple a day", set()), ("Apple unveils a phone", {"apple"}),
-        ("The European  Central Bank held rates", {"ecb"}), ("S&P 500 closes at record", {"sp-500"}), ("EUR/USD slips below 1.10", {"eur-usd"}),
-        ("HG=F and U.S. Dollar Index", {"copper", "dxy"}),
-    ]
-    got = found(spark, aliases, [(t, "") for t, _ in cases])
-    assert [set(got[i]) for i in range(len(cases))] == [want for _, want in cases]
-
-
-def test_evidence_window(spark, aliases):
-    got = found(spark, aliases, [
-        ("Markets wrap", "Filler one. Filler two. Oil prices fell. Filler four. Filler five. Filler six."),
-        ("Gold one", "Gold two. Gold three. Gold four. Gold five. Gold six. Gold seven. Gold eight."),
-        ("Silver", "A. B. C. D. E. F. G. Silver again. H. I."),
-    ])
-    assert got[0]["oil"] == ["S3", "S4", "S5"]
-    assert got[1]["gold"] == ["S1", "S2", "S3", "S4", "S5", "S6"]
-    assert got[2]["silver"] == ["S1", "S2", "S8", "S9", "S10"]
-
-
-def test_catalogue_size_and_shape(spark, aliases):
-    assert aliases.select("asset_id").distinct().count() == 40
-    assert aliases.count() == 131 and aliases.where("is_case_sensitive").count() == 48
+def test_whole_words_case_and_signs(spark, aliases):
+    cases = {
+        "Kelpie races": set(), "KELP, again": {"kelp"}, "Sea  weed on the shore": {"kelp"}, "A tin of fish": set(), "TIN at a high": {"tin"},
+        "TINs": set(), "the bank of the isles waits": {"bank"}, "the bank of isles": set(), "KLP/TIN slips": {"pair", "tin"}, "t&k 40 closes": {"index"},
+        "T&K 400": set(), "K.L. Corp. sails": {"dot"},
+    }
+    got = found(spark, aliases, *((t, "") for t in cases))
+    assert {t: set(got[i]) for i, t in enumerate(cases)} == cases
+
+
+def test_mentions_and_their_neighbours(spark, aliases):
+    got = found(
+        spark, aliases,
+        ("Morning", "One. Two. The kelp came. Four. Five."),
+        ("Kelp a", " ".join(f"Kelp {c}." for c in "bcdefgh")),
+        ("Kelp", "A. B. C. D. Then kelp. F. G."),
+    )
+    assert got[0]["kelp"] == ["S3", "S4", "S5"]
+    assert got[1]["kelp"] == ["S1", "S2", "S3", "S4", "S5", "S6"]
+    assert got[2]["kelp"] == ["S1", "S2", "S5", "S6", "S7"]
+
+
+def test_aliases_far_into_a_sentence_and_a_body(spark, aliases):
+    """Nothing is cut before matching, and the evidence is stored whole."""
+    sentence, body = "wave " * 120 + "and kelp.", "Calm day. " * 90 + "TIN was loaded."
+    df = spark.createDataFrame([(1, "Log", sentence), (2, "Log", body)], "article_id int, title string, body string")
+    got = {(r.article_id, r.asset_id): r.sentences for r in detect.mention_rows(df, aliases).collect()}
+    assert any(s.text == sentence.strip() for s in got[1, "kelp"])
+    assert got[2, "tin"][-1].text == "TIN was loaded."
+
+
+def test_stored_mentions_are_left_out(spark, aliases):
+    df = spark.createDataFrame([(1, "kelp and TIN", "")], "article_id int, title string, body string")
+    stored = spark.createDataFrame([(1, "kelp")], "article_id int, asset_id string")
+    assert [r.asset_id for r in detect.mention_rows(df, aliases, stored).collect()] == ["tin"]
