@@ -16,7 +16,7 @@ def first_at_or_after(
     `members`: group columns, at, id. `queries`: group columns, since. Result: group columns,
     since, hit_at, hit_id; queries without a hit are left out.
 
-    No group is ever held in one task. Members are first reduced to one row per (group, at) and
+    One task holds the members of a group in one slot, or one row per slot of a group. Members are first reduced to one row per (group, at) and
     queries to distinct (group, since), both with map-side combine. Time is then cut into slots:
     inside a slot a running window answers the query, and a query whose slot has no later member
     takes the first member of the next slot that has one, from a table with one row per slot.

@@ -10,11 +10,12 @@ How the work stays small on skewed data:
   settled by an as-of lookup, without any comparison;
 * a shingle that only one set holds can never be shared, so sets that differ only in such shingles
   (templates with a number or a date in them) are one class and are compared once;
-* classes meet on a rare shingle, whose list is short by definition, only if sizes and positions
+* classes meet on a shingle that at most FREQUENT_SHINGLE sets hold, only if sizes and positions
   still allow the threshold, and only if they are active within the window of each other;
 * two headlines that share frequent shingles only are as similar as their frequent parts say, so
   for those pairs all classes with the same frequent part are one family, and families are matched
-  instead of classes: a template filled with thousands of names is one family;
+  instead of classes: a template filled with thousands of names is one family. Families meet on frequent shingles, so many
+  different families with one common shingle still make a long list;
 * within a matched class or family, the first member in the window comes from the same as-of
   lookup. A family may understate the similarity of a member that shares a rare shingle as well;
   that member's own class then brings its true, higher value.
@@ -229,7 +230,7 @@ def chain_roots(parents: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Follows parent links to their ends: article_id, root_id, root_is_stored.
 
     `parents` should be a stored or checkpointed table. Pointer jumping: every round doubles the length of the links, so the rounds grow with the
-    logarithm of the longest chain. Each round is checkpointed and only the open links are joined.
+    logarithm of the longest chain. Each round is checkpointed. Links to a stored root are settled; all others are joined again.
     """
     links = parents.select(
         "article_id", F.col("parent_id").alias("root_id"), F.col("parent_is_stored").alias("root_is_stored")

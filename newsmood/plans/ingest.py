@@ -213,34 +213,6 @@ def title_shingles(v):
     return v.articles.select("article_id", F.array_join(sh, "|").alias("shingles"))
 
 
-@query("D3 D4", """SELECT a, b, round(inter / (na + nb - inter), 6) AS similarity FROM (
-  SELECT x.label AS a, y.label AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS inter
-  FROM tokens x JOIN tokens y ON x.shingle = y.shingle AND x.label <= y.label GROUP BY x.label, y.label)
-  WHERE inter / (na + nb - inter) >= 0.5""", "shingle_sets",
-       recursive="""sets AS (SELECT DISTINCT list_sort(sh) AS sh FROM shingle_sets WHERE len(sh) > 0),
-         spread AS (SELECT row_number() OVER () AS id, sh, len(sh) AS n FROM sets),
-         held AS (SELECT id, n, shingle, count(*) OVER (PARTITION BY shingle) AS df FROM (SELECT id, n, unnest(sh) AS shingle FROM spread)),
-         classes AS (SELECT DISTINCT n, list(shingle ORDER BY shingle) AS kept FROM held WHERE df > 1 GROUP BY id, n),
-         tokens AS (SELECT n || ':' || array_to_string(kept, '|') AS label, n, unnest(kept) AS shingle FROM classes)""")
-def similar_headlines(v):
-    """Pairs of headline classes with Jaccard similarity of at least 0.5, a class with itself included.
-
-    A class is a number of shingles and those of them that other headlines share.
-    """
-    sets = stories.with_shingles(v.articles).select("set_key", "shingles").dropDuplicates(["set_key"])
-    # Every shingle counts as rare here, so that classes meet on all of them.
-    classes = stories.shingle_classes(sets, frequent=2**31 - 1).dropDuplicates(["class_key"])
-    label = F.concat(F.col("n").cast("string"), F.lit(":"), F.array_join(F.array_sort("tokens"), "|"))
-    active = classes.select("class_key", "n", "tokens", "rare", F.lit(0).cast("long").alias("block"))
-    matches = stories.similar_classes(active, active.withColumn("is_stored", F.lit(False)))
-    return (
-        matches.join(classes.select(F.col("class_key").alias("probe_class"), label.alias("a")), "probe_class")
-        .join(classes.select("class_key", label.alias("b")), "class_key")
-        .where("a <= b")
-        .select("a", "b", F.round("similarity", 6).alias("similarity"))
-    )
-
-
 _CHAIN = """
 best AS (SELECT a AS id, b AS parent, sim, b_old FROM (
     SELECT s.*, {old_b} AS b_old, row_number() OVER (PARTITION BY a ORDER BY sim DESC, {old_b} DESC, tb, b) AS place
@@ -250,6 +222,14 @@ chain(id, node, ended) AS (SELECT id, parent, b_old FROM best
 roots AS (SELECT c.id, c.node, c.ended FROM chain c WHERE c.ended OR NOT EXISTS (SELECT 1 FROM best p WHERE p.id = c.node))"""
 
 
+@query("D3 D4", "SELECT id AS article_id, parent AS parent_id, round(sim, 6) AS similarity FROM best", "near_pairs articles",
+       recursive=_CHAIN.format(old_a="false", old_b="false", join=""))
+def similar_headlines(v):
+    """The most similar earlier headline within 48 hours, one row per article that has one."""
+    new = v.articles.select("article_id", "title", numbers.event_time().alias("at"))
+    return stories.best_parents(new).select("article_id", "parent_id", F.round("similarity", 6).alias("similarity"))
+
+
 @query("D5", """SELECT a.article_id, CAST(coalesce(r.node, a.article_id) AS VARCHAR) AS story_id, r.node IS NULL AS is_new_story,
   coalesce(floor(b.sim * 1000 + 0.5) / 1000, 1.0) AS similarity
   FROM articles a LEFT JOIN roots r ON r.id = a.article_id LEFT JOIN best b ON b.id = a.article_id""", "near_pairs articles",

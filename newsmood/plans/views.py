@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from newsmood.functions import numbers, text, urls
 from newsmood.operators import detect, stories
-from newsmood.session import utc
+from newsmood.session import checkpoint, utc
 
 AS_OF = "2024-01-31 00:00:00"
 ITEM_BASE = "2024-01-30 12:00:00"
@@ -109,7 +109,8 @@ class Views:
 
     @cached_property
     def mentions(self) -> DataFrame:
-        return detect.mention_rows(self.articles, self.aliases)
+        """Detection runs once per set of views; stored tables take its place in production."""
+        return checkpoint(detect.mention_rows(self.articles, self.aliases))
 
     @cached_property
     def mention_signals(self) -> DataFrame:
