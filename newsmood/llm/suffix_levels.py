@@ -106,7 +106,8 @@ def windows(data: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np
         ends = np.append(first[1:], len(anchor))
         at = anchor[first]
         around = strings.some(first, ends + length - 1) ^ _mixed((at - first).astype(np.uint64) + np.uint64(1))
-        yield base, first, ends, grams[at], around
+        # Anchors have small hashes, so they are mixed again: ranges of them are then about equally full.
+        yield base, first, ends, _mixed(grams[at] + np.uint64(_BASE)), around
 
 
 def _texts(docs: pa.Table) -> list[np.ndarray]:
