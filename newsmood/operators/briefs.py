@@ -88,8 +88,8 @@ def brief_signals(
     )
 
 
-def top_signals(signals: DataFrame, per_asset: int = config.SIGNALS_PER_ASSET) -> DataFrame:
-    """The strongest, then newest signals of each asset."""
+def top_signals(signals: DataFrame, per_asset: int) -> DataFrame:
+    """The `per_asset` strongest, then newest signals of each asset, with their position."""
     order = Window.partitionBy("asset_id").orderBy(F.desc("strength"), F.desc("published_at"), F.asc("article_id"))
     return signals.withColumn("position", F.row_number().over(order)).where(F.col("position") <= per_asset)
 

@@ -293,9 +293,10 @@ def verdicts_complete(cited: Column, verdict_ids: Column) -> Column:
     return same & (F.size(verdict_ids) == F.size(cited))
 
 
-def misses(rows: DataFrame, order: str = "example_id", limit: int = config.MISS_LIMIT) -> DataFrame:
+def misses(rows: DataFrame, limit: int | None, order: str = "example_id") -> DataFrame:
     """The first wrong predictions in example order."""
-    return rows.where(F.col("gold") != F.col("pred")).orderBy(order).limit(limit)
+    missed = rows.where(F.col("gold") != F.col("pred"))
+    return missed if limit is None else missed.orderBy(order).limit(limit)
 
 
 def label_provenance(examples: DataFrame) -> DataFrame:

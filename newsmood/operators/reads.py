@@ -34,9 +34,9 @@ def cited_articles(article_ids: DataFrame, articles: DataFrame, sources: DataFra
 
 def asset_stories(
     mentions: DataFrame, articles: DataFrame, stories: DataFrame, signals: DataFrame, sources: DataFrame,
-    as_of, hours: int = 48, limit: int = 20,
+    as_of, limit: int | None, hours: int = 48,
 ) -> DataFrame:
-    """The most covered stories of every asset by arrival window, one row per article.
+    """The `limit` most covered stories of every asset by arrival window (None: all), one row per article.
 
     Columns: asset_id, story_rank, story_key, headline, counts, last_at and the article with its
     signal. Order by asset_id, story_rank, event_at descending to show it. Stories are ranked on
@@ -67,7 +67,8 @@ def asset_stories(
     rank = F.row_number().over(
         Window.partitionBy("asset_id").orderBy(F.desc("source_count"), F.desc("last_at"), F.asc("story_key"))
     )
-    top = groups.withColumn("story_rank", rank).where(F.col("story_rank") <= limit)
+    top = groups.withColumn("story_rank", rank)
+    top = top if limit is None else top.where(F.col("story_rank") <= limit)
     scored = signals.select("asset_id", "article_id", "stance", "strength", "status")
     kept = rows.select("asset_id", "story_key", "article_id", "title", "url", "source_id", "event_at")
     return with_source(
@@ -77,9 +78,9 @@ def asset_stories(
 
 def signals_with_evidence(
     signals: DataFrame, mentions: DataFrame, articles: DataFrame, sources: DataFrame, as_of,
-    days: int = 7, per_asset: int = 100,
+    per_asset: int | None, days: int = 7,
 ) -> DataFrame:
-    """The newest signals of every asset by arrival window, with article, source and sentences."""
+    """The `per_asset` newest signals of every asset by arrival window (None: all), with article, source and sentences."""
     since = numbers.days_before(numbers.instant(as_of), days)
     recent = articles.where(F.col("fetched_at") >= since).select(
         "article_id", "title", "url", "source_id", numbers.event_time().alias("event_at")
@@ -87,11 +88,9 @@ def signals_with_evidence(
     newest = F.row_number().over(
         Window.partitionBy("asset_id").orderBy(F.desc("created_at"), F.asc("article_id"))
     )
-    top = (
-        signals.join(recent, "article_id")
-        .withColumn("position", newest)
-        .where(F.col("position") <= per_asset)
-    )
+    top = signals.join(recent, "article_id")
+    if per_asset is not None:
+        top = top.withColumn("position", newest).where(F.col("position") <= per_asset).drop("position")
     evidence = mentions.select("article_id", "asset_id", "sentences")
     return with_source(top, sources).drop("source_id").join(evidence, ["article_id", "asset_id"], "left").withColumn(
         "sentences", F.coalesce("sentences", F.array().cast(mentions.schema["sentences"].dataType))

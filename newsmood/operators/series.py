@@ -108,7 +108,7 @@ def price_series(prices: DataFrame, as_of, days: int = 90) -> DataFrame:
     return prices.where(F.col("day") >= since).select("asset_id", "day", "close")
 
 
-def signal_timeline(signals: DataFrame, as_of, days: int = 90, per_asset: int | None = 500) -> DataFrame:
+def signal_timeline(signals: DataFrame, as_of, per_asset: int | None, days: int = 90) -> DataFrame:
     """Scored signals by arrival window, newest created first, at most `per_asset` each.
 
     `signals` carry fetched_at and event_at of their article. The limit is a group limit that

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsmood import config
 from newsmood.functions import text
 from newsmood.operators import briefs, mood
 from newsmood.plans.registry import query
@@ -70,12 +71,12 @@ def brief_signals(v):
   FROM brief_signals QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY strength DESC, published_at DESC, article_id) <= 5""",
        "mention_signals articles sources mentions", recursive=_BRIEF_SIGNALS)
 def top_signals(v):
-    return briefs.top_signals(_brief_signals(v)).select("asset_id", "article_id", F.col("position").cast("long"))
+    return briefs.top_signals(_brief_signals(v), config.SIGNALS_PER_ASSET).select("asset_id", "article_id", F.col("position").cast("long"))
 
 
 @query("J8")
 def brief_payloads(v):
-    top = briefs.top_signals(_brief_signals(v))
+    top = briefs.top_signals(_brief_signals(v), config.SIGNALS_PER_ASSET)
     return briefs.brief_payloads(v.watchlists, v.assets, _mood(v), top, MOOD_DAY)
 
 
@@ -83,7 +84,7 @@ def brief_payloads(v):
   SELECT asset_id, least(5, count(*)) AS n FROM brief_signals GROUP BY 1) USING (asset_id) GROUP BY user_id""",
        "mention_signals articles sources mentions watchlists", recursive=_BRIEF_SIGNALS)
 def brief_payload_sizes(v):
-    top = briefs.top_signals(_brief_signals(v))
+    top = briefs.top_signals(_brief_signals(v), config.SIGNALS_PER_ASSET)
     return briefs.brief_payloads(v.watchlists, v.assets, _mood(v), top, MOOD_DAY).select("user_id", "signals")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsmood import config
 from newsmood.operators import evaluation, sampling
 from newsmood.plans.registry import query
 from newsmood.plans.views import CLASSES, Views
@@ -180,9 +181,14 @@ def verdict_sets(v):
     return v.pairs.select("example_id", evaluation.verdicts_complete(F.col("evidence_ids"), verdict_ids).alias("complete"))
 
 
+@query("L14", "SELECT example_id, gold, pred FROM pairs WHERE gold <> pred", "pairs")
+def all_misses(v):
+    return evaluation.misses(v.pairs, None).select("example_id", "gold", "pred")
+
+
 @query("L14", "SELECT example_id, gold, pred FROM pairs WHERE gold <> pred ORDER BY example_id LIMIT 60", "pairs")
 def miss_list(v):
-    return evaluation.misses(v.pairs).select("example_id", "gold", "pred")
+    return evaluation.misses(v.pairs, config.MISS_LIMIT).select("example_id", "gold", "pred")
 
 
 @query("L15", "SELECT example_id, verdict FROM pairs ORDER BY md5(example_id || ':7'), example_id LIMIT 30", "pairs")

@@ -150,7 +150,7 @@ def price_series(v):
   FROM signals WHERE status = 'ok' AND fetched_at >= TIMESTAMP '2024-01-31' - INTERVAL 90 DAY
   QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY created_at DESC, article_id) <= 500""", "signals")
 def signal_timeline(v):
-    return series.signal_timeline(v.signals, AS_OF).select(
+    return series.signal_timeline(v.signals, AS_OF, per_asset=500).select(
         "asset_id", "article_id", text_of("day").alias("day"), "stance", F.col("strength").cast("long")
     )
 

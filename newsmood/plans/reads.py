@@ -55,7 +55,7 @@ _STORY_ROWS = f"""rows AS (SELECT m.asset_id, m.article_id, a.title, a.url, a.so
   LEFT JOIN (SELECT asset_id, article_id, stance, strength, status FROM mention_signals) x USING (asset_id, article_id) WHERE story_rank <= 20""",
        "mentions articles stories sources mention_signals", recursive=_STORY_ROWS)
 def asset_stories(v):
-    rows = reads.asset_stories(v.mentions, v.articles, v.stories, v.mention_signals, v.sources, AS_OF)
+    rows = reads.asset_stories(v.mentions, v.articles, v.stories, v.mention_signals, v.sources, AS_OF, limit=20)
     return rows.select(
         "asset_id", F.col("story_rank").cast("long"), "story_key", "headline", "source_count", "article_count",
         stamp("last_at").alias("last_at"), "article_id", "title", "url", "source", stamp("event_at").alias("event_at"), "stance",
@@ -63,13 +63,14 @@ def asset_stories(v):
     )
 
 
-@query("I4", f"""SELECT asset_id, article_id, title, {SOURCE}, stance, CAST(strength AS BIGINT) AS strength, status, why, evidence_id, {_AT.format('x.event_at')} AS event_at,
+_EVIDENCE = f"""SELECT asset_id, article_id, title, {SOURCE}, stance, CAST(strength AS BIGINT) AS strength, status, why, evidence_id, {_AT.format('x.event_at')} AS event_at,
   array_to_string(sids, ',') AS sids FROM (SELECT g.*, a.title, a.source_id, row_number() OVER (PARTITION BY asset_id ORDER BY created_at DESC, article_id) AS place
     FROM mention_signals g JOIN articles a USING (article_id) WHERE a.fetched_at >= TIMESTAMP '2024-01-24') x
-  LEFT JOIN sources s USING (source_id) LEFT JOIN mentions USING (asset_id, article_id) WHERE place <= 100""",
-       "mention_signals articles sources mentions")
-def signals_with_evidence(v):
-    rows = reads.signals_with_evidence(v.mention_signals, v.mentions, v.articles, v.sources, AS_OF)
+  LEFT JOIN sources s USING (source_id) LEFT JOIN mentions USING (asset_id, article_id)"""
+
+
+def _with_evidence(v, per_asset):
+    rows = reads.signals_with_evidence(v.mention_signals, v.mentions, v.articles, v.sources, AS_OF, per_asset=per_asset)
     return rows.select(
         "asset_id", "article_id", "title", "source", "stance", F.col("strength").cast("long"), "status", "why",
         F.get("evidence_ids", F.lit(0)).alias("evidence_id"), stamp("event_at").alias("event_at"),
@@ -77,6 +78,16 @@ def signals_with_evidence(v):
     )
 
 
+@query("I4", _EVIDENCE + " WHERE place <= 100", "mention_signals articles sources mentions")
+def signals_with_evidence(v):
+    return _with_evidence(v, 100)
+
+
+@query("I4", _EVIDENCE, "mention_signals articles sources mentions")
+def all_signals_with_evidence(v):
+    return _with_evidence(v, None)
+
+
 @query("I5", f"""SELECT article_id, asset_id, c.name, asset_type, title, {SOURCE}, stance, CAST(strength AS BIGINT) AS strength, array_to_string(sids, ',') AS sids
   FROM mention_signals g JOIN articles a USING (article_id) JOIN assets c USING (asset_id) LEFT JOIN sources s ON s.source_id = a.source_id
   LEFT JOIN mentions USING (article_id, asset_id) WHERE status = 'ok' AND stance IN ('bullish','bearish','hawkish','dovish') AND strength >= 2
