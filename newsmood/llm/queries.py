@@ -54,11 +54,45 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 MIX = {"target_entropy": 0.95, "max_repeats": 4.0}
 
 
-@query()
+@query(r"""
+    WITH RECURSIVE tok AS (
+      SELECT doc_id, coalesce(source, '') AS source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS tokens FROM documents),
+    shares AS (SELECT source, tokens, tokens / sum(tokens) OVER () AS share FROM (SELECT source, CAST(sum(tokens) AS BIGINT) AS tokens FROM tok GROUP BY source)),
+    used AS (SELECT * FROM shares WHERE tokens > 0),
+    flat(i, lo, hi) AS (
+      SELECT 0, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE)
+      UNION ALL SELECT i + 1, CASE WHEN even THEN (lo + hi) / 2 ELSE lo END, CASE WHEN even THEN hi ELSE (lo + hi) / 2 END FROM (
+        SELECT i, lo, hi, ln(sum(pow(share, (lo + hi) / 2))) - sum(pow(share, (lo + hi) / 2) * ln(share) * (lo + hi) / 2) / sum(pow(share, (lo + hi) / 2))
+          >= 0.95 * ln(count(*)) AS even FROM flat, used WHERE i < 52 GROUP BY i, lo, hi)),
+    kept(i, lo, hi) AS (
+      SELECT 0, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE)
+      UNION ALL SELECT i + 1, CASE WHEN fits THEN lo ELSE (lo + hi) / 2 END, CASE WHEN fits THEN (lo + hi) / 2 ELSE hi END FROM (
+        SELECT i, lo, hi, max(pow(share, (lo + hi) / 2 - 1)) / min(pow(share, (lo + hi) / 2 - 1)) <= 4 AS fits FROM kept, used WHERE i < 52 GROUP BY i, lo, hi)),
+    power AS (SELECT source, tokens, pow(share, (SELECT greatest((SELECT max(lo) FROM flat), (SELECT min(hi) FROM kept)))) AS power FROM used),
+    plan AS (
+      SELECT source, tokens AS every, CAST(floor(least(power * (SELECT max(tokens / power) FROM power), tokens * 4.0) + 1e-6) AS BIGINT) AS budget FROM power
+      UNION ALL SELECT source, 0, 0 FROM shares WHERE tokens = 0),
+    dealt AS (SELECT *, CAST('0x' || substr(md5('1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % 1024 AS block FROM tok),
+    sizes AS (SELECT source, block, CAST(sum(tokens) AS BIGINT) AS size FROM dealt GROUP BY source, block),
+    turns AS (
+      SELECT source, block, pass, size, budget - start AS left_over, start / greatest(budget, 1) AS place FROM (
+        SELECT *, (pass - 1) * every + coalesce(sum(size) OVER (PARTITION BY source, pass
+            ORDER BY CAST('0x' || substr(md5('1:block:' || source || ':' || pass || ':' || block), 1, 15) AS BIGINT), block
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+        FROM (SELECT *, unnest(range(1, 1 + greatest(1, CAST(ceil(budget / greatest(every, 1)) AS BIGINT)))) AS pass FROM sizes JOIN plan USING (source)))),
+    drawn AS (
+      SELECT doc_id, source, tokens, pass, block, place, size, left_over, sum(tokens) OVER (PARTITION BY source, block, pass
+          ORDER BY CAST('0x' || substr(md5('1:doc:' || pass || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT), doc_id, tokens
+          ROWS UNBOUNDED PRECEDING) AS upto
+      FROM dealt JOIN turns USING (source, block) WHERE left_over > 0 OR (size = 0 AND left_over = 0))
+    SELECT doc_id, source, tokens, pass, block, round(place, 9) AS place FROM drawn WHERE size <= left_over OR upto <= left_over
+""")
 def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
     from newsmood.llm import mixing
 
-    return mixing.mix(table(spark, folder, "documents"), **MIX)
+    return mixing.mix(table(spark, folder, "documents"), **MIX).withColumn("place", F.round("place", 9))
 
 
 @query()
