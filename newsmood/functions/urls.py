@@ -14,12 +14,40 @@ _PARTS = r"(?i)^(https?)://([^/?#]*)([^?#]*)(\?[^#]*)?(#[\s\S]*)?$"
 def canonical_url(raw: Column) -> Column:
     """http/https only, no credentials, lower-case host, no fragment, no tracking parameters.
 
-    Anything else is NULL. Percent signs, dot segments and international host names are kept as
-    they are written.
+    Dot segments are resolved, and characters that a URL cannot hold are percent-encoded, as URL parsers do. Anything else is NULL.
+    International host names are kept as they are written.
     """
     return let(F.regexp_replace(raw, f"^{WS}+|{WS}+$", ""), lambda url: F.when(url.rlike(_PARTS), _rebuild(url)))
 
 
+# Characters that are percent-encoded in a path and in a query.
+_PATH_UNSAFE, _QUERY_UNSAFE = r"""[^\x21-\x7e]|["<>`{}^]""", r"""[^\x21-\x7e]|["<>']"""
+_DOTS = ["..", ".%2e", "%2e.", "%2e%2e"]
+
+
+def _encoded(part: Column, unsafe: str) -> Column:
+    """The part with every unsafe character as the percent-encoded bytes of its UTF-8 form."""
+    as_bytes = lambda c: F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")
+    each = F.transform(F.split(part, ""), lambda c: F.when(c.rlike(unsafe), as_bytes(c)).otherwise(c))
+    return F.when(part.rlike(unsafe), F.array_join(each, "")).otherwise(part)
+
+
+def _resolved(path: Column) -> Column:
+    """The path without `.` and `..` segments; backslashes are slashes."""
+
+    def walked(segments: Column) -> Column:
+        last = F.lower(F.element_at(segments, -1))
+        climb = lambda done: F.slice(done, F.lit(1), F.greatest(F.lit(1), F.size(done) - 1))
+        done = F.aggregate(
+            F.slice(segments, F.lit(2), F.size(segments)), F.array(F.lit("")),
+            lambda done, s: F.when(F.lower(s).isin(".", "%2e"), done).when(F.lower(s).isin(_DOTS), climb(done)).otherwise(F.concat(done, F.array(s))),
+        )
+        return F.array_join(F.when(last.isin(".", "%2e", *_DOTS), F.concat(done, F.array(F.lit("")))).otherwise(done), "/")
+
+    slashed = F.replace(path, F.lit("\\"), F.lit("/"))
+    return F.when(slashed.rlike(r"(?i)/(\.|%2e){1,2}(/|$)"), walked(F.split(slashed, "/", -1))).otherwise(slashed)
+
+
 def _rebuild(url: Column) -> Column:
     part = lambda i: F.regexp_extract(url, _PARTS, i)
     pieces = F.struct(
@@ -33,7 +61,7 @@ def _rebuild(url: Column) -> Column:
             p["authority"].endswith(":") | F.endswith(p["authority"], default_port),
             F.regexp_replace(p["authority"], ":[0-9]*$", ""),
         ).otherwise(p["authority"])
-        path = F.when(p["path"] == "", "/").otherwise(p["path"])
+        path = F.when(p["path"] == "", "/").otherwise(_encoded(_resolved(p["path"]), _PATH_UNSAFE))
         key = lambda x: F.lower(F.substring_index(x, "=", 1))
         kept = F.filter(
             p["params"], lambda x: ~(key(x).startswith(config.TRACKING_PREFIX) | key(x).isin(config.TRACKING_PARAMS))
@@ -45,7 +73,7 @@ def _rebuild(url: Column) -> Column:
             .otherwise(F.concat(F.lit("?"), F.array_join(k, "&"))),
         )
         bad_host = (host == "") | host.contains("@") | host.rlike(r"[\s<>\\^|%]")
-        return F.when(~bad_host, F.concat(p["scheme"], F.lit("://"), host, path, query))
+        return F.when(~bad_host, F.concat(p["scheme"], F.lit("://"), host, path, _encoded(query, _QUERY_UNSAFE)))
 
     return let(pieces, joined)
 

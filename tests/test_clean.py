@@ -46,6 +46,9 @@ def test_links(spark):
         "https://Harbour.Test/Quay?b=2&utm_campaign=z&a=1#pier": "https://harbour.test/Quay?b=2&a=1",
         "http://harbour.test:80": "http://harbour.test/", "https://harbour.test:8443/q": "https://harbour.test:8443/q",
         "https://harbour.test/?gclid=7&mc_eid=8": "https://harbour.test/",
+        "https://harbour.test/a/./b/../c": "https://harbour.test/a/c", "https://harbour.test/../x/%2E%2e/": "https://harbour.test/",
+        "https://harbour.test/d\\e/.": "https://harbour.test/d/e/", "https://harbour.test/kü ste?q=é 1": "https://harbour.test/k%C3%BC%20ste?q=%C3%A9%201",
+        "https://harbour.test/%e2%82%ac": "https://harbour.test/%e2%82%ac", "https://harbour.test/a..b/.c": "https://harbour.test/a..b/.c",
         "mailto:quay@harbour.test": None, "//harbour.test/q": None, "quay": None, " ": None,
     }
     assert each(spark, urls.canonical_url, *cases) == list(cases.values())
