@@ -21,6 +21,8 @@ empty results.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,22 +60,16 @@ def _measure(shares: DataFrame, low: float, high: float, budget: int | None) ->
     )
     out = []
     for r in sums.orderBy(F.col("a").desc()).collect():
-        entropy = 0.0 if r["z"] is None else float(_ln(r["z"]) - r["s"] / r["z"])
+        entropy = 0.0 if r["z"] is None else float(math.log(r["z"]) - r["s"] / r["z"])
         repeats = r["most"] / r["least"] if budget is None else r["most"] / r["z"] * budget / r["total"]
         out.append((r["a"], entropy, repeats))
     return out
 
 
-def _ln(x: float) -> float:
-    import math
-
-    return math.log(x)
-
-
 def exponent(shares: DataFrame, target_entropy: float | None, max_repeats: float | None, budget: int | None) -> float:
     """The bisected exponent. `shares` has `share`, `tokens`, `total` per source; only grid sums reach the driver."""
     n = shares.where("tokens > 0").count()
-    even = _ln(n) if n else 0.0
+    even = math.log(n) if n else 0.0
 
     def search(holds) -> float:
         """The end of [0, 1] nearest to 0 at which `holds` flips from the value that it has at 1."""
@@ -106,20 +102,19 @@ def weights(
 ) -> DataFrame:
     """`source`, `tokens`, `share`, `exponent`, `weight`, `budget` (tokens), one row per source."""
     per_source = stage(tokens.groupBy("source").agg(F.sum("tokens").alias("tokens")), "sources")
-    total = per_source.agg(F.sum("tokens").alias("total"))
-    shares = per_source.join(F.broadcast(total)).select(  # one row
-        "source", "tokens", "total", (F.col("tokens") / F.greatest("total", F.lit(1))).alias("share"))
+    total = per_source.agg(F.sum("tokens")).first()[0] or 0
+    shares = per_source.select("source", "tokens", F.lit(total).alias("total"), (F.col("tokens") / F.lit(max(total, 1))).alias("share"))
     a = exponent(shares, target_entropy, max_repeats, budget)
     powered = shares.withColumn("power", F.when(F.col("tokens") > 0, F.pow("share", F.lit(a))).otherwise(0.0))
-    sums = powered.agg(F.sum("power").alias("z"), F.max(F.when(F.col("tokens") > 0, F.col("tokens") / F.col("power"))).alias("cover"))
-    with_weight = powered.join(F.broadcast(sums))  # one row
-    spend = F.col("power") * F.col("cover") if budget is None else F.col("power") / F.col("z") * F.lit(float(budget))
+    sums = powered.agg(F.sum("power").alias("z"), F.max(F.when(F.col("tokens") > 0, F.col("tokens") / F.col("power"))).alias("cover")).first()
+    z, cover = sums["z"] or 1.0, sums["cover"] or 0.0
+    spend = F.col("power") * F.lit(cover) if budget is None else F.col("power") / F.lit(z) * F.lit(float(budget))
     if max_repeats is not None:
         spend = F.least(spend, F.col("tokens") * F.lit(float(max_repeats)))
     # A hair above whole numbers, so that rounding never takes a document from a source that is read exactly once.
-    return with_weight.select(
+    return powered.select(
         "source", "tokens", "share", F.lit(a).alias("exponent"),
-        F.when(F.col("tokens") > 0, F.col("power") / F.col("z")).otherwise(0.0).alias("weight"),
+        F.when(F.col("tokens") > 0, F.col("power") / F.lit(z)).otherwise(0.0).alias("weight"),
         F.floor(F.coalesce(spend, F.lit(0.0)) + 1e-6).cast("long").alias("budget"),
     )
 
