@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import os
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsmood.session import scratch_path
@@ -11,6 +14,18 @@ from newsmood.session import scratch_path
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of a folder of Parquet tables.
+
+    Python workers are told where the driver found this library, so it need not be the folder they start in. On a cluster
+    it has to be installed or shipped as usual.
+    """
+    root, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (root, known)))
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes `df` to the shared folder and reads it back: lineage ends, each row is computed once."""
     spark = df.sparkSession

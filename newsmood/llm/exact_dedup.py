@@ -4,9 +4,9 @@ Pass 1 reads one 64-bit hash per text. A hash owns three bits of one 64-bit word
 when at least two rows set it. Pass 2 tests every row: a row whose three bits are not all kept is unique
 for certain and passes straight through; the others are grouped by SHA-256.
 
-Rows of large groups get their decision from a broadcast of fewer than 2000 groups, the others by a join. The filter has at most `max_words` words (16 bytes each as a row), whatever the input;
-words in which no bit repeats are not stored. Beyond that size more unique rows join the shuffle, and the result
-stays the same.
+The filter is broadcast. It has at most `max_words` words (16 bytes each as a row), whatever the input; words in which no
+bit repeats are not stored. Beyond that size more unique rows join the shuffle, and the result stays the same. Rows of
+large groups get their decision from a broadcast of fewer than 2000 groups, the others by a join.
 
 Edge cases: null text counts as empty and equals other empty texts. A null id is smaller than any id. Rows that
 repeat both id and text are one document: they carry the same decision, and `keep_rows` returns one of them.
