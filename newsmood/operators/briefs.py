@@ -190,19 +190,11 @@ def template_bullets(watchlists: DataFrame, assets: DataFrame, mood: DataFrame,
     )
     rows = first.join(assets, "asset_id").join(levels, "user_id").join(today, "asset_id", "left")
     word = numbers.mood_word(F.col("score"), F.col("asset_type"))
-    hint = (
-        F.when(word.contains("hawkish"), "hawkish = leaning towards higher rates")
-        .when(word.contains("dovish"), "dovish = leaning towards lower rates")
-        .when(word.contains("bullish"), "bullish = news pointing up")
-        .otherwise("bearish = news pointing down")
-    )
+    hint = F.coalesce(*[F.when(word.contains(w), F.lit(text)) for w, text in config.WORD_HINTS.items()])
     plain = F.when((F.col("level") == "beginner") & (word != "mixed"), F.concat(F.lit(" ("), hint, F.lit(")"))).otherwise("")
     plural = F.when(F.col("source_count") == 1, "").otherwise("s")
-    scored = F.concat(
-        F.col("name"), F.lit(": "), word, F.lit(" today"), plain, F.lit(", "), F.col("source_count").cast("string"),
-        F.lit(" source"), plural, F.lit(", "), F.col("confidence"), F.lit(" confidence."),
-    )
-    sentence = F.when(F.col("score").isNull(), F.concat("name", F.lit(": no scored news yet today."))).otherwise(scored)
+    scored = F.format_string(config.SCORED_SENTENCE, "name", word, plain, "source_count", plural, "confidence")
+    sentence = F.when(F.col("score").isNull(), F.format_string(config.UNSCORED_SENTENCE, "name")).otherwise(scored)
     return rows.select(
         "user_id", "bullet_no", sentence.alias("text"), F.array("slug").alias("asset_slugs"),
         F.array().cast("array<string>").alias("article_ids"),

@@ -68,40 +68,17 @@ def check_labels(rows: DataFrame, order: str = "row_no") -> DataFrame:
     known_ids = F.transform("sentences", lambda s: s["id"])
     unknown = F.filter("gold_ids", lambda i: ~F.array_contains(known_ids, i))
     bad_line = F.get(F.filter(_lines(F.col("numbered_sentences")), lambda x: ~x.rlike(_LINE)), F.lit(0))
-    named = lambda message: F.concat(F.col("example_id"), F.lit(": "), message)
     stances = F.concat_ws("/", numbers.allowed_stances(F.col("asset_type")))
+    rejected, labelled = F.col("kind") == "rejected", F.col("kind") == "labelled"
+    says = lambda problem, *values: F.format_string(config.LABEL_PROBLEMS[problem], "example_id", *values)
     problems = F.array_compact(
         F.array(
-            F.when(F.col(order) != F.col("first_row"), named(F.lit("duplicate example_id"))),
-            F.when(
-                (F.col("kind") == "rejected") & ~known_type,
-                named(F.concat(F.lit('unknown asset_type "'), "asset_type", F.lit('"'))),
-            ),
-            F.when(
-                (F.col("kind") == "rejected") & known_type & ~allowed,
-                named(
-                    F.concat(
-                        F.lit('gold_stance "'), "gold", F.lit('" is not allowed for '), "asset_type",
-                        F.lit(" (use "), stances, F.lit(f" or {config.SKIP_LABEL})"),
-                    )
-                ),
-            ),
-            F.when(
-                (F.col("kind") == "rejected") & known_type & allowed,
-                named(F.concat(F.lit("bad sentence line: "), bad_line)),
-            ),
-            F.when(
-                (F.col("kind") == "labelled") & (F.size(unknown) > 0),
-                named(
-                    F.concat(
-                        F.lit("gold_supporting_sentence_ids "), F.array_join(unknown, ", "), F.lit(" not in the sentences")
-                    )
-                ),
-            ),
-            F.when(
-                (F.col("kind") == "labelled") & (F.col("gold") != "unclear") & (F.size("gold_ids") == 0),
-                named(F.concat(F.lit("a "), "gold", F.lit(" label needs at least one gold_supporting_sentence_id"))),
-            ),
+            F.when(F.col(order) != F.col("first_row"), says("duplicate")),
+            F.when(rejected & ~known_type, says("asset_type", "asset_type")),
+            F.when(rejected & known_type & ~allowed, says("stance", "gold", "asset_type", stances)),
+            F.when(rejected & known_type & allowed, says("line", bad_line)),
+            F.when(labelled & (F.size(unknown) > 0), says("ids", F.array_join(unknown, ", "))),
+            F.when(labelled & (F.col("gold") != "unclear") & (F.size("gold_ids") == 0), says("support", "gold")),
         )
     )
     return cells.withColumn("kind", kind).withColumn("problems", problems).drop("first_row")
