@@ -14,6 +14,7 @@ levels of one size class are merged into the next.
 3. Only anchors whose suffixes differ in their surroundings, that is at the ends of matches, are looked at window by window:
    their windows' hashes go through a second family.
 
+Anchors are the smallest hashes of their windows, so their hashes are mixed again before the key space is cut into ranges.
 A key moves once per chunk however often it occurs in it, and groups of copies of any size cost their chunks one key each. Strings are compared by
 64-bit hashes of their bytes, after their anchors' 64-bit hashes have met.
 
