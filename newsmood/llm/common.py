@@ -18,12 +18,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table of a folder of Parquet tables.
 
     Python workers are told where the driver found this library, so it need not be the folder they start in. On a cluster
-    it has to be installed or shipped as usual.
+    it has to be installed or shipped as usual. A table in fewer parts than there are cores (one small file) is dealt out anew,
+    so that work per row uses all of them.
     """
     root, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (root, known)))
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    df, cores = spark.read.parquet(f"{folder}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
