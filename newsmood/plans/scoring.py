@@ -104,7 +104,19 @@ def questions_to_ask(v):
     return asked.select("prompt_hash").join(hashed, "prompt_hash").groupBy("prompt_hash").agg(F.count("*").alias("pairs"))
 
 
-@query("F6 F7 F8 F9")
+_SCORED_SQL = PROMPT_SQL + """,
+  tries AS (SELECT *, CASE WHEN kind = 0 THEN 'invalid_json' WHEN kind = 1 OR NOT known THEN 'bad_citation' END AS failed_first FROM (
+    SELECT article_id, asset_id, CAST('0x' || substr(prompt_hash, 1, 6) AS BIGINT) % 7 AS kind,
+           CAST('0x' || substr(prompt_hash, 7, 2) AS BIGINT) % 2 AS coin, list_contains(sids, 'S1') AS known FROM hashed)),
+  ends AS (SELECT *, CASE WHEN failed_first IS NULL THEN NULL WHEN coin = 0 THEN failed_first WHEN NOT known THEN 'bad_citation' END AS failed_last
+    FROM tries WHERE failed_first IS NULL OR kind < 2)"""
+
+
+@query("F6 F7 F8 F9", """SELECT article_id, asset_id, CASE WHEN failed_last IS NULL THEN 'neutral' ELSE 'unclear' END AS stance,
+    CASE WHEN failed_last IS NULL THEN kind % 4 ELSE 0 END AS strength, CASE WHEN failed_last IS NULL THEN 'S1' ELSE '' END AS evidence_ids,
+    CASE WHEN failed_last IS NULL THEN 'stub' ELSE '' END AS why, CASE WHEN failed_last IS NULL THEN 'ok' ELSE 'failed' END AS status,
+    failed_last AS failure_reason, failed_first AS first_failure, CASE WHEN failed_first IS NULL THEN 1 ELSE 2 END AS calls FROM ends""",
+       "mentions assets articles mention_signals", recursive=_SCORED_SQL)
 def scored_signals(v):
     """Pending pairs through the stub scorer, validation and the two-attempt rule."""
     hashed = hashed_pending(v)
