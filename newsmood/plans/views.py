@@ -19,6 +19,7 @@ ALIASES = [
     ("a04", "thing", False), ("a05", "thble", False), ("a06", "erre", False), ("a07", "ernd", False),
     ("a07", "ered", False), ("a08", "the anea", False), ("a09", "Thnt", True), ("a10", "zzunknown", False),
 ]
+TEXT_TABLES = ("documents", "pages")
 CLASSES = ["bullish", "bearish", "hawkish", "dovish", "neutral", "unclear"]
 
 
@@ -45,6 +46,10 @@ class Views:
 
     def table(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        if name in TEXT_TABLES and df.rdd.getNumPartitions() < cores:
+            # One small file is one task; work on its texts is dealt to all cores.
+            df = df.repartition(cores)
         naive = [f.name for f in df.schema if f.dataType.typeName() == "timestamp_ntz"]
         return df.withColumns({c: F.col(c).cast("timestamp") for c in naive}) if naive else df
 
