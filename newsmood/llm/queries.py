@@ -90,7 +90,8 @@ def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
     from newsmood.llm import mixing
 
-    return mixing.mix(table(spark, folder, "documents"), **MIX).withColumn("place", F.round("place", 9))
+    drawn = mixing.mix(table(spark, folder, "documents"), **MIX)
+    return drawn.withColumns({"pass": F.col("pass").cast("long"), "block": F.col("block").cast("long"), "place": F.round("place", 9)})
 
 
 @query()
