@@ -113,7 +113,7 @@ _SCORED_SQL = PROMPT_SQL + """,
 
 
 @query("F6 F7 F8 F9", """SELECT article_id, asset_id, CASE WHEN failed_last IS NULL THEN 'neutral' ELSE 'unclear' END AS stance,
-    CASE WHEN failed_last IS NULL THEN kind % 4 ELSE 0 END AS strength, CASE WHEN failed_last IS NULL THEN 'S1' ELSE '' END AS evidence_ids,
+    CAST(CASE WHEN failed_last IS NULL THEN kind % 4 ELSE 0 END AS INTEGER) AS strength, CASE WHEN failed_last IS NULL THEN 'S1' ELSE '' END AS evidence_ids,
     CASE WHEN failed_last IS NULL THEN 'stub' ELSE '' END AS why, CASE WHEN failed_last IS NULL THEN 'ok' ELSE 'failed' END AS status,
     failed_last AS failure_reason, failed_first AS first_failure, CASE WHEN failed_first IS NULL THEN 1 ELSE 2 END AS calls FROM ends""",
        "mentions assets articles mention_signals", recursive=_SCORED_SQL)
