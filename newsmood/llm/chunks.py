@@ -7,7 +7,7 @@ order sent. So a key moves once per chunk, not once per occurrence, however ofte
 
 The answers and the documents of a chunk meet again by a cogroup on the chunk.
 
-Chunks and buckets both grow with the corpus, so a packed array holds fewer keys the larger the corpus is: with 12 MB chunks some
+Chunks and buckets both grow with the corpus, so a packed array holds fewer keys the larger the corpus is: with 8 MB chunks some
 hundred at 50 GB, and about one at 10 TB, where a larger CHUNK_BYTES pays (a task needs some 25 times as much memory). Empty
 arrays are not sent, so it never costs more than one row per key and chunk.
 """
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from newsmood.llm.common import whole_text
 
-CHUNK_BYTES = 12_000_000
+CHUNK_BYTES = 8_000_000
 SENT = "bucket int, chunk int, kind int, keys binary, more binary"
 ANSWERED = "chunk int, bucket int, kind int, totals binary"
 SENT_NAMES = ["bucket", "chunk", "kind", "keys", "more"]
