@@ -21,7 +21,7 @@ Empty input gives an empty result.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -194,10 +194,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 # At a similarity of 0.8 fingerprints differ in about ten bits, too many for cells of equal blocks. So cells are made of equal minima
 # of shingle hashes here, two texts of that similarity share one of KEYS minima all but surely, and the pivots do the
 # same work as above: a pair is discarded if its distances to a pivot differ by more than FAR bits. Inside a cell every member is tied to the
-# member that it agrees with most in MINIMA further minima; such ties are verified on the whole texts.
+# member that it agrees with most in MINIMA further minima; such ties are verified on the whole texts. Where one fails, the cell is
+# searched again for pairs between groups that are not tested yet, until there is none.
 
 KEYS, MINIMA, FAR = 8, 32, 24
-#: A tie is verified if at least this share of the minima agree, and is as good as certain from CLOSE on.
+#: A tie is verified if at least this share of the minima agree; from CLOSE on the search takes it for certain at first.
 HOPEFUL, CLOSE = 0.5, 0.9
 
 
@@ -254,9 +255,18 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataF
     return rows.mapInArrow(compute, "doc_id long, fp long, n long, keys array<long>, minima array<int>")
 
 
-def _ties(ids: np.ndarray, fps: np.ndarray, minima: np.ndarray, spread: np.ndarray) -> list[tuple[int, int]]:
+def _agreement(minima: np.ndarray, sizes: np.ndarray, others: np.ndarray, node: int, similarity: float) -> np.ndarray:
+    """Share of minima that `others` have in common with `node`; 0 where the numbers of shingles alone rule the similarity out."""
+    agree = (minima[others] == minima[node]).mean(axis=1)
+    small, large = np.minimum(sizes[others], sizes[node]), np.maximum(sizes[others], sizes[node])
+    agree[small / np.maximum(large, 1) < similarity] = 0
+    return agree
+
+
+def _ties(cell: dict[str, np.ndarray], spread: np.ndarray, similarity: float) -> list[tuple[int, int]]:
     """Ties of one cell: every member with the reached member that it agrees with most, if that is hopeful."""
-    table = np.bitwise_count(fps[:, None] ^ spread).astype(np.int8)
+    ids, sizes, minima = cell["rep"], cell["n"], cell["minima"]
+    table = np.bitwise_count(cell["fp"].view(np.uint64)[:, None] ^ spread).astype(np.int8)
     left = np.arange(1, len(ids))
     best, tied = np.zeros(len(ids)), np.full(len(ids), -1)
     queue, links = [0], []
@@ -270,7 +280,7 @@ def _ties(ids: np.ndarray, fps: np.ndarray, minima: np.ndarray, spread: np.ndarr
             queue.append(node)
             continue
         node = queue.pop()
-        agree = (minima[left] == minima[node]).mean(axis=1)
+        agree = _agreement(minima, sizes, left, node, similarity)
         agree[(np.abs(table[left] - table[node]) > FAR).any(axis=1)] = 0
         better = (agree > best[left]) & (agree >= HOPEFUL)
         best[left[better]], tied[left[better]] = agree[better], node
@@ -281,36 +291,38 @@ def _ties(ids: np.ndarray, fps: np.ndarray, minima: np.ndarray, spread: np.ndarr
     return links
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """`doc_id`, `component_id` (the smallest id reachable over texts that share at least `similarity` of their shingles).
+def _candidates(cell: dict[str, np.ndarray], similarity: float, wide: int) -> list[tuple[int, int]]:
+    """Pairs of one cell that are hopeful, not tested and between groups: every member with its `wide` best of larger groups."""
+    ids, sizes, minima = cell["rep"], cell["n"], cell["minima"]
+    _, group, members = np.unique(cell["root"], return_inverse=True, return_counts=True)
+    place = np.empty(len(members), np.int64)
+    place[np.argsort(members, kind="stable")] = np.arange(len(members))
+    place, pairs = place[group], []
+    for node in np.flatnonzero(place < len(members) - 1):
+        others = np.flatnonzero(place > place[node])
+        agree = _agreement(minima, sizes, others, node, similarity)
+        if cell["failed"][node] is not None:
+            agree[np.isin(ids[others], cell["failed"][node])] = 0
+        hopeful = np.flatnonzero(agree >= HOPEFUL)
+        hopeful = hopeful[np.argsort(-agree[hopeful], kind="stable")[:wide]]
+        pairs += [(int(ids[node]), int(ids[i])) for i in others[hopeful]]
+    return pairs
 
-    Texts with the same shingles are one class. Rows without id take no part. Candidate ties miss a similar pair only if no minimum
-    is shared (0.2^8 at 0.8) and nothing else connects it; a tie is kept only if the whole texts' similarity is reached.
-    """
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = stage(sketches(rows, "doc_id", "text", shingle), "sketches")
-    same = F.struct("fp", "n", F.xxhash64("keys", "minima"))
-    tagged = found.withColumn("same", same)
-    classes = stage(tagged.groupBy("same").agg(
-        F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("minima").alias("minima")), "classes")
-    _, spread = pivots(blocks_for(0))
 
-    keyed = classes.select("rep", "fp", "minima", F.posexplode("keys").alias("table", "key"))
-    shared = keyed.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1").select("table", "key")
-    met = keyed.join(shared, ["table", "key"]).repartition("table", "key").sortWithinPartitions("table", "key", "rep")
+def _per_cell(met: DataFrame, search: Callable[[dict[str, np.ndarray]], list[tuple[int, int]]]) -> DataFrame:
+    """The different pairs `a` < `b` that `search` names in the cells (rows of equal `table` and `key`, two at least) of `met`."""
 
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: pd.DataFrame | None = None
 
-        def ties_of(rows: pd.DataFrame) -> pd.DataFrame:
-            ids, fps = rows["rep"].to_numpy(np.int64), rows["fp"].to_numpy(np.int64).view(np.uint64)
-            minima = np.stack(rows["minima"].to_numpy())
+        def pairs_of(rows: pd.DataFrame) -> pd.DataFrame:
+            columns = {c: np.stack(rows[c].to_numpy()) if c == "minima" else rows[c].to_numpy() for c in rows.columns}
             cell = rows[["table", "key"]].to_numpy()
             edges = np.concatenate([[0], np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1, [len(rows)]])
             out: list[tuple[int, int]] = []
             for lo, hi in zip(edges, edges[1:]):
                 if hi - lo > 1:
-                    out += _ties(ids[lo:hi], fps[lo:hi], minima[lo:hi], spread)
+                    out += search({c: v[lo:hi] for c, v in columns.items()})
             pairs = np.array(out, np.int64).reshape(-1, 2)
             return pd.DataFrame({"a": pairs.min(axis=1, initial=np.iinfo(np.int64).max), "b": pairs.max(axis=1, initial=np.iinfo(np.int64).min)})
 
@@ -321,24 +333,68 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             last = (rows["table"] == rows["table"].iloc[-1]) & (rows["key"] == rows["key"].iloc[-1])
             rest = rows[last]
             if len(rest) < len(rows):
-                yield ties_of(rows[~last])
+                yield pairs_of(rows[~last])
         if rest is not None and len(rest):
-            yield ties_of(rest)
+            yield pairs_of(rest)
+
+    dealt = met.repartition("table", "key").sortWithinPartitions("table", "key", "rep")
+    return dealt.mapInPandas(cells, "a long, b long").distinct()
+
 
-    ties = stage(met.select("table", "key", "rep", "fp", "minima").mapInPandas(cells, "a long, b long").distinct(), "ties")
-    members = ties.select(F.col("a").alias("rep")).union(ties.select("b")).distinct()
+def _tested(pairs: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """`pairs` (`a`, `b`) with `similar`: whether the whole texts of `rows` reach the similarity."""
+    pairs = stage(pairs, "ties")
+    members = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
     texts = rows.join(members, rows["doc_id"] == members["rep"], "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
     texts = stage(texts, "tied-texts")
-    pairs = ties.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), "a").join(
+    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), "a").join(
         texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right")), "b").select("a", "b", "left", "right")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [[shingle_hashes((t or "").encode(), shingle) for t in batch.column(i).to_pylist()] for i in (2, 3)]
-            yield batch.select(["a", "b"]).filter(pa.array([jaccard(x, y) >= similarity for x, y in zip(*texts)], pa.bool_()))
+            reached = pa.array([jaccard(x, y) >= similarity for x, y in zip(*texts)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), reached], names=["a", "b", "similar"])
+
+    return stage(both.mapInArrow(verify, "a long, b long, similar boolean"), "tested")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """`doc_id`, `component_id` (the smallest id reachable over texts that share at least `similarity` of their shingles).
+
+    Texts with the same shingles are one class. Rows without id take no part. A pair is a candidate if it shares a key and HOPEFUL of the
+    minima; at 0.8 that misses it with a chance of 0.2^8 and 0.00003, and nothing is lost if others connect it. Candidates are
+    tested on the whole texts until none is left between two groups.
+    """
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    found = stage(sketches(rows, "doc_id", "text", shingle), "sketches")
+    same = F.struct("fp", "n", F.xxhash64("keys", "minima"))
+    tagged = found.withColumn("same", same)
+    classes = stage(tagged.groupBy("same").agg(
+        F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("minima").alias("minima")), "classes")
+    _, spread = pivots(blocks_for(0))
+
+    keyed = classes.select("rep", "fp", F.col("same.n").alias("n"), "minima", F.posexplode("keys").alias("table", "key"))
+    shared = keyed.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1").select("table", "key")
+    met = keyed.join(shared, ["table", "key"])
+    tested = _tested(_per_cell(met, lambda cell: _ties(cell, spread, similarity)), rows, shingle, similarity)
+
+    # A cell whose ties all hold is settled: they connect every hopeful pair of it. Elsewhere members of different groups
+    # go on with their next best, more of them each time, until a round finds none.
+    last, wide = tested.where(~F.col("similar")), 4
+    while True:
+        roots = components(tested.where("similar"), "a", "b")
+        members = last.select(F.col("a").alias("rep")).union(last.select("b")).distinct()
+        if members.isEmpty():
+            break
+        unsettled = keyed.join(members, "rep", "left_semi").select("table", "key").distinct()
+        failed = tested.where(~F.col("similar"))
+        failed = failed.select(F.col("a").alias("rep"), "b").union(failed.select("b", "a")).groupBy("rep").agg(F.collect_list("b").alias("failed"))
+        again = keyed.join(unsettled, ["table", "key"], "left_semi").join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(failed, "rep", "left")
+        again = again.select("table", "key", "rep", "n", "minima", F.coalesce("root", "rep").alias("root"), "failed")
+        last = _tested(_per_cell(again, lambda cell, wide=wide: _candidates(cell, similarity, wide)), rows, shingle, similarity)
+        tested, wide = tested.union(last), wide * 4
 
-    links = pairs.mapInArrow(verify, "a long, b long")
-    roots = components(links, "a", "b")
     placed = classes.join(roots, classes["rep"] == roots["node"], "left").select("same", "copies", F.coalesce("root", "rep").alias("component_id"))
     groups = stage(placed, "groups")
     return join_groups(tagged.select("doc_id", "same"), groups, "same", "copies", found.count()).select("doc_id", "component_id")

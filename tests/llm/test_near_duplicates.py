@@ -121,6 +121,20 @@ def test_similar_groups(spark):
     assert kept.columns[-1] == "score" and simhash_pivots.keep_rows(docs(spark, [])).count() == 0
 
 
+def test_groups_with_pairs_on_both_sides_of_the_limit(spark):
+    """A member whose best estimate fails on the whole texts still finds its other partners."""
+    rng = random.Random(13)
+    pairs = []
+    for base in random_texts(12, seed=21, vocabulary=3000, length=(60, 140)):
+        n = len(base.split())
+        pairs += [edited(base, rng, k) for k in rng.choices(range(1, max(2, n // 40) + 2), k=25)]
+    pairs = list(enumerate(pairs, 1))
+    got = simhash_pivots.similar_groups(docs(spark, pairs)).collect()
+    want = plain_groups(pairs)
+    assert 20 < len(set(want.values())) < 280
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
 def test_levels_grow_geometrically():
     rng = np.random.default_rng(1)
     family, want = chunks.Levels(), Counter()
