@@ -111,11 +111,14 @@ def weights(
     spend = F.col("power") * F.lit(cover) if budget is None else F.col("power") / F.lit(z) * F.lit(float(budget))
     if max_repeats is not None:
         spend = F.least(spend, F.col("tokens") * F.lit(float(max_repeats)))
-    # A hair above whole numbers, so that rounding never takes a document from a source that is read exactly once.
+    # A hair above whole numbers for rounding. The hair does not grow with a source, so where every source is read at least once that is said outright.
+    spent = F.floor(F.coalesce(spend, F.lit(0.0)) + 1e-6).cast("long")
+    if budget is None and (max_repeats is None or max_repeats >= 1):
+        spent = F.greatest(spent, F.col("tokens"))
     return powered.select(
         "source", "tokens", "share", F.lit(a).alias("exponent"),
         F.when(F.col("tokens") > 0, F.col("power") / F.lit(z)).otherwise(0.0).alias("weight"),
-        F.floor(F.coalesce(spend, F.lit(0.0)) + 1e-6).cast("long").alias("budget"),
+        spent.alias("budget"),
     )
 
 

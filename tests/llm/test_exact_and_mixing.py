@@ -78,6 +78,16 @@ def test_target_entropy_is_met(spark, corpus):
     assert all(r["weight"] == pytest.approx(powers[r["source"]] / sum(powers.values())) for r in plan)
 
 
+@pytest.mark.parametrize(("large", "small", "power"), [
+    (136537401957, 6588125533, 0.596), (136917913277, 2619891353, 0.35), (133668158866, 8926304660, 0.533), (136889265147, 2927459097, 0.519)])
+def test_large_sources_are_read_whole(spark, monkeypatch, large, small, power):
+    monkeypatch.setattr(mixing, "exponent", lambda *_: power)
+    tokens = spark.createDataFrame([(1, "a", large), (2, "b", small)], "doc_id long, source string, tokens long")
+    assert all(r["budget"] >= r["tokens"] for r in rows(mixing.weights(tokens)))
+    cut = rows(mixing.weights(tokens, max_repeats=0.5))
+    assert all(r["budget"] <= r["tokens"] * 0.5 + 1 for r in cut)
+
+
 def test_repetition_limit_is_kept(spark, corpus):
     plan = rows(mixing.weights(tokens_of(corpus), target_entropy=1.0, max_repeats=2.0))
     repeats = [r["budget"] / r["tokens"] for r in plan]
