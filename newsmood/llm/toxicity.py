@@ -3,7 +3,7 @@
 Disguised words ("1d10t", "i d i o t", "iiidiot", "sc.um") are restored before scoring. The channel model says which letters
 an observed character may stand for, and which characters may be dropped (repeats, separators); together they make
 a lattice. A character trigram model, counted over all documents, prefers likely spellings, and Viterbi decoding takes the
-best path. Ordinary words have one path only and are taken as they are; restored words are added to what was
+best path. Words of letters none of which is doubled have one path only and are taken as they are; restored words are added to what was
 written, so restoring can only add evidence.
 
 The scorer is fitted on labelled rows. Features of a text are its words, and the stems (first 4 and 5 letters) that
@@ -52,8 +52,8 @@ AS_WRITTEN, AS_SIGN, DROP_REPEAT, DROP_SIGN, DROP_SPACE, BREAK = -0.05, -0.9, -0
 
 _EDGE = re.compile(r"^[^\w@$]+|[^\w@$]+$|([@$])\1\1+$")
 _LETTERS = re.compile(r"[^\W\d_]+")
-_TRIPLE = re.compile(r"([^\W\d_])\1\1")
-_SPACED = re.compile(r"(?<!\S)(?:\S[ \t]){3,}\S(?!\S)")
+_DOUBLE = re.compile(r"([^\W\d_])\1")
+_SPACED = re.compile(r"(?<!\S)(?:\S\s+){2,}\S(?!\S)")
 _N = 28
 
 
@@ -140,20 +140,21 @@ class Restorer(dict):
     def words(self, chunk: str) -> set[str]:
         low = chunk.lower()
         plain = low.rstrip(".,;:!?")
-        if plain.isalpha() and not _TRIPLE.search(plain):
+        if plain.isalpha() and not _DOUBLE.search(plain):
             return {plain}
         found = set(_LETTERS.findall(low))
         core = _EDGE.sub("", low)
-        if core and (not core.isalpha() or _TRIPLE.search(core)) and any(c.isalpha() for c in core):
+        if core and (not core.isalpha() or _DOUBLE.search(core)) and any(c.isalpha() for c in core):
             found.update(decode(core, self.model).split())
         return found
 
     def spaced(self, text: str) -> set[str]:
-        """Words spelled out with blanks; runs of one character only are no words."""
+        """Words spelled out with white space; runs of one character only are no words."""
         found = set()
         for run in _SPACED.findall(text):
-            if len(set(run)) > 2:
-                found.update(decode(run.lower().replace("\t", " "), self.model, spaced=True).split())
+            characters = run.lower().split()
+            if len(set(characters)) > 1:
+                found.update(decode(" ".join(characters), self.model, spaced=True).split())
         return found
 
     def __missing__(self, chunk: str):

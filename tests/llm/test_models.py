@@ -252,6 +252,17 @@ def test_spaced_words(spelling):
     assert "idiot" in restorer.spaced("you i d i o t there") and restorer.spaced("a a a a a a") == set()
 
 
+@pytest.mark.parametrize(("text", "meant"), [("you i  d\ni o t there", "idiot"), ("a b", None), ("so b a d it", "bad")])
+def test_gaps_of_any_white_space(spelling, text, meant):
+    found = toxicity.Restorer(spelling, lambda words: words).spaced(text)
+    assert bool(found) == (meant is not None) and (meant != "idiot" or meant in found)
+
+
+@pytest.mark.parametrize(("chunk", "meant"), [("stuupid", "stupid"), ("iidiot", "idiot"), ("loserr,", "loser"), ("silly", "silly")])
+def test_doubled_letters_are_restored(spelling, chunk, meant):
+    assert meant in toxicity.Restorer(spelling, lambda words: words).words(chunk)
+
+
 def test_toxicity(spark):
     rng = random.Random(1)
     calm = "river stone garden window paper letter music market bridge cloud".split()
