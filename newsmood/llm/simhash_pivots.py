@@ -191,13 +191,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 # ---- groups of similar texts ------------------------------------------------------------------------------------------------------
 #
-# At a similarity of 0.8 fingerprints differ in about ten bits, too many for cells of equal blocks. So cells are made of equal minima
-# of shingle hashes here, two texts of that similarity share one of KEYS minima all but surely, and the pivots do the
-# same work as above: a pair is discarded if its distances to a pivot differ by more than FAR bits. Inside a cell every member is tied to the
+# At a similarity of 0.8 fingerprints differ in about ten bits, too many for cells of equal blocks and for pivots to discard anything.
+# So this is MinHash: cells are made of equal minima of shingle hashes, and two texts of that similarity share one of KEYS minima all
+# but surely. Fingerprints only help to tell classes of equal shingles apart. Inside a cell every member is tied to the
 # member that it agrees with most in MINIMA further minima; such ties are verified on the whole texts. Where one fails, the cell is
 # searched again for pairs between groups that are not tested yet, until there is none.
 
-KEYS, MINIMA, FAR = 8, 32, 24
+KEYS, MINIMA = 8, 32
 #: A tie is verified if at least this share of the minima agree; from CLOSE on the search takes it for certain at first.
 HOPEFUL, CLOSE = 0.5, 0.9
 
@@ -263,10 +263,9 @@ def _agreement(minima: np.ndarray, sizes: np.ndarray, others: np.ndarray, node:
     return agree
 
 
-def _ties(cell: dict[str, np.ndarray], spread: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+def _ties(cell: dict[str, np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """Ties of one cell: every member with the reached member that it agrees with most, if that is hopeful."""
     ids, sizes, minima = cell["rep"], cell["n"], cell["minima"]
-    table = np.bitwise_count(cell["fp"].view(np.uint64)[:, None] ^ spread).astype(np.int8)
     left = np.arange(1, len(ids))
     best, tied = np.zeros(len(ids)), np.full(len(ids), -1)
     queue, links = [0], []
@@ -281,7 +280,6 @@ def _ties(cell: dict[str, np.ndarray], spread: np.ndarray, similarity: float) ->
             continue
         node = queue.pop()
         agree = _agreement(minima, sizes, left, node, similarity)
-        agree[(np.abs(table[left] - table[node]) > FAR).any(axis=1)] = 0
         better = (agree > best[left]) & (agree >= HOPEFUL)
         best[left[better]], tied[left[better]] = agree[better], node
         close = left[agree >= CLOSE]
@@ -371,13 +369,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     same = F.struct("fp", "n", F.xxhash64("keys", "minima"))
     tagged = found.withColumn("same", same)
     classes = stage(tagged.groupBy("same").agg(
-        F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("minima").alias("minima")), "classes")
-    _, spread = pivots(blocks_for(0))
+        F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("minima").alias("minima")), "classes")
 
-    keyed = classes.select("rep", "fp", F.col("same.n").alias("n"), "minima", F.posexplode("keys").alias("table", "key"))
+    keyed = classes.select("rep", F.col("same.n").alias("n"), "minima", F.posexplode("keys").alias("table", "key"))
     shared = keyed.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1").select("table", "key")
     met = keyed.join(shared, ["table", "key"])
-    tested = _tested(_per_cell(met, lambda cell: _ties(cell, spread, similarity)), rows, shingle, similarity)
+    tested = _tested(_per_cell(met, lambda cell: _ties(cell, similarity)), rows, shingle, similarity)
 
     # A cell whose ties all hold is settled: they connect every hopeful pair of it. Elsewhere members of different groups
     # go on with their next best, more of them each time, until a round finds none.
