@@ -47,13 +47,17 @@ def bucket_edges(buckets: int) -> np.ndarray:
     return np.array([((1 << 64) * i) // buckets for i in range(buckets)], np.uint64)
 
 
-def planes(numbers: np.ndarray) -> bytes:
-    """Unsigned 32-bit numbers, all lowest bytes first: mostly small numbers compress well this way."""
-    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+#: Bytes of a count within one chunk, and of a total over all chunks.
+IN_CHUNK, TOTAL = 4, 8
 
 
-def from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4")[:, 0]
+def planes(numbers: np.ndarray, width: int = IN_CHUNK) -> bytes:
+    """Unsigned numbers of `width` bytes, all lowest bytes first: mostly small numbers compress well this way."""
+    return np.ascontiguousarray(numbers.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes()
+
+
+def from_planes(data: bytes, width: int = IN_CHUNK) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(f"<u{width}")[:, 0]
 
 
 def narrow(keys: np.ndarray, edge: np.uint64, buckets: int) -> bytes:

@@ -72,6 +72,35 @@ def _sums(inverse: np.ndarray, mask: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(inverse[mask], minlength=n)
 
 
+def _totals(sent: pa.Table, buckets: int) -> pa.Table:
+    """What a bucket answers to every chunk that sent it keys."""
+    bucket = sent["bucket"][0].as_py()
+    chunk, apart = np.array(sent["chunk"]), np.array(sent["chunk"]) >= buckets
+    kinds, keys, counts = np.array(sent["kind"]), sent["keys"].to_pylist(), sent["more"].to_pylist()
+    out = []
+    for kind in (WORD, PAIR):
+        at = np.flatnonzero(kinds == kind)
+        if not len(at):
+            continue
+        decoded = [np.frombuffer(keys[i], "<u8") if kind == WORD else chunks.from_narrow(keys[i]) for i in at]
+        numbers = [chunks.from_planes(counts[i]).astype(np.int64) for i in at]
+        unique, inverse = np.unique(np.concatenate(decoded), return_inverse=True)
+        every = np.bincount(inverse, np.concatenate(numbers), len(unique)).astype(np.int64)
+        from_apart = np.concatenate([n if a else np.zeros_like(n) for n, a in zip(numbers, apart[at])])
+        kept = every - np.bincount(inverse, from_apart, len(unique)).astype(np.int64)
+        ends = np.cumsum([len(d) for d in decoded])
+        for i, end, d in zip(at, ends, decoded):
+            own = inverse[end - len(d): end]
+            # A deleted chunk needs the counts without its fold, and then the counts with it.
+            asked = every[own] if not apart[i] else np.concatenate([kept[own], every[own]])
+            out.append((int(chunk[i]), bucket, kind, chunks.planes(asked, chunks.TOTAL)))
+        if kind == WORD:
+            real = unique != START
+            totals = [every[real].sum(), (every[real] > 0).sum(), kept[real].sum(), (kept[real] > 0).sum()]
+            out.append((-1, bucket, kind, np.array(totals, "<i8").tobytes()))
+    return chunks.table(["chunk", "bucket", "kind", "totals"], out, chunks.ANSWERED)
+
+
 def count_keys(rows: DataFrame, buckets: int) -> DataFrame:
     """Job 1: `chunks.ANSWERED` with the counts of every chunk's words and pairs; chunk -1 holds each bucket's totals."""
     edges = chunks.bucket_edges(buckets)
@@ -93,35 +122,8 @@ def count_keys(rows: DataFrame, buckets: int) -> DataFrame:
         del deleted
         return chunks.table(chunks.SENT_NAMES, out, chunks.SENT)
 
-    def count(sent: pa.Table) -> pa.Table:
-        bucket = sent["bucket"][0].as_py()
-        chunk, apart = np.array(sent["chunk"]), np.array(sent["chunk"]) >= buckets
-        kinds, keys, counts = np.array(sent["kind"]), sent["keys"].to_pylist(), sent["more"].to_pylist()
-        out = []
-        for kind in (WORD, PAIR):
-            at = np.flatnonzero(kinds == kind)
-            if not len(at):
-                continue
-            decoded = [np.frombuffer(keys[i], "<u8") if kind == WORD else chunks.from_narrow(keys[i]) for i in at]
-            numbers = [chunks.from_planes(counts[i]).astype(np.int64) for i in at]
-            unique, inverse = np.unique(np.concatenate(decoded), return_inverse=True)
-            every = np.bincount(inverse, np.concatenate(numbers), len(unique)).astype(np.int64)
-            from_apart = np.concatenate([n if a else np.zeros_like(n) for n, a in zip(numbers, apart[at])])
-            kept = every - np.bincount(inverse, from_apart, len(unique)).astype(np.int64)
-            ends = np.cumsum([len(d) for d in decoded])
-            for i, end, d in zip(at, ends, decoded):
-                own = inverse[end - len(d): end]
-                # A deleted chunk needs the counts without its fold, and then the counts with it.
-                totals = chunks.planes(every[own]) if not apart[i] else chunks.planes(np.concatenate([kept[own], every[own]]))
-                out.append((int(chunk[i]), bucket, kind, totals))
-            if kind == WORD:
-                real = unique != START
-                totals = [every[real].sum(), (every[real] > 0).sum(), kept[real].sum(), (kept[real] > 0).sum()]
-                out.append((-1, bucket, kind, np.array(totals, "<i8").tobytes()))
-        return chunks.table(["chunk", "bucket", "kind", "totals"], out, chunks.ANSWERED)
-
     sent = chunks.per_chunk(rows, send, chunks.SENT)
-    return sent.groupBy("bucket").applyInArrow(lambda t: count(t), chunks.ANSWERED)
+    return sent.groupBy("bucket").applyInArrow(lambda t: _totals(t, buckets), chunks.ANSWERED)
 
 
 def _counts_of(docs: pa.Table, answers: pa.Table, half: int | None):
@@ -133,7 +135,7 @@ def _counts_of(docs: pa.Table, answers: pa.Table, half: int | None):
     for kind, keys in ((WORD, np.append(token, START)), (PAIR, pair_keys(before, token))):
         unique, inverse = np.unique(keys, return_inverse=True)
         at = np.flatnonzero(kinds == kind)
-        parts = [chunks.from_planes(data[i]) for i in at[np.argsort(buckets[at])]]
+        parts = [chunks.from_planes(data[i], chunks.TOTAL) for i in at[np.argsort(buckets[at])]]
         if half is not None:
             parts = [p[half * (len(p) // 2): (half + 1) * (len(p) // 2)] for p in parts]
         totals = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)

@@ -82,6 +82,14 @@ def test_scores_equal_a_plain_model(spark, monkeypatch, chunk):
         assert any(r["base_score"] == pytest.approx(x[4]) and r["score"] == pytest.approx(x[5], rel=0.05, abs=0.1) for x in near)
 
 
+def test_totals_beyond_32_bits():
+    keys, counts = np.array([5], "<u8").tobytes(), chunks.planes(np.array([3_000_000_000]))
+    sent = chunks.table(chunks.SENT_NAMES, [(0, c, lm_scoring.WORD, keys, counts) for c in (0, 1, 2)], chunks.SENT)
+    got = {r["chunk"]: bytes(r["totals"]) for r in lm_scoring._totals(sent, 2).to_pylist()}
+    assert chunks.from_planes(got[0], 8).tolist() == [9_000_000_000]
+    assert chunks.from_planes(got[2], 8).tolist() == [6_000_000_000, 9_000_000_000]
+
+
 def test_the_model_is_a_distribution():
     """Over the vocabulary and one unknown word the probabilities of a context add up to one."""
     pair, word, n, v = np.array([3, 1, 0, 0]), np.array([5, 2, 3, 0]), 10, 3
