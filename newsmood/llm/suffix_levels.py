@@ -1,12 +1,12 @@
-"""Removal of long repeated byte strings with logarithmic families of sparse suffix arrays.
+"""Removal of long repeated byte strings with counts of content-defined anchors, in place of suffix arrays.
 
 A byte is removed if a string of `length` bytes that covers it also starts anywhere else in the corpus.
 
 Suffixes are sampled by content: of the GRAM-byte strings inside a window of `length` bytes, the one with the smallest hash (the
 rightmost of equals) is the window's anchor. Equal windows have their anchor at the same offset, so a repeated window is found by its
-anchor's suffix. A chunk of documents (`chunks`) gives, per range of hashes, the array of its anchors' suffixes in the order of their
-hashes. Each range keeps a family of such arrays: a new chunk's array is scanned against the levels and becomes a level;
-levels of one size class are merged into the next.
+anchor's suffix. A chunk of documents (`chunks`) gives, per range of hashes, a table of its anchors' hashes with counts,
+without positions or order of text. A range adds the tables of all chunks to a family whose levels of one size class are merged into the
+next, and then looks totals up; the family ends with its task, so no index is kept for later documents.
 
 1. An anchor that no other suffix shares covers windows that occur once.
 2. An anchor whose suffixes all have the same surroundings (the bytes of all windows that it is the anchor of) covers windows that all
