@@ -167,3 +167,16 @@ def op12_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 
     rules = spark.createDataFrame(URL_RULES, "rule string, action string")
     return url_filter.verdicts(table(spark, folder, "pages"), rules)
+
+
+@query()
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from newsmood.llm import conversation_repair as conversations
+
+    reports, lines = conversations.repair(conversations.damaged(table(spark, folder, "conversations")))
+    hashed = conversations.digests(lines).withColumnRenamed("conv_id", "of")
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    both = reports.join(hashed, reports["conv_id"].eqNullSafe(hashed["of"]), "left")
+    return both.select(*reports.columns, F.coalesce("repaired_sha256", nothing).alias("repaired_sha256"))
