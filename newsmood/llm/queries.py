@@ -180,3 +180,10 @@ def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     nothing = F.sha2(F.lit("").cast("binary"), 256)
     both = reports.join(hashed, reports["conv_id"].eqNullSafe(hashed["of"]), "left")
     return both.select(*reports.columns, F.coalesce("repaired_sha256", nothing).alias("repaired_sha256"))
+
+
+@query()
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    from newsmood.llm import token_alignment
+
+    return token_alignment.alignments(table(spark, folder, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))

@@ -34,7 +34,7 @@ def test_run(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracles(spark, name):
     duck = duckdb.connect()
-    for table in ("documents", "labels", "embeddings"):
+    for table in ("documents", "labels", "embeddings", "pages", "conversations"):
         duck.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{FOLDER}/{table}.parquet')")
     got = queries.QUERIES[name](spark, FOLDER).toPandas()
     want = duck.execute(queries.ORACLES[name]).df()[list(got.columns)]
@@ -44,4 +44,4 @@ def test_oracles(spark, name):
 
 def test_registered():
     names = __spark_entry__.queries()
-    assert "pipeline" in names and all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
+    assert "pipeline" in names and all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14))
