@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsmood import config
 from newsmood.functions import numbers, text
 from newsmood.operators.dedupe import unseen
+from newsmood.session import checkpoint
 
 _WORD = r"[\p{L}\p{N}]+"
+_SIGN = r"[^\p{L}\p{N}\s]"
+#: A catalogue of at most so many aliases (some 200 bytes each) is broadcast; a larger one is shuffled.
+BROADCAST_ALIASES = 100_000
 
 
 def alias_pattern(alias: Column, case_sensitive: Column) -> Column:
@@ -21,14 +25,17 @@ def alias_pattern(alias: Column, case_sensitive: Column) -> Column:
 
 
 def compile_aliases(aliases: DataFrame) -> DataFrame:
-    """asset_id, pattern and anchor (the alias's longest word in lower case, the first of equals; '' if it has none)."""
-    words = F.regexp_extract_all(F.lower("alias"), F.lit(_WORD), F.lit(0))
-    longest = F.aggregate(words, F.lit(""), lambda best, w: F.when(F.length(w) > F.length(best), w).otherwise(best))
-    return aliases.where(F.trim("alias") != "").select(
-        "asset_id",
-        alias_pattern(F.col("alias"), F.col("is_case_sensitive")).alias("pattern"),
-        longest.alias("anchor"),
-    )
+    """asset_id, pattern and `keys` of every alias: its different words in lower case, the longest first, or its signs if it has no word.
+
+    An alias starts and ends at a word edge, so a text that holds it holds all of its keys. Aliases of white space are left out.
+    """
+    found = lambda what: F.array_distinct(F.regexp_extract_all(F.lower("alias"), F.lit(what), F.lit(0)))
+    longest_first = F.transform(
+        F.array_sort(F.transform(found(_WORD), lambda w, i: F.struct((-F.length(w)).alias("size"), i.alias("at"), w.alias("word")))), lambda x: x["word"])
+    named = aliases.select(
+        "asset_id", alias_pattern(F.col("alias"), F.col("is_case_sensitive")).alias("pattern"), longest_first.alias("words"), found(_SIGN).alias("signs"))
+    return named.select("asset_id", "pattern", F.when(F.size("words") > 0, F.col("words")).otherwise(F.col("signs")).alias("keys"), (F.size("words") == 0).alias("is_signs")).where(
+        F.size("keys") > 0)
 
 
 def with_sentences(articles: DataFrame) -> DataFrame:
@@ -36,23 +43,22 @@ def with_sentences(articles: DataFrame) -> DataFrame:
     return articles.select("article_id", text.build_sentences(F.col("title"), F.col("body")).alias("sentences"))
 
 
-def evidence_window(near: Column, hits: Column, limit: int = config.MAX_MENTION_SENTENCES) -> Column:
-    """The sentences to keep, from the 0-based positions that mention the asset.
+def evidence_window(near: Column, hits: Column, limit: int | None = config.MAX_MENTION_SENTENCES) -> Column:
+    """The sentences to keep, from the 0-based positions that mention the asset; without a limit all of them.
 
     `near` holds {i, s}: the mentioning sentences and their neighbours with their positions.
     Mentions take the places first, then their neighbours in the order of the mentions (left
     before right); the result is in text order.
     """
-    first_hits = F.slice(F.array_sort(F.array_distinct(hits)), 1, limit)
+    first = lambda a: a if limit is None else F.slice(a, 1, limit)
+    first_hits = first(F.array_sort(F.array_distinct(hits)))
 
     def window(n: Column) -> Column:
         known = F.transform(n, lambda x: x["i"])
         both_sides = lambda h: F.flatten(F.transform(h, lambda i: F.array(i - 1, i + 1)))
         chosen = text.let(
             first_hits,
-            lambda h: F.slice(
-                F.array_distinct(F.concat(h, F.filter(both_sides(h), lambda i: F.array_contains(known, i)))), 1, limit
-            ),
+            lambda h: first(F.array_distinct(F.concat(h, F.filter(both_sides(h), lambda i: F.array_contains(known, i))))),
         )
         kept = text.let(chosen, lambda c: F.filter(n, lambda x: F.array_contains(c, x["i"])))
         return F.transform(F.array_sort(kept), lambda x: x["s"])
@@ -60,41 +66,66 @@ def evidence_window(near: Column, hits: Column, limit: int = config.MAX_MENTION_
     return text.let(F.array_distinct(near), window)
 
 
-def match_assets(sentenced: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Mentions (article_id, asset_id, sentences) of each asset in each article.
+def _neighbours(sentences: Column, i: Column) -> Column:
+    """{i, s} of the sentence at `i` and those next to it."""
+    places = F.array(i - 1, i, i + 1)
+    return F.filter(F.transform(places, lambda k: F.struct(k.alias("i"), F.get(sentences, k).alias("s"))), lambda x: x["s"].isNotNull())
 
-    Instead of testing every alias on every sentence, the words of every sentence meet the aliases on the alias's longest
-    word (an alias starts and ends at a word edge, so none is lost), and only the sentences found so are tested. The words
-    travel without text; the sentences are joined back to the articles that are left.
-    """
-    compiled = compile_aliases(aliases)
-    key = sentenced.select(F.col("article_id"), F.posexplode("sentences.text").alias("i", "text"))
-    words = F.concat(F.array(F.lit("")), F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))
-    met = key.select("article_id", "i", F.explode(F.array_distinct(words)).alias("anchor")).join(compiled, "anchor")
-    candidates = met.groupBy("article_id", "asset_id", "pattern").agg(F.array_sort(F.collect_set("i")).alias("at")).join(sentenced, "article_id")
-    hit_positions = F.filter("at", lambda i: F.regexp(F.get(F.col("sentences"), i)["text"], F.col("pattern")))
-    tested = candidates.select(
-        "article_id", "asset_id", "sentences", F.slice(hit_positions, 1, config.MAX_MENTION_SENTENCES).alias("hits")
-    ).where(F.size("hits") > 0)
-    # An alias keeps its first six positions, which hold the first six of the asset, and only the
-    # sentences around them: whole texts do not cross the shuffle.
-    around = text.let(
-        F.col("hits"),
-        lambda h: F.array_distinct(F.flatten(F.transform(h, lambda i: F.array(i - 1, i, i + 1)))),
-    )
-    near = F.filter(
-        F.transform(around, lambda i: F.struct(i.alias("i"), F.get(F.col("sentences"), i).alias("s"))),
-        lambda x: x["s"].isNotNull(),
-    )
-    per_asset = tested.select("article_id", "asset_id", "hits", near.alias("near")).groupBy("article_id", "asset_id").agg(
-        F.flatten(F.collect_set("hits")).alias("hits"), F.flatten(F.collect_set("near")).alias("near")
-    )
-    return per_asset.select("article_id", "asset_id", evidence_window(F.col("near"), F.col("hits")).alias("sentences"))
 
+def match_assets(
+    sentenced: DataFrame, aliases: DataFrame, limit: int | None = config.MAX_MENTION_SENTENCES, broadcast_aliases: int = BROADCAST_ALIASES,
+) -> DataFrame:
+    """Mentions (article_id, asset_id, sentences) of each asset in each article, with at most `limit` sentences (None: all).
 
-def mention_rows(articles: DataFrame, aliases: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    Instead of testing every alias on every sentence, the words of a sentence meet the aliases on one word of the alias, and only what meets is tested. A catalogue of
+    at most `broadcast_aliases` aliases is broadcast: words, meeting and test are one pass over the sentences, the text of a sentence is never copied or
+    shuffled, and only hits leave the task, with the sentences next to them. A larger catalogue is shuffled; see `_hits_of_many`.
+    """
+    compiled = compile_aliases(aliases)
+    known = compiled.groupBy("is_signs").count().collect()
+    pattern = f"{_WORD}|{_SIGN}" if any(r["is_signs"] for r in known) else _WORD
+    if sum(r["count"] for r in known) <= broadcast_aliases:
+        small = F.broadcast(compiled.select("asset_id", "pattern", F.get("keys", F.lit(0)).alias("key")))
+        each = sentenced.select("article_id", "sentences", F.posexplode("sentences").alias("i", "sentence"))
+        met = each.select("*", F.explode(_keys(F.col("sentence.text"), pattern)).alias("key")).join(small, "key")
+        hits = met.where(F.regexp("sentence.text", F.col("pattern"))).select("article_id", "asset_id", "i", _neighbours(F.col("sentences"), F.col("i")).alias("near"))
+    else:
+        hits = _hits_of_many(checkpoint(sentenced), compiled, pattern)
+    if limit is not None:
+        # Ranks are cut before the shuffle as well, so a long text that is full of an asset sends a few sentences only.
+        place = F.dense_rank().over(Window.partitionBy("article_id", "asset_id").orderBy("i"))
+        hits = hits.withColumn("place", place).where(F.col("place") <= limit)
+    per_asset = hits.groupBy("article_id", "asset_id").agg(F.collect_set("i").alias("hits"), F.flatten(F.collect_set("near")).alias("near"))
+    return per_asset.select("article_id", "asset_id", evidence_window(F.col("near"), F.col("hits"), limit).alias("sentences"))
+
+
+def _keys(sentence: Column, pattern: str) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(sentence), F.lit(pattern), F.lit(0)))
+
+
+def _hits_of_many(sentenced: DataFrame, compiled: DataFrame, pattern: str) -> DataFrame:
+    """article_id, asset_id, i and near (the sentence and its neighbours) of the sentences that mention an alias of a catalogue that is too large for a broadcast.
+
+    An alias is met on its rarest word, counted over the sentences; one with a word that no sentence has is never met. Words travel without text, and the
+    texts of sentences that met an alias come to them once.
+    """
+    words = sentenced.select("article_id", F.posexplode("sentences.text").alias("i", "text")).select("article_id", "i", F.explode(_keys(F.col("text"), pattern)).alias("key"))
+    wanted = compiled.select("asset_id", "pattern", F.explode("keys").alias("key"))
+    often = words.join(wanted.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count("*").alias("often"))
+    counted = wanted.join(often, "key", "left").select("asset_id", "pattern", "key", F.coalesce("often", F.lit(0)).alias("often"))
+    rarest = counted.groupBy("asset_id", "pattern").agg(F.min(F.struct("often", "key")).alias("least")).where("least.often > 0")
+    anchored = checkpoint(rarest.select("asset_id", "pattern", F.col("least.key").alias("key")))
+    met = words.join(anchored, "key").select("article_id", "i", "asset_id", "pattern").distinct()
+    texts = sentenced.select("article_id", F.posexplode(F.transform("sentences", lambda s, i: F.struct(s["text"].alias("text"), _neighbours(F.col("sentences"), i).alias("near")))).alias("i", "sentence"))
+    hits = met.join(texts, ["article_id", "i"]).where(F.regexp("sentence.text", F.col("pattern")))
+    return hits.select("article_id", "asset_id", "i", "sentence.near")
+
+
+def mention_rows(
+    articles: DataFrame, aliases: DataFrame, stored: DataFrame | None = None, limit: int | None = config.MAX_MENTION_SENTENCES,
+) -> DataFrame:
     """Mentions of a set of articles; with `stored`, only pairs that are not stored yet."""
-    mentions = match_assets(with_sentences(articles), aliases)
+    mentions = match_assets(with_sentences(articles), aliases, limit)
     return mentions if stored is None else unseen(mentions, stored, ["article_id", "asset_id"])
 
 

@@ -323,6 +323,17 @@ def mention_rows(v):
     )
 
 
+@query("E3 E4", """SELECT article_id, asset_id, count(*) AS sentences, sha256(string_agg(sid || ':' || txt, chr(10) ORDER BY pos)) AS evidence_sha256 FROM (
+  SELECT article_id, asset_id, pos FROM hits UNION SELECT article_id, asset_id, pos - 1 FROM hits UNION SELECT article_id, asset_id, pos + 1 FROM hits)
+  JOIN sentences USING (article_id, pos) GROUP BY article_id, asset_id""", "hits sentences")
+def all_mention_sentences(v):
+    """Every sentence that mentions an asset and those next to it, without a limit, as a digest."""
+    rows = detect.mention_rows(v.articles, v.aliases, limit=None)
+    line = F.transform("sentences", lambda s: F.concat(s["id"], F.lit(":"), s["text"]))
+    return rows.select(
+        "article_id", "asset_id", F.size("sentences").cast("long").alias("sentences"), F.sha2(F.array_join(line, "\n"), 256).alias("evidence_sha256"))
+
+
 @query("E5", """SELECT article_id, asset_id FROM mentions WHERE article_id IN (SELECT article_id FROM articles
   WHERE fetched_at >= TIMESTAMP '2024-01-29') AND (article_id, asset_id) NOT IN (SELECT article_id, asset_id FROM mention_signals)""",
        "mentions mention_signals articles")
