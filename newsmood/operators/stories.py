@@ -14,17 +14,21 @@ How the work stays small on skewed data:
   still allow the threshold, and only if they are active within the window of each other;
 * two headlines that share frequent shingles only are as similar as their frequent parts say, so
   for those pairs all classes with the same frequent part are one family, and families are matched
-  instead of classes: a template filled with thousands of names is one family. Families meet on frequent shingles, so many
-  different families with one common shingle still make a long list;
-* within a matched class or family, the first member in the window comes from the same as-of
-  lookup. A family may understate the similarity of a member that shares a rare shingle as well;
-  that member's own class then brings its true, higher value.
+  instead of classes: a template filled with thousands of names is one family;
+* families that meet on a shingle of more than LONG_LIST families are not compared with each other: they meet on that
+  shingle and the next one, then on three, and so on (see `similar_families`). What is still a long list when the shingles of the key
+  alone reach the threshold is one group of similar headlines;
+* within a matched class, family or group, the first member in the window comes from the same as-of
+  lookup. A family or group may understate the similarity of a member that shares more shingles;
+  that member's own class, or a longer key, then brings its true, higher value.
 
 So no list of all pairs within a group of similar headlines is ever built.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +40,8 @@ from newsmood.session import checkpoint
 _SEP = "\u0001"
 # A shingle that more distinct headlines than this hold counts as frequent.
 FREQUENT_SHINGLE = 200
+# Families of a key that more of them have are told apart by a longer key instead of being compared.
+LONG_LIST = 1000
 
 
 def with_shingles(articles: DataFrame) -> DataFrame:
@@ -93,38 +99,31 @@ def shingle_families(classes: DataFrame, threshold: float = config.JOIN_THRESHOL
     )
 
 
+def _needed_at_least(threshold: float) -> Column:
+    """Shared tokens without which a set is similar to no other."""
+    return F.ceil(F.col("n") * threshold - 1e-9)
+
+
 def _prefix(threshold: float) -> Column:
     """The rarest tokens of which two similar classes must share at least one, with positions.
 
     Only rare tokens: a pair that shares a rare token has it as its first common one.
     """
-    needed = F.ceil(F.col("n") * threshold - 1e-9)
-    length = F.least(F.size("tokens") - needed + 1, F.col("rare")).cast("int")
-    return F.posexplode(F.slice("tokens", 1, length)).alias("pos", "token")
+    length = F.least(F.size("tokens") - _needed_at_least(threshold) + 1, F.col("rare")).cast("int")
+    return F.posexplode(F.slice("tokens", 1, length)).alias("pos", "key")
 
 
-def similar_classes(
-    probes: DataFrame, candidates: DataFrame, threshold: float = config.JOIN_THRESHOLD
-) -> DataFrame:
-    """Pairs of classes with Jaccard similarity >= threshold that are active near each other.
+def _sides(probes: DataFrame, candidates: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a comparison, one row per key. A probe looks at its own time block and those next to it."""
+    left = probes.select(
+        F.col("class_key").alias("probe_class"), F.col("block").alias("probe_block"), F.col("n").alias("probe_n"), F.col("tokens").alias("probe_tokens"),
+        _prefix(threshold),
+    ).withColumnRenamed("pos", "probe_pos").withColumn("block", F.explode(F.sequence(F.col("probe_block") - 1, F.col("probe_block") + 1)))
+    return left, candidates.select("class_key", "n", "tokens", "is_stored", "block", _prefix(threshold))
 
-    `probes`: class_key, n, tokens, rare, block. `candidates`: the same and is_stored. A probe looks at
-    its own time block and the one before, and for stored articles also at the next one. Exact:
-    every filter only removes pairs that cannot reach the threshold.
-    """
-    left = (
-        probes.select(
-            F.col("class_key").alias("probe_class"),
-            F.col("block").alias("probe_block"),
-            F.col("n").alias("probe_n"),
-            F.col("tokens").alias("probe_tokens"),
-            _prefix(threshold),
-        )
-        .withColumnRenamed("pos", "probe_pos")
-        .withColumn("block", F.explode(F.sequence(F.col("probe_block") - 1, F.col("probe_block") + 1)))
-    )
-    right = candidates.select("class_key", "n", "tokens", "is_stored", "block", _prefix(threshold))
 
+def _compared(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Pairs that meet on a key and reach the threshold: probe_class, probe_block, class_key, is_stored, similarity."""
     needed = _overlap_needed(F.col("probe_n"), F.col("n"), threshold)
     # Shared tokens up to this one, and those that can still follow it.
     reach = F.least("probe_pos", "pos") + 1 + F.least(
@@ -132,7 +131,7 @@ def similar_classes(
     )
     common = F.size(F.array_intersect("probe_tokens", "tokens"))
     return (
-        left.join(right, ["token", "block"])
+        left.join(right, ["key", "block"])
         .where(F.col("is_stored") | (F.col("block") <= F.col("probe_block")))
         .where((F.col("n") >= F.col("probe_n") * threshold) & (F.col("probe_n") >= F.col("n") * threshold))
         .where(reach >= needed)
@@ -143,6 +142,70 @@ def similar_classes(
     )
 
 
+def similar_classes(
+    probes: DataFrame, candidates: DataFrame, threshold: float = config.JOIN_THRESHOLD
+) -> DataFrame:
+    """Pairs of classes with Jaccard similarity >= threshold that are active near each other.
+
+    `probes`: class_key, n, tokens, rare, block. `candidates`: the same and is_stored. A probe looks at
+    its own time block and the one before, and for stored articles also at the next one. Exact:
+    every filter only removes pairs that cannot reach the threshold.
+    """
+    return _compared(*_sides(probes, candidates, threshold), threshold)
+
+
+def similar_families(
+    probes: DataFrame, candidates: DataFrame, threshold: float = config.JOIN_THRESHOLD, long_list: int = LONG_LIST
+) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """As `similar_classes`, without comparing the families of a long list: (pairs, members, asked).
+
+    A key is one token at first. Families of a key that at most `long_list` of them have in a time block are compared. The others go on with keys that
+    have one more token, up to the position where the next shared token of a similar pair must lie; only pairs that share it as well meet again. So families
+    that have one very common token in common and nothing else are never compared. Sizes for which the tokens of a key are enough for the threshold
+    need no comparison either: all families of that key and size are one group, and a pair that shares more meets again on
+    a longer key, with a higher similarity. At the number of tokens that a pair shares, either list or group gives its exact value.
+
+    `members`: class_key, group. `asked`: probe_class, probe_block, group, is_stored, similarity. Both None if no list is long.
+    """
+    left, right = (checkpoint(side) for side in _sides(probes, candidates, threshold))
+    pairs, members, asked, level = [], [], [], 1
+    while True:
+        lists = left.select("key", "block", F.lit(1).alias("p"), F.lit(0).alias("c")).union(right.select("key", "block", F.lit(0), F.lit(1)))
+        long = lists.groupBy("key", "block").agg(F.sum("p").alias("p"), F.sum("c").alias("c")).where((F.greatest("p", "c") > long_list) & (F.least("p", "c") > 0))
+        long = checkpoint(long.select("key", "block"))
+        if long.isEmpty():
+            pairs.append(_compared(left, right, threshold))
+            break
+        short = lambda side: side.join(long, ["key", "block"], "left_anti")
+        pairs.append(checkpoint(_compared(short(left), short(right), threshold)))
+        left, right = (side.join(long, ["key", "block"], "left_semi") for side in (left, right))
+
+        group = F.sha2(F.concat_ws(_SEP, F.lit(str(level)), F.col("n").cast("string"), "key"), 256).alias("group")
+        enough = F.col("n") * threshold <= level + 1e-9
+        grouped = right.where(enough).select("class_key", "key", "block", "is_stored", "n", group)
+        members.append(checkpoint(grouped.select("class_key", "group").distinct()))
+        sizes = grouped.select("key", "block", "is_stored", "n", "group").distinct()
+        asking = left.where(F.col("probe_n") * threshold <= level + 1e-9).join(sizes, ["key", "block"]).where(
+            _overlap_needed(F.col("probe_n"), F.col("n"), threshold) <= level
+        ).where(F.col("is_stored") | (F.col("block") <= F.col("probe_block")))
+        similarity = F.lit(level) / (F.col("probe_n") + F.col("n") - level)
+        asked.append(checkpoint(asking.select("probe_class", "probe_block", "group", "is_stored", similarity.alias("similarity")).distinct()))
+
+        level += 1
+        left = checkpoint(_longer(left, "probe_n", "probe_tokens", "probe_pos", level, threshold))
+        right = checkpoint(_longer(right, "n", "tokens", "pos", level, threshold))
+    union = lambda parts: reduce(DataFrame.unionByName, parts) if parts else None
+    return union(pairs).distinct(), union(members), union(asked)
+
+
+def _longer(side: DataFrame, n: str, tokens: str, pos: str, level: int, threshold: float) -> DataFrame:
+    """Every row once per next token of its key, as far as the last of `level` shared tokens of a similar pair can lie."""
+    end = F.least(F.size(tokens), F.size(tokens) - F.ceil(F.col(n) * threshold - 1e-9) + level)
+    places = F.when(F.col(pos) + 1 < end, F.sequence(F.col(pos) + 1, (end - 1).cast("int")))
+    grown = side.withColumn("next", F.explode(places))
+    return grown.withColumn("key", F.concat_ws(_SEP, "key", F.get(tokens, F.col("next")))).withColumn(pos, F.col("next")).drop("next")
+
+
 def best_parents(
     new_articles: DataFrame,
     recent: DataFrame | None = None,
@@ -197,27 +260,31 @@ def best_parents(
     classes = checkpoint(shingle_classes(pool.select("set_key", "shingles").dropDuplicates(["set_key"]), threshold))
     slim = pool.drop("shingles").join(copies.select("id", F.lit(True).alias("settled")), "id", "left")
 
-    def near_hits(grouped: DataFrame) -> DataFrame:
+    def near_hits(grouped: DataFrame, families: bool) -> DataFrame:
         """Best hits through one grouping of the sets; articles with an earlier copy do not ask."""
         tokens_of = grouped.select("class_key", "n", "tokens", "rare").dropDuplicates(["class_key"])
         members = slim.join(grouped.select("set_key", "class_key"), "set_key")
         probing = members.where("NOT is_stored AND settled IS NULL")
-        matches = similar_classes(
+        sides = (
             probing.select("class_key", "block").distinct().join(tokens_of, "class_key"),
             members.select("class_key", "block", "is_stored").distinct().join(tokens_of, "class_key"),
-            threshold,
-        )
-        asked = checkpoint(
-            probing.select("id", "at", "since", F.col("class_key").alias("probe_class"), F.col("block").alias("probe_block"))
-            .join(matches, ["probe_class", "probe_block"])
-            .select("id", "at", "since", "class_key", "is_stored", "similarity")
         )
-        return hits(members, asked, "class_key")
+        matches, group_members, group_asked = similar_families(*sides, threshold) if families else (similar_classes(*sides, threshold), None, None)
+        articles = probing.select("id", "at", "since", F.col("class_key").alias("probe_class"), F.col("block").alias("probe_block"))
+
+        def through(found: DataFrame, of: DataFrame, key: str) -> DataFrame:
+            asked = articles.join(found, ["probe_class", "probe_block"]).select("id", "at", "since", key, "is_stored", "similarity")
+            return hits(of, checkpoint(asked), key)
+
+        near = through(matches, members, "class_key")
+        if group_members is None:
+            return near
+        return near.unionByName(through(group_asked, members.join(group_members, "class_key"), "group"))
 
-    near = near_hits(classes)
+    near = near_hits(classes, families=False)
     families = shingle_families(classes, threshold)
     if not families.isEmpty():
-        near = near.unionByName(near_hits(families)).groupBy("id").agg(F.min("hit").alias("hit"))
+        near = near.unionByName(near_hits(families, families=True)).groupBy("id").agg(F.min("hit").alias("hit"))
     return copies.unionByName(near).select(
         F.col("id").alias("article_id"),
         F.col("hit.hit_id").alias("parent_id"),
