@@ -22,20 +22,26 @@ def _stamp_sql(expr: str) -> str:
 # ---- sources -------------------------------------------------------------------------------
 
 
-@query("A1", """SELECT page_id, title, link, strftime(item_at, '%Y-%m-%dT%H:%M:%SZ') AS date FROM
-  (SELECT *, url AS link, trim(regexp_extract(html, '(?i)<title>([\\s\\S]*?)</title>', 1)) AS title,
-   TIMESTAMP '2024-01-30 12:00:00' - INTERVAL (page_id % 10) DAY AS item_at FROM pages)""")
+@query("A1", """SELECT url AS link, trim(regexp_extract(html, '(?i)<title>([\\s\\S]*?)</title>', 1)) AS title,
+    CASE WHEN page_id % 2 = 0 THEN html ELSE 'short ' || page_id END AS summary,
+    strftime(TIMESTAMP '2024-01-30 12:00:00' - INTERVAL (page_id % 10) DAY, '%Y-%m-%dT%H:%M:%SZ') AS date FROM pages""")
 def feed_scan(v):
-    """All pages landed as RSS files by Spark and read back as raw items."""
-    path = scratch_path(v.spark, "rss")
-    items = v.feed_items.select(
-        "title", "link", F.col("page_id").cast("string").alias("description"),
-        F.date_format("item_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("pubDate"),
-    )
-    feeds.write_rss(items, path)
-    return feeds.read_rss(v.spark, path).select(
-        F.col("summary").cast("long").alias("page_id"), F.trim("title").alias("title"), "link", "date"
-    )
+    """All pages landed as RSS and Atom files by Spark and read back as raw items, whole pages as summaries.
+
+    By page id: an RSS description, one that is but a tag next to a summary, an Atom entry with content and summary, one whose content is but tags.
+    """
+    path = scratch_path(v.spark, "feeds")
+    date = F.date_format("item_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    short = F.concat(F.lit("short "), F.col("page_id").cast("string"))
+    kind = F.col("page_id") % 4
+    rss = v.feed_items.where(kind < 2).select(
+        "title", "link", F.when(kind == 0, F.col("summary")).otherwise("<br/>").alias("description"), F.when(kind == 1, short).alias("summary"), date.alias("pubDate"))
+    atom = v.feed_items.where(kind >= 2).select(
+        "title", "link", F.when(kind == 2, "a summary").otherwise(short).alias("summary"), F.when(kind == 2, F.col("summary")).otherwise("<p> </p>").alias("content"),
+        date.alias("published"))
+    feeds.write_rss(rss, path)
+    feeds.write_atom(atom, path)
+    return feeds.read_feeds(v.spark, path).select("link", F.trim("title").alias("title"), "summary", "date")
 
 
 @query("A2", "SELECT source_id, name, feed_url, etag, last_modified, CAST(consecutive_failures AS BIGINT) AS consecutive_failures "

@@ -6,21 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_RSS = T.StructType(
-    [T.StructField(name, T.StringType()) for name in ("title", "link", "description", "pubDate")]
-    + [T.StructField("content:encoded", T.StringType()), T.StructField("dc:date", T.StringType())]
-)
-_LINK = T.StructType([T.StructField("_href", T.StringType()), T.StructField("_rel", T.StringType())])
-_ATOM = T.StructType(
-    [
-        T.StructField("title", T.StringType()),
-        T.StructField("link", T.ArrayType(_LINK)),
-        T.StructField("summary", T.StringType()),
-        T.StructField("content", T.StringType()),
-        T.StructField("published", T.StringType()),
-        T.StructField("updated", T.StringType()),
-    ]
-)
+_TEXTS = ("title", "description", "content:encoded", "summary", "content", "pubDate", "dc:date", "published", "updated")
+_LINK = T.StructType([T.StructField(name, T.StringType()) for name in ("_VALUE", "_href", "_rel")])
+#: Fields of an RSS item and of an Atom entry.
+_ITEM = T.StructType([*[T.StructField(name, T.StringType()) for name in _TEXTS], T.StructField("link", T.ArrayType(_LINK))])
+#: Items and entries of a file; what a CDATA section holds is not looked at.
+_ITEMS = r"(?s)<(item|entry)(?:\s[^>]*)?>(?:<!\[CDATA\[.*?\]\]>|[^<]++|<(?!/\1>))*+</\1>"
 
 
 def _text(*candidates: Column) -> Column:
@@ -28,38 +19,52 @@ def _text(*candidates: Column) -> Column:
     return F.coalesce(*[F.when(F.trim(c) != "", c) for c in candidates])
 
 
-def _read(spark: SparkSession, path: str, tag: str, schema: T.StructType) -> DataFrame:
-    return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+def _items(files: DataFrame) -> DataFrame:
+    """feed_file, title, link, summary, date of every item or entry of whole files (`value`), and the files' folder columns.
 
-
-def read_rss(spark: SparkSession, path: str) -> DataFrame:
-    """Items of RSS files: feed_file, title, link, summary, date."""
-    return _read(spark, path, "item", _RSS).select(
-        F.input_file_name().alias("feed_file"),
-        "title",
-        "link",
-        _text(F.col("description"), F.col("`content:encoded`")).alias("summary"),
-        F.coalesce("`dc:date`", "pubDate").alias("date"),
+    The link of an entry is its alternate link, or the first one. The summary is the first text that is not empty: description or content if it holds more than
+    tags, then summary, then the others. The date prefers the ISO form. An item that is no XML is left out.
+    """
+    folders = [c for c in files.columns if c not in ("value", "feed_file")]
+    parsed = files.select("feed_file", *folders, F.explode(F.regexp_extract_all("value", F.lit(_ITEMS), F.lit(0))).alias("xml")).select(
+        "feed_file", *folders, F.from_xml("xml", _ITEM).alias("i"))
+    links = F.col("i.link")
+    href = F.filter(links, lambda k: k["_href"].isNotNull())
+    alternate = F.get(F.filter(href, lambda k: F.coalesce(k["_rel"], F.lit("alternate")) == "alternate"), F.lit(0))["_href"]
+    plain = F.get(F.filter(links, lambda k: k["_VALUE"].isNotNull()), F.lit(0))["_VALUE"]
+    shown = lambda name: F.when(F.trim(F.regexp_replace(f"i.`{name}`", "<[^>]*>", "")) != "", F.col(f"i.`{name}`"))
+    return parsed.where(F.coalesce(*[F.col(f"i.`{name}`") for name in _TEXTS], plain, alternate).isNotNull()).select(
+        "feed_file", *folders,
+        F.col("i.title").alias("title"),
+        F.coalesce(plain, alternate, F.get(href, F.lit(0))["_href"]).alias("link"),
+        F.coalesce(shown("description"), shown("content"), _text(*[F.col(f"i.`{n}`") for n in ("summary", "description", "content", "content:encoded")])).alias("summary"),
+        F.coalesce("i.published", "i.updated", "i.`dc:date`", "i.pubDate").alias("date"),
     )
 
 
-def read_atom(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of Atom files, with the alternate link (or the first one)."""
-    alternate = F.get(F.filter("link", lambda k: F.coalesce(k["_rel"], F.lit("alternate")) == "alternate"), F.lit(0))
-    return _read(spark, path, "entry", _ATOM).select(
-        F.input_file_name().alias("feed_file"),
-        "title",
-        F.coalesce(alternate["_href"], F.get("link", F.lit(0))["_href"]).alias("link"),
-        _text(F.col("summary"), F.col("content")).alias("summary"),
-        F.coalesce("published", "updated").alias("date"),
-    )
+def read_feeds(spark: SparkSession, path: str, folders: str = "") -> DataFrame:
+    """Raw items of landed RSS and Atom files, which are read once. `folders`: columns of the folder names, as a schema text."""
+    return _items(_whole(spark.read, folders).load(path).withColumn("feed_file", F.input_file_name()))
+
 
+def stream_feeds(spark: SparkSession, path: str, files_per_batch: int | None = None, folders: str = "") -> DataFrame:
+    """The same as a stream of newly landed files."""
+    reader = _whole(spark.readStream, folders)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return _items(reader.load(path).withColumn("feed_file", F.input_file_name()))
 
-def read_feeds(spark: SparkSession, path: str) -> DataFrame:
-    """Both kinds from one landing folder; a file of the other kind adds no rows."""
-    return read_rss(spark, path).unionByName(read_atom(spark, path))
+
+def _whole(reader, folders: str):
+    return reader.format("text").option("wholetext", True).schema("value string" + (f", {folders}" if folders else ""))
 
 
 def write_rss(items: DataFrame, path: str, *folders: str) -> None:
     """Items (title, link, description, pubDate) as RSS files, in one folder per value of the columns `folders`."""
-    items.write.partitionBy(*folders).format("xml").option("rootTag", "rss").option("rowTag", "item").mode("errorifexists").save(path)
+    items.write.partitionBy(*folders).format("xml").option("rootTag", "rss").option("rowTag", "item").mode("append").save(path)
+
+
+def write_atom(items: DataFrame, path: str, *folders: str) -> None:
+    """Items (title, link, summary, content, published) as Atom files."""
+    link = F.struct(F.lit("alternate").alias("_rel"), F.col("link").alias("_href"))
+    items.withColumn("link", link).write.partitionBy(*folders).format("xml").option("rootTag", "feed").option("rowTag", "entry").mode("append").save(path)

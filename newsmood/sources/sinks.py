@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,20 +37,81 @@ def column_names(ddl: str) -> list[str]:
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """A stored table, or an empty one before its first write."""
+    """A stored table with the columns of `schema`, or an empty one before its first write."""
+    wanted = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     try:
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.schema(wanted).parquet(path).select(*wanted.names)
     except AnalysisException as missing:
         if "PATH_NOT_FOUND" not in str(missing):
             raise
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], wanted)
+
+
+#: Folders that the keys of a keyed table are dealt into, and how many keys of a batch are sent to all tasks at once (some 100 bytes each).
+KEY_BUCKETS = 64
+BROADCAST_KEYS = 500_000
+_BUCKET = "key_bucket"
+
+
+def with_bucket(rows: DataFrame, keys: Sequence[str], buckets: int = KEY_BUCKETS) -> DataFrame:
+    """Adds the folder of a row's key."""
+    return rows.withColumn(_BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+
+
+def key_slices(counts: dict[int, int], most: int) -> list[tuple[list[int], int]]:
+    """Buckets in groups of at most `most` keys together; a bucket with more is a group of its own that is read in several parts."""
+    slices: list[tuple[list[int], int]] = []
+    open_slice, size = [], 0
+    for bucket, n in sorted(counts.items(), key=lambda kv: (kv[1], kv[0])):
+        if n > most:
+            slices.append(([bucket], -(-n // most)))
+        elif open_slice and size + n > most:
+            slices.append((open_slice, 1))
+            open_slice, size = [bucket], n
+        else:
+            open_slice, size = [*open_slice, bucket], size + n
+    return slices + ([(open_slice, 1)] if open_slice else [])
+
+
+def stored_keys(batch: DataFrame, stored: DataFrame, keys: Sequence[str], most: int = BROADCAST_KEYS) -> DataFrame:
+    """The keys of `batch` that `stored` has. Both have their bucket; `batch` is a written or checkpointed table with one row per key.
+
+    Only the folders of buckets that the batch touches are read, only their key columns, and the stored side is never shuffled: the
+    keys of the batch go to it, at most `most` at a time. A large batch is cut by buckets, so each folder is read once.
+    """
+    # At most one row per bucket.
+    counts = {r[_BUCKET]: r["count"] for r in batch.groupBy(_BUCKET).count().collect()}
+    found = []
+    for buckets, parts in key_slices(counts, most):
+        inside = F.col(_BUCKET).isin(buckets)
+        for part in range(parts):
+            mine = batch.where(inside & (F.pmod(F.xxhash64(F.lit(7), *keys), F.lit(parts)) == part)).select(*keys, _BUCKET)
+            found.append(stored.where(inside).select(*keys, _BUCKET).join(F.broadcast(mine), [*keys, _BUCKET], "left_semi"))
+    return reduce(DataFrame.union, found).select(*keys).distinct() if found else batch.select(*keys).limit(0)
+
+
+def not_stored(batch: DataFrame, path: str, keys: Sequence[str], order: Sequence[Column | str],
+               buckets: int = KEY_BUCKETS, most: int = BROADCAST_KEYS) -> DataFrame:
+    """The batch's first row per key, with its bucket, unless the keyed table at `path` has the key; computed once.
+
+    The cost follows the batch: its keys are looked up in the buckets they belong to, without moving stored rows.
+    """
+    fresh = checkpoint(with_bucket(first_per_key(batch, keys, order), keys, buckets))
+    key_schema = T.StructType([*[batch.schema[k] for k in keys], T.StructField(_BUCKET, T.IntegerType())])
+    known = stored_keys(fresh, read_table(batch.sparkSession, path, key_schema), keys, most)
+    return checkpoint(fresh.join(known, list(keys), "left_anti").select(*fresh.columns))
+
+
+def append_rows(rows: DataFrame, path: str, keys: Sequence[str], partition_by: Sequence[str] = (), buckets: int = KEY_BUCKETS) -> None:
+    """Appends rows to the folders of their buckets, without looking at stored ones."""
+    placed = with_bucket(rows, keys, buckets)
+    placed.repartition(_BUCKET, *partition_by).write.mode("append").partitionBy(_BUCKET, *partition_by).parquet(path)
 
 
 def append_new(batch: DataFrame, path: str, keys: Sequence[str], order: Sequence[Column | str],
-               partition_by: Sequence[str] = ()) -> None:
-    """Insert-ignore into a parquet table: only unseen keys are appended."""
-    stored = read_table(batch.sparkSession, path, batch.schema)
-    new_rows(batch, stored, keys, order).write.mode("append").partitionBy(*partition_by).parquet(path)
+               partition_by: Sequence[str] = (), buckets: int = KEY_BUCKETS, most: int = BROADCAST_KEYS) -> None:
+    """Insert-ignore into a keyed parquet table: only unseen keys are appended."""
+    append_rows(not_stored(batch, path, keys, order, buckets, most), path, keys, partition_by, buckets)
 
 
 def upsert_partitions(batch: DataFrame, path: str, keys: Sequence[str], order: Sequence[Column | str],

@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 from newsmood.operators.asof import first_at_or_after
+from newsmood.sources import feeds
 from newsmood.streaming import health, ingest, mood
 from tests.conftest import rows
 from tests.test_mood_and_series import NOON, signals
@@ -59,8 +60,7 @@ def test_ingest_stream(spark, tmp_path):
     story = max(rows(ingest.current_stories(spark, tables)), key=lambda r: r["article_count"])
     assert (story["article_count"], story["source_count"]) == (2, 2)
     # A batch repeated after a failure adds nothing.
-    items = spark.read.format("xml").option("rowTag", "item").schema(f"{ingest.RSS_ITEM}, source_id string").load(str(landing)).selectExpr(
-        "source_id", "title", "link", "description AS summary", "pubDate AS date")
+    items = feeds.read_feeds(spark, str(landing), "source_id string").drop("feed_file")
     ingest.ingest_batch(items, tables, aliases, "2031-03-10 06:00:00")
     assert spark.read.parquet(f"{tables}/articles").count() == 3
 

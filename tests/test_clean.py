@@ -125,6 +125,25 @@ def test_feed_files(spark, tmp_path):
     assert got["Buoy 7 adrift"]["url"] == "https://buoys.test/7"
 
 
+def test_odd_feeds(spark, tmp_path):
+    """CDATA that holds tags of items, encoded contents, several links, one broken item among good ones, folders as columns."""
+    (tmp_path / "source_id=a").mkdir()
+    (tmp_path / "source_id=a" / "1.xml").write_text(
+        "<rss><channel><title>Feed</title><item><title><![CDATA[One </item> inside]]></title><link>https://pier.test/1</link>"
+        "<content:encoded><![CDATA[<p>Whole</p>]]></content:encoded><dc:date>2031-03-09T04:00:00Z</dc:date><pubDate>x</pubDate></item>"
+        "<item><title>Broken</link></item><item rdf:about='x'><title>Two</title><link>https://pier.test/2</link><description>&lt;b&gt; &lt;/b&gt;</description>"
+        "<summary>Said.</summary></item></channel></rss>")
+    (tmp_path / "source_id=a" / "2.xml").write_text(
+        "<feed><entry><title type='html'>Three</title><link rel='self' href='https://pier.test/self'/><link href='https://pier.test/3'/><summary>short</summary>"
+        "<content type='html'>Long text</content><updated>2031-03-09T05:00:00Z</updated></entry><entry><title>Four</title><link rel='edit' href='https://pier.test/4'/>"
+        "<summary>only</summary></entry></feed>")
+    (tmp_path / "source_id=a" / "3.xml").write_text("no feed at all")
+    got = {r["title"]: (r["source_id"], r["link"], r["summary"], r["date"]) for r in rows(feeds.read_feeds(spark, str(tmp_path), "source_id string"))}
+    assert got == {
+        "One </item> inside": ("a", "https://pier.test/1", "<p>Whole</p>", "2031-03-09T04:00:00Z"), "Two": ("a", "https://pier.test/2", "Said.", None),
+        "Three": ("a", "https://pier.test/3", "Long text", "2031-03-09T05:00:00Z"), "Four": ("a", "https://pier.test/4", "only", None)}
+
+
 def test_label_csv(spark, tmp_path):
     file = tmp_path / "labels.csv"
     file.write_bytes('﻿example_id,asset,numbered_sentences\r\nq-7,Kelp,"[S1] ""No,"" said\n[S2] he"\r\n\r\nq-8, ,\r\n'.encode())
