@@ -97,19 +97,51 @@ def truncate(text: Column, limit: int) -> Column:
     )
 
 
+# ---- sentences -------------------------------------------------------------------------------------------------------------------------
+#
+# Sentence boundaries of Unicode Standard Annex 29. Its rules look at characters by class; the classes are character sets here, and the rules around one
+# terminator (SB6 to SB11) are one pattern that takes the terminator and what belongs to it, so every character is read once.
+
+# The property Sentence_Break of the Unicode Character Database.
+_ATERM = r".\x{2024}\x{fe52}\x{ff0e}"
+_STERM = (
+    r"!?\x{589}\x{61d}-\x{61f}\x{6d4}\x{700}-\x{702}\x{7f9}\x{837}\x{839}\x{83d}\x{83e}\x{964}\x{965}\x{104a}\x{104b}\x{1362}\x{1367}\x{1368}\x{166e}"
+    r"\x{1735}\x{1736}\x{1803}\x{1809}\x{1944}\x{1945}\x{1aa8}-\x{1aab}\x{1b5a}\x{1b5b}\x{1b5e}\x{1b5f}\x{1b7d}\x{1b7e}\x{1c3b}\x{1c3c}\x{1c7e}\x{1c7f}"
+    r"\x{203c}\x{203d}\x{2047}-\x{2049}\x{2e2e}\x{2e3c}\x{2e53}\x{2e54}\x{3002}\x{a4ff}\x{a60e}\x{a60f}\x{a6f3}\x{a6f7}\x{a876}\x{a877}\x{a8ce}\x{a8cf}\x{a92f}"
+    r"\x{a9c8}\x{a9c9}\x{aa5d}-\x{aa5f}\x{aaf0}\x{aaf1}\x{abeb}\x{fe56}\x{fe57}\x{ff01}\x{ff1f}\x{ff61}\x{10a56}\x{10a57}\x{11047}\x{11048}\x{110be}-\x{110c1}"
+)
+_CONTINUE = (
+    r",\-:\x{55d}\x{60c}\x{60d}\x{7f8}\x{1802}\x{1808}\x{2013}\x{2014}\x{3001}\x{fe10}\x{fe11}\x{fe13}\x{fe31}\x{fe32}\x{fe50}\x{fe51}\x{fe55}\x{fe58}\x{fe63}"
+    r"\x{ff0c}\x{ff0d}\x{ff1a}\x{ff64}"
+)
+_CLOSE = r"\p{Ps}\p{Pe}\p{Pi}\p{Pf}\"'\x{275b}-\x{275e}"
+_BLANK = r"\x09\x0b\x0c\x20\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}"
+_PARAGRAPH = r"\r\n\x{85}\x{2028}\x{2029}"
+_UPPER, _LOWER = r"\p{IsUppercase}\p{Lt}", r"\p{IsLowercase}"
+
+
+def _sentence_end() -> str:
+    """What ends a sentence, up to where the next one begins."""
+    paragraph = rf"(?:\r\n|[{_PARAGRAPH}])"
+    marks = r"[\p{M}\p{Cf}]"  # SB5: marks and format characters count with what they follow
+    tail = rf"(?:[{_CLOSE}]{marks}*+)*+(?:[{_BLANK}]{marks}*+)*+"
+    goes_on = rf"[{_CONTINUE}{_ATERM}{_STERM}]"  # SB8a
+    strong = rf"[{_STERM}]{marks}*+{tail}(?:{paragraph}|(?!{goes_on}))"
+    number = r"\p{Nd}"  # SB6
+    initial = rf"(?<=[{_UPPER}{_LOWER}]{marks}{{0,9}}[{_ATERM}]{marks}{{0,9}})[{_UPPER}]"  # SB7
+    lower = rf"[^\p{{IsAlphabetic}}{_PARAGRAPH}{_ATERM}{_STERM}]*+[{_LOWER}]"  # SB8
+    weak = rf"[{_ATERM}]{marks}*+(?!{number}|{initial}){tail}(?:{paragraph}|(?!{goes_on}|{lower}))"
+    return f"{paragraph}|{strong}|{weak}"  # SB4; SB9 to SB11 are the tail
+
+
 def split_sentences(text: Column) -> Column:
-    """Sentences of a text, whole.
+    """Sentences of a text, whole, by the sentence boundaries of Unicode; white space is collapsed.
 
-    A sentence ends at white space after `!`, `?`, `…`, or after `.` when the next character is
-    not a lower-case letter; closing quotes and brackets stay with the sentence. The full-width marks of scripts that use
-    no blanks end a sentence by themselves.
+    A sentence ends after `!`, `?` and their like in other scripts, after a full stop unless a lower-case letter, a digit, or an initial follows, and at the end of
+    a paragraph; closing quotes and brackets stay with the sentence. A comma, dash or colon goes on with it.
     """
-    closing = r"""["'”’)\]]*"""
-    marked = F.regexp_replace(collapse(text), rf"([!?…]{closing}) ", "$1" + _BREAK)
-    marked = F.regexp_replace(marked, rf"(\.{closing}) ([^\p{{Ll}}])", "$1" + _BREAK + "$2")
-    marked = F.regexp_replace(marked, r"""([。！？｡]["'”’」』）)\]]*)""", "$1" + _BREAK)
-    pieces = F.transform(F.split(marked, _BREAK, -1), F.trim)
-    return F.filter(pieces, lambda s: s != "")
+    marked = F.regexp_replace(text, f"(?:{_sentence_end()})", "$0" + _BREAK)
+    return F.filter(F.transform(F.split(marked, _BREAK, -1), collapse), lambda s: s != "")
 
 
 def build_sentences(title: Column, excerpt: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from newsmood import config
 from newsmood.functions import numbers
+from newsmood.session import checkpoint
 
 
 def format_sentences(sentences: Column) -> Column:
@@ -280,17 +281,50 @@ def label_provenance(examples: DataFrame) -> DataFrame:
     return examples.groupBy("labelled_by").agg(F.count("*").alias("examples"))
 
 
-def dataset_fingerprint(examples: DataFrame) -> DataFrame:
-    """One row with a fingerprint over id, gold label, gold ids and sentences of all examples.
+#: A prime, and the base of each lane of the fingerprint's polynomial.
+FINGERPRINT_PRIME = 2**31 - 1
+FINGERPRINT_BASES = (1_000_003, 1_000_033, 1_000_037, 1_000_039)
 
-    Every row is hashed on its own and the hashes are added up lane by lane, so the result does
-    not depend on the order or the partitioning of the rows and no list of rows is ever built.
+
+def numbered(rows: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """Adds `position`, 0 to n - 1 in the given order, without sorting all rows in one task.
+
+    Rows are sorted in ranges; a range starts after the sizes of those before it, which are one row per range.
+    """
+    ranged = checkpoint(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn("_inside", inside).join(starts, "_range").withColumn("position", F.col("_start") + F.col("_inside") - 1).drop("_range", "_inside", "_start")
+
+
+def _power(base: int, exponent: Column) -> Column:
+    """base^exponent modulo the prime, by the bits of the exponent."""
+    squares = F.array(*[F.lit(pow(base, 1 << k, FINGERPRINT_PRIME)).cast("long") for k in range(40)])
+    bit = lambda k: F.call_function("shiftright", exponent, k).bitwiseAND(F.lit(1)) == 1
+    return F.aggregate(
+        F.sequence(F.lit(0), F.lit(39)), F.lit(1).cast("long"),
+        lambda acc, k: F.when(bit(k), acc * F.get(squares, k) % FINGERPRINT_PRIME).otherwise(acc))
+
+
+def dataset_fingerprint(examples: DataFrame, order: Sequence[Column | str] = ("example_id",)) -> DataFrame:
+    """One row with a fingerprint over id, gold label, gold ids and sentences of all examples, in the order of the file.
+
+    `order` gives that order (ties: by the row itself). Every row is hashed on its own and counts as the coefficient of its place in a polynomial, which is
+    evaluated modulo a prime for several bases. The terms are added up, so the partitioning of the rows does not matter and no list of rows is
+    built, but two rows that change places change the result.
     """
     row = F.sha2(F.to_json(F.struct("example_id", "gold_stance", "gold_ids", "sentences")), 256)
+    placed = numbered(examples.withColumn("_row", row), [*order, "_row"])
+    count = placed.count()
+    exponent = F.lit(count - 1) - F.col("position")
+    # Terms are below 2^31, so 2^32 of them fit a long.
     lanes = [
-        F.sum(F.conv(F.substring(row, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")).cast("string") for i in range(4)
+        (F.coalesce(F.sum(F.conv(F.substring("_row", 1 + 7 * k, 7), 16, 10).cast("long") * _power(base, exponent) % FINGERPRINT_PRIME), F.lit(0)) % FINGERPRINT_PRIME).cast("string")
+        for k, base in enumerate(FINGERPRINT_BASES)
     ]
-    return examples.agg(
+    return placed.agg(
         F.count("*").alias("examples"),
         F.sha2(F.concat_ws(",", F.count("*").cast("string"), *lanes), 256).alias("fingerprint"),
     )

@@ -30,6 +30,11 @@ def votes(usable: DataFrame) -> DataFrame:
             "story_key": F.coalesce("story_id", F.concat(F.lit("article:"), F.col("article_id").cast("string"))),
         }
     )
+    return best_votes(keyed)
+
+
+def best_votes(keyed: DataFrame) -> DataFrame:
+    """The best vote per (asset, day, source, story). Taken of two sets and then of both, it is the same as of all at once."""
     return first_per_key(
         keyed,
         ["asset_id", "day", "source_id", "story_key"],

@@ -255,13 +255,17 @@ def sample_tallies(v):
     return evaluation.tallies(rows, ["asset_id", "source_id", "bucket"])
 
 
-@query("L20", r"""SELECT n AS examples, sha256(n || ',' || s0 || ',' || s1 || ',' || s2 || ',' || s3) AS fingerprint FROM (SELECT count(*) AS n,
-    sum(CAST('0x' || substr(h, 1, 15) AS UBIGINT)) AS s0, sum(CAST('0x' || substr(h, 16, 15) AS UBIGINT)) AS s1,
-    sum(CAST('0x' || substr(h, 31, 15) AS UBIGINT)) AS s2, sum(CAST('0x' || substr(h, 46, 15) AS UBIGINT)) AS s3
-  FROM (SELECT sha256('{"example_id":"' || example_id || '","gold_stance":"' || gold || '","gold_ids":'
+_LANES = " || ',' || ".join(
+    f"list_reduce(list(CAST('0x' || substr(h, {1 + 7 * k}, 7) AS BIGINT) ORDER BY CAST(example_id AS VARCHAR), h), lambda a, b: (a * {base} + b) % {evaluation.FINGERPRINT_PRIME})"
+    for k, base in enumerate(evaluation.FINGERPRINT_BASES))
+
+
+@query("L20", rf"""SELECT count(*) AS examples, sha256(count(*) || ',' || {_LANES}) AS fingerprint
+  FROM (SELECT example_id, sha256('{{"example_id":"' || example_id || '","gold_stance":"' || gold || '","gold_ids":'
       || CASE v % 4 WHEN 0 THEN '["S1","S2"]' WHEN 1 THEN '[]' WHEN 2 THEN '["S7","S1"]' ELSE '["S2"]' END
-      || ',"sentences":[{"id":"S1","text":"One."},{"id":"S2","text":"Two."}]}') AS h FROM kinds WHERE kind = 'labelled'))""", "ev", recursive=_LABEL_SQL)
+      || ',"sentences":[{{"id":"S1","text":"One."}},{{"id":"S2","text":"Two."}}]}}') AS h FROM kinds WHERE kind = 'labelled')""", "ev", recursive=_LABEL_SQL)
 def dataset_fingerprint(v):
+    """The labelled examples in the order of their ids."""
     return evaluation.dataset_fingerprint(evaluation.labelled_examples(evaluation.check_labels(label_rows(v))))
 
 

@@ -52,6 +52,20 @@ def r3(expr: str) -> str:
     return f"floor(({expr}) * 1000 + 0.5) / 1000"
 
 
+def sentence_breaks(text: str) -> str:
+    """Sentence boundaries of Unicode without look-around: terminators after which a sentence goes on are set aside first, then the others get a mark."""
+    tail = r"""["''()\[\]{}“”‘’«»]* *"""
+    terminators = "[.!?,:\\-' || chr(2) || chr(3) || chr(4) || '"
+    held = {".": "chr(2)", "!": "chr(3)", "?": "chr(4)"}
+    steps = [(r"\.([0-9])", "chr(2) || '\\1'")] + 2 * [(r"(\p{L})\.(\p{Lu})", "'\\1' || chr(2) || '\\2'")]
+    steps += [(rf"\.({tail}[^\p{{L}}.!?' || chr(2) || chr(3) || chr(4) || ']*\p{{Ll}})", "chr(2) || '\\1'")]
+    steps += 2 * [(rf"[{c}]({tail}{terminators}])", f"{mark} || '\\1'") for c, mark in held.items()]
+    steps += [(rf"([.!?]{tail})", "'\\1' || chr(1)")]
+    for pattern, into in steps:
+        text = f"regexp_replace({text}, '{pattern}', {into}, 'g')"
+    return f"translate({text}, chr(2) || chr(3) || chr(4), '.!?')"
+
+
 # name -> (views it needs, SQL)
 VIEWS: dict[str, tuple[list[str], str]] = {
     "sources": ([], """
@@ -93,9 +107,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
             UNION ALL
             SELECT article_id, raw_pos, s, head FROM (
               SELECT article_id, title AS head, trim(unnest(parts)) AS s, unnest(range(1, len(parts) + 1)) AS raw_pos
-              FROM (SELECT article_id, title, string_split(regexp_replace(regexp_replace(excerpt,
-                      '([!?…]["''”’)\]]*) ', '\1' || chr(1), 'g'),
-                      '(\.["''”’)\]]*) ([^\p{Ll}])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS parts FROM articles))
+              FROM (SELECT article_id, title, string_split("""+sentence_breaks("excerpt")+r""", chr(1)) AS parts FROM articles))
           ) WHERE txt <> '' AND (raw_pos = 0 OR lower(txt) <> lower(head)))"""),
     # One scan with a constant pattern per alias: patterns from a column are compiled for every row.
     "hits": (["sentences"], f"""

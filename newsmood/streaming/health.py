@@ -1,60 +1,71 @@
-"""Source health as a stream of fetch outcomes; the state is the sources table.
+"""Source health as a stream of fetch outcomes; the state is a keyed table of sources.
 
-Every batch writes a new version of the small sources table from the version before it, so a
-repeated batch overwrites its own version with the same rows.
+The table is dealt into buckets by source. A batch reads and rewrites only the buckets of the sources that it has outcomes for. A row knows the last batch
+that it took in, so a batch that comes again after a failure leaves the rows that it reached alone.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from newsmood import config
+from newsmood.session import checkpoint
+from newsmood.sources import sinks
+
+STATE = "source_id string, is_active boolean, consecutive_failures long, upto long, source_bucket int"
 
 
 def fold_batch(sources: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """sources (source_id, is_active, consecutive_failures) after any number of outcomes per source.
+    """sources (source_id, is_active, consecutive_failures) after any number of outcomes per source, as if they came one by one.
 
-    `outcomes`: source_id, fetched_at, fetch_id, outcome. Errors after the last success of the
-    batch count; without a success they add to the stored number. Both passes are partial
-    aggregations.
+    `outcomes`: source_id, fetched_at, fetch_id, outcome. A success starts a new run of errors; the errors before the first one add to the stored number. A source is
+    switched off as soon as a run reaches the limit, and stays so. How outcomes are parted into batches does not matter.
     """
-    moment = F.struct("fetched_at", "fetch_id")
-    last_good = outcomes.where("outcome <> 'error'").groupBy("source_id").agg(F.max(moment).alias("last_good"))
-    trailing = (
-        outcomes.where("outcome = 'error'")
-        .join(last_good, "source_id", "left")
-        .where(F.col("last_good").isNull() | (moment > F.col("last_good")))
-        .groupBy("source_id").agg(F.count("*").alias("errors"))
-    )
-    stored = F.when(F.col("last_good").isNull(), F.col("consecutive_failures")).otherwise(0)
-    failures = stored + F.coalesce("errors", F.lit(0))
-    return (
-        sources.join(last_good, "source_id", "left").join(trailing, "source_id", "left")
-        .select(
-            "source_id",
-            (F.col("is_active") & ~(F.col("errors").isNotNull() & (failures >= config.MAX_CONSECUTIVE_FAILURES))).alias("is_active"),
-            failures.cast("long").alias("consecutive_failures"),
-        )
-    )
+    so_far = Window.partitionBy("source_id").orderBy("fetched_at", "fetch_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    is_error = F.col("outcome") == "error"
+    runs = outcomes.withColumn("run", F.count_if(~is_error).over(so_far)).groupBy("source_id", "run").agg(F.count_if(is_error).alias("errors"))
+    joined = sources.join(runs, "source_id", "left")
+    length = F.col("errors") + F.when(F.col("run") == 0, F.col("consecutive_failures")).otherwise(0)
+    reached = F.max((F.col("errors") > 0) & (length >= config.MAX_CONSECUTIVE_FAILURES))
+    return joined.groupBy("source_id", "is_active", "consecutive_failures").agg(
+        F.coalesce(reached, F.lit(False)).alias("reached"), F.max_by(length, "run").alias("last")
+    ).select(
+        "source_id", (F.col("is_active") & ~F.col("reached")).alias("is_active"),
+        F.coalesce("last", "consecutive_failures").cast("long").alias("consecutive_failures"))
+
+
+def _in_buckets(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("source_bucket", F.pmod(F.xxhash64("source_id"), F.lit(sinks.KEY_BUCKETS)).cast("int"))
+
+
+def _write(rows: DataFrame, path: str) -> None:
+    rows.select(*sinks.column_names(STATE)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_bucket").parquet(path)
 
 
-def start_health(outcomes: DataFrame, initial: DataFrame, versions: str, progress: str) -> StreamingQuery:
-    """Folds landed outcomes into `versions`/v=<batch + 1>; version 0 is the initial table."""
-    spark = outcomes.sparkSession
-    initial.select("source_id", "is_active", F.col("consecutive_failures").cast("long")).write.mode("ignore").parquet(f"{versions}/v=0")
+def apply_batch(outcomes: DataFrame, path: str, number: int) -> None:
+    """Folds one numbered batch of outcomes into the stored sources; outcomes of sources that are not stored have no effect."""
+    outcomes = checkpoint(_in_buckets(outcomes))
+    touched = [r["source_bucket"] for r in outcomes.select("source_bucket").distinct().collect()]
+    stored = checkpoint(sinks.read_table(outcomes.sparkSession, path, STATE).where(F.col("source_bucket").isin(touched)))
+    open_rows = stored.where((F.col("upto") < number) & F.col("source_id").isNotNull())
+    new = outcomes.join(open_rows.select("source_id"), "source_id", "left_semi")
+    folded = fold_batch(open_rows, new).withColumn("upto", F.lit(number).cast("long"))
+    kept = stored.where(~((F.col("upto") < number) & F.col("source_id").isNotNull())).drop("source_bucket")
+    _write(checkpoint(_in_buckets(folded.select(*kept.columns).union(kept))), path)
 
-    def fold(batch: DataFrame, number: int) -> None:
-        before = spark.read.parquet(f"{versions}/v={number}")
-        fold_batch(before, batch).write.mode("overwrite").parquet(f"{versions}/v={number + 1}")
 
+def start_health(outcomes: DataFrame, initial: DataFrame, path: str, progress: str) -> StreamingQuery:
+    """Folds landed outcomes into the table at `path`, which starts as the initial one."""
+    first = initial.select("source_id", "is_active", F.col("consecutive_failures").cast("long"), F.lit(-1).cast("long").alias("upto"))
+    _in_buckets(first).write.mode("ignore").partitionBy("source_bucket").parquet(path)
     return (
-        outcomes.writeStream.foreachBatch(fold).option("checkpointLocation", progress).trigger(availableNow=True).start()
+        outcomes.writeStream.foreachBatch(lambda batch, number: apply_batch(batch, path, number))
+        .option("checkpointLocation", progress).trigger(availableNow=True).start()
     )
 
 
-def latest(outcomes_done: StreamingQuery, spark, versions: str) -> DataFrame:
-    """The newest version after a finished run."""
-    progress = outcomes_done.lastProgress
-    return spark.read.parquet(f"{versions}/v={progress['batchId'] + 1 if progress else 0}")
+def current_sources(spark: SparkSession, path: str) -> DataFrame:
+    """source_id, is_active, consecutive_failures as of the last batch."""
+    return sinks.read_table(spark, path, STATE).select("source_id", "is_active", "consecutive_failures")

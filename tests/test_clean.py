@@ -99,6 +99,60 @@ def test_sentences(spark):
     ]
 
 
+#: One character per class of the sentence rules.
+CLASSES = {"a": "Lower", "A": "Upper", "漢": "OLetter", "1": "Numeric", ".": "ATerm", "!": "STerm", ",": "SContinue", ")": "Close", " ": "Sp", "\n": "ParaSep", "\u0301": "Extend", "%": "Other"}
+
+
+def plain_sentences(text):
+    """The rules SB4 to SB998 of the annex, asked at every place between two characters."""
+    units = []
+    for c in text:
+        if CLASSES[c] == "Extend" and units and units[-1][1] != "ParaSep":
+            units[-1] = (units[-1][0] + c, units[-1][1])
+        else:
+            units.append((c, CLASSES[c]))
+    kinds = [k for _, k in units]
+
+    def ends(i, classes, paragraph=False):
+        """Whether what is before `i` is SATerm Close* Sp*, with a terminator of `classes`."""
+        j = i - 1
+        if paragraph and j >= 0 and kinds[j] == "ParaSep":
+            j -= 1
+        while j >= 0 and kinds[j] == "Sp":
+            j -= 1
+        while j >= 0 and kinds[j] == "Close":
+            j -= 1
+        return j >= 0 and kinds[j] in classes
+
+    def breaks(i):
+        cur, before = kinds[i], kinds[i - 1]
+        if before == "ParaSep":
+            return True
+        if before == "ATerm" and (cur == "Numeric" or (cur == "Upper" and i > 1 and kinds[i - 2] in ("Upper", "Lower"))):
+            return False
+        rest = next((k for k in kinds[i:] if k in ("OLetter", "Upper", "Lower", "ParaSep", "ATerm", "STerm")), None)
+        if ends(i, ["ATerm"]) and rest == "Lower":
+            return False
+        if ends(i, ["ATerm", "STerm"]) and (cur in ("SContinue", "ATerm", "STerm", "Sp", "ParaSep") or (cur == "Close" and before != "Sp")):
+            return False
+        return ends(i, ["ATerm", "STerm"], paragraph=True)
+
+    out, start = [], 0
+    for i in range(1, len(units) + 1):
+        if i == len(units) or breaks(i):
+            out.append(" ".join("".join(u for u, _ in units[start:i]).split()))
+            start = i
+    return [x for x in out if x]
+
+
+def test_sentence_boundaries_follow_the_rules(spark):
+    rng = __import__("random").Random(29)
+    texts = ["".join(rng.choice(list(CLASSES)) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
+    texts += ["".join(rng.choice("aA.! ),") for _ in range(rng.randint(0, 14))) for _ in range(4000)]
+    got = each(spark, text.split_sentences, *texts)
+    assert [(t, g) for t, g in zip(texts, got) if g != plain_sentences(t)][:3] == []
+
+
 def test_long_sentences_stay_whole(spark):
     sentence = "knot " * 300 + "end."
     assert each(spark, text.split_sentences, sentence + " Next one.") == [[sentence, "Next one."]]
@@ -125,6 +179,19 @@ def test_feed_files(spark, tmp_path):
     assert got["Buoy 7 adrift"]["url"] == "https://buoys.test/7"
 
 
+def test_international_hosts(spark):
+    labels = ["bücher", "例え", "münchen-ost", "ñandú", "παράδειγμα", "пример", "😀", "a😀b", "é" * 40, "abc", "", "他们为什么不说中文", "üöäüöä", "z" * 30 + "é"]
+    want = ["xn--" + x.encode("punycode").decode() if not x.isascii() else x for x in labels]
+    assert each(spark, urls.punycode_label, *labels) == want
+    rng = __import__("random").Random(4)
+    more = ["".join(rng.choice([chr(rng.randint(97, 122)), chr(rng.randint(0xE0, 0x17F)), chr(rng.randint(0x4E00, 0x9FFF)), chr(rng.randint(0x1F300, 0x1F5FF))])
+                    for _ in range(rng.randint(1, 20))) for _ in range(300)]
+    assert each(spark, urls.punycode_label, *more) == ["xn--" + x.encode("punycode").decode() if not x.isascii() else x for x in more]
+    hosts = {"http://BÜCHER.example/a": "http://xn--bcher-kva.example/a", "https://www.bücher。example:443/": "https://www.xn--bcher-kva.example/",
+             "http://xn--bcher-kva.example/a": "http://xn--bcher-kva.example/a"}
+    assert each(spark, urls.canonical_url, *hosts) == list(hosts.values())
+
+
 def test_odd_feeds(spark, tmp_path):
     """CDATA that holds tags of items, encoded contents, several links, one broken item among good ones, folders as columns."""
     (tmp_path / "source_id=a").mkdir()
