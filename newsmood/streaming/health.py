@@ -41,7 +41,7 @@ def _in_buckets(rows: DataFrame) -> DataFrame:
 
 
 def _write(rows: DataFrame, path: str) -> None:
-    rows.select(*sinks.column_names(STATE)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_bucket").parquet(path)
+    rows.select(*sinks.column_names(STATE)).repartition("source_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_bucket").parquet(path)
 
 
 def apply_batch(outcomes: DataFrame, path: str, number: int) -> None:

@@ -81,7 +81,7 @@ def count_stories(articles: DataFrame, path: str, number: int | None = None) ->
         ~F.col("is_new") | F.col("upto").isNull() | F.col("done").isNull() | (F.col("upto") > F.col("done")))
     merged = counted.groupBy("story_bucket", "story_id", "source_id").agg(
         F.sum("article_count").alias("article_count"), F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"), F.max("upto").alias("upto"))
-    checkpoint(merged.select(*sinks.column_names(COUNTS))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("story_bucket").parquet(path)
+    checkpoint(merged.select(*sinks.column_names(COUNTS))).repartition("story_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("story_bucket").parquet(path)
 
 
 def start_ingest(items: DataFrame, tables: str, aliases: DataFrame, as_of, progress: str) -> StreamingQuery:

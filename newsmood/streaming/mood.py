@@ -46,7 +46,8 @@ def merge_votes(new: DataFrame, path: str) -> None:
     folders = new.select("day", "asset_bucket").distinct()
     stored = _votes_in(new.sparkSession, path, folders)
     merged = mood.best_votes(stored.unionByName(new))
-    checkpoint(merged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "asset_bucket").parquet(path)
+    dealt = checkpoint(merged).repartition("day", "asset_bucket")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "asset_bucket").parquet(path)
 
 
 def _votes_in(spark, path: str, folders: DataFrame) -> DataFrame:
@@ -82,7 +83,7 @@ def mood_batch(signals: DataFrame, tables: str, as_of) -> None:
     later = votes.groupBy("asset_id", "day").agg((F.max("event_at") > now).alias("is_open"))
     recent = mood.mood_from_votes(votes, as_of).join(later, ["asset_id", "day"])
     sinks.upsert_partitions(recent.select(*sinks.column_names(MOOD)), f"{tables}/daily_mood", ["asset_id", "day"], ["score"], partition_by="day")
-    sinks.append_rows(new, f"{tables}/signals", ["article_id", "asset_id"], ["created_day"])
+    sinks.append_rows(new, f"{tables}/signals", ["article_id", "asset_id"])
 
 
 def start_mood(signals: DataFrame, tables: str, as_of, progress: str) -> StreamingQuery:
