@@ -7,13 +7,13 @@ a list of k window sums; the two with the largest spread are merged, largest win
 until one partition is left. Its windows are nearly equal. If the largest exceeds the capacity, k rises by one and the
 block is packed again. So a block wastes little more than one window, whatever the documents' lengths.
 
-Tokenizing is one pass without a shuffle; only narrow piece rows (no text, no ids) are shuffled. The tokenizer treats the text
-between white space separately, so ids are remembered per such chunk, in a table of bounded size per worker; chunks outside it
+Tokenizing is one pass without a shuffle; only narrow piece rows (no text, no ids) are shuffled. The tokenizer treats the words of a text
+separately, so ids are remembered per word, in a table of bounded size per worker; words outside it
 are tokenized again. Block number and size depend on totals only, never on a key: there are no hot groups.
 
 Edge cases: null or empty text is the end id alone. Repeated rows and equal or null ids are packed as separate documents, told apart by a
 row number. A piece never exceeds a sequence. Empty input gives an empty result. Very long texts are tokenized in one task,
-chunk by chunk.
+span by span of other texts.
 """
 
 from __future__ import annotations
@@ -21,13 +21,14 @@ from __future__ import annotations
 import heapq
 import json
 import os
-import string
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,9 +38,7 @@ CAPACITY = 2048
 PIECE = 512
 WINDOWS = 256
 END_ID = 1
-REMEMBERED, YOUNG = 300_000, 50_000
-#: Characters that Python splits at but the tokenizer does not count as white space.
-_SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
+REMEMBERED, YOUNG = 600_000, 100_000
 
 
 def multiway(sizes: list[int], k: int) -> list[list[int]]:
@@ -87,12 +86,12 @@ def pack_block(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 class _Ids(dict):
-    """Ids of chunks as little-endian bytes.
-
-    The first REMEMBERED chunks stay; later ones are kept in `young`, which is emptied when it has YOUNG entries.
+    """Ids of the tokenizer's words as little-endian bytes.
 
-    The tokenizer keeps runs of letters apart from other characters. So a chunk of letters and closing punctuation has the ids of the
-    letters, remembered in `words` (without case if ASCII, as the tokenizer ignores it), and those of the punctuation.
+    The tokenizer normalises a text (composition, white space, case) and cuts it into runs of letters, digits, other characters and a few contractions, whose ids
+    do not depend on each other. Text of Latin-1 is cut the same way here; other text, for which the tokenizer's tables of letters and marks need not be Python's, is
+    only cut at white space. The ids of what is cut are looked up. The first REMEMBERED words stay, later ones are kept in `young`, which is emptied when it has
+    YOUNG entries. A text that holds a special token, or a word that Python cuts in another way (it has None for its ids), is tokenized whole.
     """
 
     def __init__(self, path: str):
@@ -101,50 +100,41 @@ class _Ids(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        described = json.loads(self.tokenizer.to_str())
         self.young: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.young_words: dict[str, bytes] = {}
-        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        self.special = [t["content"] for t in described["added_tokens"]]
+        self.normal = self.tokenizer.normalizer.normalize_str
+        suffix = described["model"].get("end_of_word_suffix")
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, number in self.tokenizer.get_vocab().items():
             self.ends[number] = bool(suffix) and token.endswith(suffix)
 
-    def __missing__(self, chunk: str) -> bytes:
-        return self.young[chunk]
-
-    def word(self, word: str) -> bytes:
-        return self.words.get(word) or self.young_words[word]
-
-    def learn(self, seen: set[str]) -> None:
-        """Makes sure that all of `seen` can be looked up until the next call."""
+    def words(self, text: str) -> list[str] | None:
+        """The words of a text of Latin-1, or of other text what lies between white space, with a blank before it; None if it has to be tokenized whole."""
+        if any(s in text for s in self.special):
+            return None
+        if text.isascii():
+            return _ASCII_WORDS(text.lower())
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None if any(c in text for c in _SEPARATORS) else [" " + chunk for chunk in text.split()]
+        return _LATIN_WORDS(text.lower())
+
+    def learn(self, new: set[str]) -> dict[str, bytes | None]:
+        """The ids of words that are not remembered; None for words that have none of their own."""
         if len(self.young) > YOUNG:
             self.young.clear()
-        chunks = [c for c in seen if c not in self and c not in self.young]
-        into = self if len(self) < REMEMBERED else self.young
-        parted, words, closes, whole = [], [], [], []
-        for chunk in chunks:
-            word = chunk.rstrip(string.punctuation)
-            if word.isalpha():
-                parted.append(chunk)
-                closes.append(chunk[len(word):])
-                words.append(word.lower() if word.isascii() else word)
-            else:
-                whole.append(chunk)
-        if len(self.young_words) > YOUNG:
-            self.young_words.clear()
-        keep = self.words if len(self.words) < 2 * REMEMBERED else self.young_words
-        missing = lambda some: [w for w in set(some) if w not in self.words and w not in self.young_words]
-        self._learn_words(missing(words), keep)
-        self._learn_each(missing(closes), keep)
-        of = self.word
-        into.update((chunk, of(word) + of(close) if close else of(word)) for chunk, word, close in zip(parted, words, closes))
-        self._learn_each(whole, into)
-
-    def _learn_words(self, words: list[str], into: dict[str, bytes]) -> None:
-        """Tokenizes many words at once and parts the ids at the tokens that end a word."""
+        found = {w: self.young[w] for w in new if w in self.young}
+        odd = lambda w: self.normal(w) != w or (not w.isalpha() and any(c.isalnum() and not c.isdecimal() for c in w))
+        changed = {w for w in new if not w.isascii() and w[0] != " " and odd(w)}
+        words = [w for w in new if w not in found and w not in changed and w[0] != " "]
+        into: dict[str, bytes] = {}
+        self._learn_each([w for w in new if w[0] == " " and w not in found], into)
+        # Many words at once; their ids are parted at the tokens that end a word.
         groups = [words[i: i + 256] for i in range(0, len(words), 256)]
-        for group, found in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(found.ids, "<u4")
+        for group, encoded in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(encoded.ids, "<u4")
             last = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(last) != len(group):
                 self._learn_each(group, into)
@@ -153,29 +143,54 @@ class _Ids(dict):
             for word, end in zip(group, last):
                 into[word] = data[start:end]
                 start = end
+        (self if len(self) < REMEMBERED else self.young).update(into)
+        return found | into | dict.fromkeys(changed)
 
-    def _learn_each(self, chunks: list[str], into: dict[str, bytes]) -> None:
-        for chunk, found in zip(chunks, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)):
-            into[chunk] = np.array(found.ids, "<u4").tobytes()
+    def _learn_each(self, words: list[str], into: dict[str, bytes]) -> None:
+        for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
+            into[word] = np.array(found.ids, "<u4").tobytes()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+#: Fixed value: how the tokenizer cuts normalised text into words, for ASCII and for Latin-1, where nothing is composed. Python takes superior numbers and fractions for
+#: letters; words with one are found when they are learned.
+_ASCII_WORDS = re.compile(r"[a-z]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^ \t\n\x0b\x0c\ra-z0-9]+").findall
+_LATIN_WORDS = re.compile(r"[^\W\d_]+|\d|'(?:s|t|re|ve|m|ll|d)|(?:[^\w \t\n\x0b\x0c\r\x85\xa0]|_)+").findall
+#: Characters that Python splits at but the tokenizer does not count as white space.
+_SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 _BUILT: dict[str, _Ids] = {}
-#: Chunks are looked up for so many characters at a time, which bounds what has to be remembered at once.
+#: Words are looked up for so many characters at a time, which bounds what has to be remembered at once.
 _SPAN = 1 << 20
 
 
+def _places_of_none(values: list) -> list[int]:
+    out, at = [], -1
+    try:
+        while True:
+            at = values.index(None, at + 1)
+            out.append(at)
+    except ValueError:
+        return out
+
+
 def _document_ids(known: _Ids, texts: list[str]) -> list[bytes]:
-    split = [None if any(c in text for c in _SEPARATORS) else text.split() for text in texts]
-    seen: set[str] = set()
-    for chunks in split:
-        seen.update(chunks or ())
-    known.learn(seen)
-    return [
-        known.whole(text) if chunks is None else b"".join(map(known.__getitem__, chunks)) for text, chunks in zip(texts, split)
-    ]
+    """Ids of whole texts: words are looked up once, and only those that are not remembered are gathered and learned."""
+    cut, missing = [], set()
+    for text in texts:
+        words = known.words(text)
+        ids = [] if words is None else list(map(known.get, words))
+        holes = _places_of_none(ids)
+        missing.update([words[i] for i in holes])
+        cut.append((words, ids, holes))
+    learned = known.learn(missing)
+    out = []
+    for text, (words, ids, holes) in zip(texts, cut):
+        for i in holes:
+            ids[i] = learned[words[i]]
+        out.append(known.whole(text) if words is None or None in ids else b"".join(ids))
+    return out
 
 
 def pieces(
@@ -191,15 +206,16 @@ def pieces(
             _BUILT[tokenizer] = _Ids(tokenizer)
         known, end = _BUILT[tokenizer], np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            texts = batch.column(2).to_pylist()
+            texts = batch.column(2)
+            sizes = pc.binary_length(texts).to_pylist()
             first = 0
-            while first < len(texts):
-                last, chars = first, 0
-                while last < len(texts) and (last == first or chars + len(texts[last]) <= _SPAN):
-                    chars += len(texts[last])
+            while first < len(sizes):
+                last, total = first, 0
+                while last < len(sizes) and (last == first or total + sizes[last] <= _SPAN):
+                    total += sizes[last]
                     last += 1
                 take, starts, lengths, crcs, totals, kept = [], [], [], [], [], []
-                for i, ids in enumerate(_document_ids(known, texts[first:last]), first):
+                for i, ids in enumerate(_document_ids(known, texts.slice(first, last - first).to_pylist()), first):
                     ids += end
                     total = len(ids) // 4
                     at = 0

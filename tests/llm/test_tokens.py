@@ -1,5 +1,6 @@
 """Token counts and packing against plain versions and exact round trips."""
 
+import random
 import zlib
 from collections import defaultdict
 
@@ -76,6 +77,20 @@ def test_chunks_have_the_ids_of_the_whole_text(monkeypatch, remembered):
         assert packing._document_ids(known, [text]) == [known.whole(text)]
 
 
+def test_punctuation_after_every_letter_has_the_ids_of_the_whole_text():
+    """Letters that the tokenizer takes apart into a letter and a mark, or that it does not count as letters, among them."""
+    known = packing._Ids(WORDS)
+    texts = [f"{c}! a{c}. {c}{c}?! .{c} {c}\u0301; x{c}'" for c in map(chr, range(0x30000)) if c.isalpha()]
+    rng = random.Random(7)
+    mixed = lambda: rng.choice([chr(rng.randint(1, 0x2FF)), chr(rng.randint(0x300, 0x36F)), chr(rng.randint(0x370, 0x1FFF)), rng.choice("ab .,!?'-\n")])
+    texts += ["".join(mixed() for _ in range(rng.randint(1, 12))) for _ in range(20_000)]
+    texts += ["".join(chr(rng.randint(1, 255)) for _ in range(rng.randint(1, 12))) for _ in range(20_000)]
+    for at in range(0, len(texts), 5000):
+        some = texts[at: at + 5000]
+        want = [np.array(e.ids, "<u4").tobytes() for e in known.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        assert packing._document_ids(known, some) == want
+
+
 def test_packing_round_trip(spark):
     texts = ODD + ODD_CHUNKS + random_texts(300, length=(0, 700))
     pairs = list(enumerate(texts, 1)) + [(None, "no id"), (4, "one")]
