@@ -197,9 +197,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 # member that it agrees with most in MINIMA further minima; such ties are verified on the whole texts. Where one fails, the cell is
 # searched again for pairs between groups that are not tested yet, until there is none.
 
-KEYS, MINIMA = 8, 32
+KEYS, MINIMA = 8, 128
 #: A tie is verified if at least this share of the minima agree; from CLOSE on the search takes it for certain at first.
-HOPEFUL, CLOSE = 0.5, 0.9
+HOPEFUL, CLOSE = 0.66, 0.9
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -227,14 +227,17 @@ def _minima(hashes: np.ndarray, n: int) -> np.ndarray:
     draw = np.random.default_rng(5)
     factors = draw.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1)
     out = np.zeros(n, np.uint64)
-    for i in range(n if len(hashes) else 0):
-        mixed = hashes * factors[i]
-        out[i] = (mixed ^ (mixed >> np.uint64(32))).min()
+    if len(hashes):
+        at_once = max(1, (1 << 15) // len(hashes))
+        for i in range(0, n, at_once):
+            mixed = factors[i: i + at_once, None] * hashes
+            mixed ^= mixed >> np.uint64(32)
+            out[i: i + at_once] = mixed.min(axis=1)
     return out
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """`doc_id`, `fp`, `n` (different shingles), `keys` and `minima` of every whole text; no shuffle."""
+    """`doc_id`, `fp`, `n` (different shingles), `keys` and `minima` (the last byte of MINIMA further minima) of every whole text; no shuffle."""
     rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(F.col(text_col)).cast("binary").alias("text"))
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,12 +250,12 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataF
                 prints.append(np.packbits(bits * 2 > len(hashes), bitorder="little").view(np.int64)[0])
                 sizes.append(len(hashes))
                 keys.append(least[:KEYS].view(np.int64))
-                minima.append(least[KEYS:].astype(np.uint32).view(np.int32))
+                minima.append(least[KEYS:].astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(prints, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(minima, pa.list_(pa.int32()))],
+                [batch.column(0), pa.array(prints, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(minima, pa.binary())],
                 names=["doc_id", "fp", "n", "keys", "minima"])
 
-    return rows.mapInArrow(compute, "doc_id long, fp long, n long, keys array<long>, minima array<int>")
+    return rows.mapInArrow(compute, "doc_id long, fp long, n long, keys array<long>, minima binary")
 
 
 def _agreement(minima: np.ndarray, sizes: np.ndarray, others: np.ndarray, node: int, similarity: float) -> np.ndarray:
@@ -314,7 +317,7 @@ def _per_cell(met: DataFrame, search: Callable[[dict[str, np.ndarray]], list[tup
         rest: pd.DataFrame | None = None
 
         def pairs_of(rows: pd.DataFrame) -> pd.DataFrame:
-            columns = {c: np.stack(rows[c].to_numpy()) if c == "minima" else rows[c].to_numpy() for c in rows.columns}
+            columns = {c: np.frombuffer(b"".join(rows[c]), np.uint8).reshape(-1, MINIMA) if c == "minima" else rows[c].to_numpy() for c in rows.columns}
             cell = rows[["table", "key"]].to_numpy()
             edges = np.concatenate([[0], np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1, [len(rows)]])
             out: list[tuple[int, int]] = []
@@ -339,30 +342,67 @@ def _per_cell(met: DataFrame, search: Callable[[dict[str, np.ndarray]], list[tup
     return dealt.mapInPandas(cells, "a long, b long").distinct()
 
 
+#: Pairs that are tested against one reading of their left text.
+_PER_LEFT = 64
+
+
 def _tested(pairs: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """`pairs` (`a`, `b`) with `similar`: whether the whole texts of `rows` reach the similarity."""
+    """`pairs` (`a`, `b`) with `similar`: whether the whole texts of `rows` reach the similarity.
+
+    The left text of a pair is that of the member with more pairs; it travels once per _PER_LEFT of them. A task holds one left text's shingles and one batch of rows.
+    """
     pairs = stage(pairs, "ties")
-    members = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("rep"))
+    members = stage(ends.groupBy("rep").agg(F.count("*").alias("n")), "tied")
     texts = rows.join(members, rows["doc_id"] == members["rep"], "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
-    texts = stage(texts, "tied-texts")
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), "a").join(
-        texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right")), "b").select("a", "b", "left", "right")
+    texts = stage(texts.select(F.col("doc_id").alias("rep"), whole_text(F.col("text")).cast("binary").alias("text")), "tied-texts")
+
+    sized = lambda end: members.select(F.col("rep").alias(end), F.col("n").alias(f"n_{end}"))
+    turned = pairs.join(sized("a"), "a").join(sized("b"), "b")
+    more = F.col("n_a") >= F.col("n_b")
+    turned = turned.select("a", "b", F.when(more, F.col("a")).otherwise(F.col("b")).alias("left"), F.when(more, F.col("b")).otherwise(F.col("a")).alias("right"), F.greatest("n_a", "n_b").alias("n"))
+    parts = stage(turned.withColumn("part", F.pmod(F.xxhash64("right"), F.ceil(F.col("n") / _PER_LEFT).cast("long"))).drop("n"), "tie-parts")
+    lefts = parts.select("left", "part").distinct().join(texts, F.col("left") == F.col("rep"))
+    rights = parts.join(texts, F.col("right") == F.col("rep"))
+    nothing = F.lit(None).cast("long")
+    both = lefts.select("left", "part", nothing.alias("a"), nothing.alias("b"), "text").union(rights.select("left", "part", "a", "b", "text"))
+    dealt = both.repartition("left", "part").sortWithinPartitions("left", "part", F.asc_nulls_first("a"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.zeros(0, np.uint64)
         for batch in batches:
-            texts = [[shingle_hashes((t or "").encode(), shingle) for t in batch.column(i).to_pylist()] for i in (2, 3)]
-            reached = pa.array([jaccard(x, y) >= similarity for x, y in zip(*texts)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), reached], names=["a", "b", "similar"])
+            a, b, texts = batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4)
+            found = []
+            for i in range(len(a)):
+                hashes = shingle_hashes(texts[i].as_py(), shingle)
+                if a[i] is None:
+                    known = hashes
+                else:
+                    found.append((a[i], b[i], jaccard(known, hashes) >= similarity))
+            columns = list(zip(*found)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "similar"])
+
+    return stage(dealt.mapInArrow(verify, "a long, b long, similar boolean"), "tested")
+
 
-    return stage(both.mapInArrow(verify, "a long, b long, similar boolean"), "tested")
+def _joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """`node`, `root` after more links (`a`, `b`): only roots are linked anew."""
+    end = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    between = links.join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    moved = stage(components(between, "a", "b"), "moved-roots").withColumnsRenamed({"node": "from", "root": "to"})
+    kept = roots.join(moved, roots["root"] == moved["from"], "left").select("node", F.coalesce("to", "root").alias("root"))
+    # Nodes that had no link before.
+    fresh = moved.join(roots, moved["from"] == roots["node"], "left_anti").select(F.col("from").alias("node"), F.col("to").alias("root"))
+    return stage(kept.union(fresh), "group-roots")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """`doc_id`, `component_id` (the smallest id reachable over texts that share at least `similarity` of their shingles).
 
     Texts with the same shingles are one class. Rows without id take no part. A pair is a candidate if it shares a key and HOPEFUL of the
-    minima; at 0.8 that misses it with a chance of 0.2^8 and 0.00003, and nothing is lost if others connect it. Candidates are
-    tested on the whole texts until none is left between two groups.
+    minima (a byte of each, which agree by chance in one case of 256); at 0.8 that misses it with a chance of 0.2^8 and 0.00004, and nothing is lost if others
+    connect it. Candidates are tested on the whole texts until none is left between two groups.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = stage(sketches(rows, "doc_id", "text", shingle), "sketches")
@@ -378,9 +418,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # A cell whose ties all hold is settled: they connect every hopeful pair of it. Elsewhere members of different groups
     # go on with their next best, more of them each time, until a round finds none.
+    roots = stage(components(tested.where("similar"), "a", "b"), "group-roots")
     last, wide = tested.where(~F.col("similar")), 4
     while True:
-        roots = components(tested.where("similar"), "a", "b")
         members = last.select(F.col("a").alias("rep")).union(last.select("b")).distinct()
         if members.isEmpty():
             break
@@ -390,6 +430,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         again = keyed.join(unsettled, ["table", "key"], "left_semi").join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(failed, "rep", "left")
         again = again.select("table", "key", "rep", "n", "minima", F.coalesce("root", "rep").alias("root"), "failed")
         last = _tested(_per_cell(again, lambda cell, wide=wide: _candidates(cell, similarity, wide)), rows, shingle, similarity)
+        if not last.where("similar").isEmpty():
+            roots = _joined_roots(roots, last.where("similar"))
         tested, wide = tested.union(last), wide * 4
 
     placed = classes.join(roots, classes["rep"] == roots["node"], "left").select("same", "copies", F.coalesce("root", "rep").alias("component_id"))
