@@ -40,7 +40,7 @@ ADDED = 1000.0
 FLOOR = 1e-8
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_SLOT_BITS = 21
+_SLOT_BITS = 18
 
 
 class Pieces:
@@ -58,27 +58,28 @@ class Pieces:
             for c in p:
                 h = ((h + ord(c) + 1) * int(_MIX)) & ((1 << 64) - 1)
             hashes[i] = h
-        assert len(np.unique(hashes)) == len(hashes)
+        assert len(np.unique(hashes)) == len(hashes) and hashes.all()
         # Open addressing with linear probing, filled once.
         self.slots = np.full(1 << _SLOT_BITS, -1, np.int32)
         self.keys = np.zeros(1 << _SLOT_BITS, np.uint64)
-        self.probes = 1
         for i, h in enumerate(hashes):
             at = int(h >> np.uint64(64 - _SLOT_BITS))
-            tries = 1
             while self.slots[at] >= 0:
                 at = (at + 1) % len(self.slots)
-                tries += 1
-            self.slots[at], self.keys[at], self.probes = i, h, max(self.probes, tries)
+            self.slots[at], self.keys[at] = i, h
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Piece numbers of the hashes, -1 where there is none."""
         out = np.full(hashes.shape, -1, np.int32)
         at = (hashes >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
-        for _ in range(self.probes):
-            hit = self.keys[at] == hashes
-            out[hit] = self.slots[at[hit]]
-            at = (at + 1) & (len(self.slots) - 1)
+        asked = np.arange(len(hashes))
+        while len(asked):
+            keys = self.keys.take(at)
+            hit = np.flatnonzero(keys == hashes[asked])
+            out[asked[hit]] = self.slots[at[hit]]
+            # An empty slot (key 0) ends the search.
+            more = np.flatnonzero((keys != 0) & (keys != hashes[asked]))
+            asked, at = asked[more], (at[more] + 1) & (len(self.slots) - 1)
         return out
 
     def arcs(self, codes: np.ndarray, lengths: np.ndarray) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
@@ -121,7 +122,7 @@ def _matrix(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def _by_length(words: list[str]) -> Iterator[list[int]]:
     """Indices of words of similar length, so that matrices have few empty cells."""
-    order = sorted(range(len(words)), key=lambda i: len(words[i]))
+    order = np.argsort(np.fromiter(map(len, words), np.int64, len(words)), kind="stable").tolist()
     for at in range(0, len(order), 8192):
         yield order[at: at + 8192]
 
@@ -134,7 +135,7 @@ def forward(words: list[str], pieces: Pieces, p: np.ndarray) -> np.ndarray:
         rows = [short[i] for i in part]
         codes, lengths = _matrix([words[i] for i in rows])
         alpha = _alpha(pieces.arcs(codes, lengths), len(rows), codes.shape[1], p)
-        out[rows] = np.log(alpha[np.arange(len(rows)), lengths])
+        out[rows] = np.log(alpha[lengths, np.arange(len(rows))])
     for i, w in enumerate(words):
         if len(w) > LONG:
             out[i] = forward_long(w, pieces, p)
@@ -142,11 +143,12 @@ def forward(words: list[str], pieces: Pieces, p: np.ndarray) -> np.ndarray:
 
 
 def _alpha(ending: list, n: int, width: int, p: np.ndarray) -> np.ndarray:
-    alpha = np.zeros((n, width + 1, p.shape[1]))
-    alpha[:, 0] = 1.0
+    """Forward sums by position, word and language."""
+    alpha = np.zeros((width + 1, n, p.shape[1]))
+    alpha[0] = 1.0
     for end in range(1, width + 1):
         for start, rows, found in ending[end]:
-            alpha[rows, end] += alpha[rows, start] * p[found]
+            alpha[end][rows] += alpha[start].take(rows, axis=0) * p.take(found, axis=0)
     return alpha
 
 
@@ -181,15 +183,15 @@ def expected(words: list[str], counts: np.ndarray, pieces: Pieces, p: np.ndarray
         n, width = len(rows), codes.shape[1]
         alpha = _alpha(ending, n, width, p)
         beta = np.zeros_like(alpha)
-        share = counts[rows] / alpha[np.arange(n), lengths]
-        beta[np.arange(n), lengths] = share
+        share = counts[rows] / alpha[lengths, np.arange(n)]
+        beta[lengths, np.arange(n)] = share
         numbers, amounts = [], []
         for end in range(width, 0, -1):
             for start, at, found in ending[end]:
-                passed = beta[at, end] * p[found]
+                passed = beta[end].take(at, axis=0) * p.take(found, axis=0)
                 numbers.append(found)
-                amounts.append(alpha[at, start] * passed)
-                beta[at, start] += passed
+                amounts.append(alpha[start].take(at, axis=0) * passed)
+                beta[start][at] += passed
         if numbers:
             number, amount = np.concatenate(numbers), np.concatenate(amounts)
             for k in range(p.shape[1]):
@@ -238,8 +240,10 @@ def train(labelled: DataFrame, model_path: str, rounds: int = ROUNDS) -> dict:
 
             def add():
                 words = list(set().union(*seen))
-                counts = np.array([[c[w] for c in seen] for w in words], np.float64).reshape(len(words), len(seen))
-                for c in seen:
+                row = {w: i for i, w in enumerate(words)}
+                counts = np.zeros((len(words), len(seen)))
+                for k, c in enumerate(seen):
+                    counts[np.fromiter(map(row.__getitem__, c), np.int64, len(c)), k] = np.fromiter(c.values(), np.float64, len(c))
                     c.clear()
                 out[...] += expected([MARK + w for w in words], counts, pieces, p)
 
@@ -266,12 +270,13 @@ def train(labelled: DataFrame, model_path: str, rounds: int = ROUNDS) -> dict:
 def predict(docs: DataFrame, model: dict, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`doc_id`, `lang_pred`, `score` (the probability of that language) of every whole text; no shuffle."""
     rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(F.col(text_col)).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, room = docs.sparkSession.sparkContext.broadcast(model), REMEMBERED_WORDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, model = _pieces(model_path), shared.value
         languages, p = model["languages"], model["p"]
-        known: dict[str, np.ndarray] = {}
+        known: dict[str, int] = {}  # word -> its row of `logs`
+        logs = np.zeros((room, len(languages)))
         for batch in batches:
             texts = batch.column(1).to_pylist()
             names, scores = [], []
@@ -282,18 +287,21 @@ def predict(docs: DataFrame, model: dict, model_path: str, id_col: str = "doc_id
                     split.append(texts[last].split())
                     chars += len(texts[last])
                     last += 1
-                fresh = list({w for words in split for w in words if w not in known})
-                if len(known) + len(fresh) > REMEMBERED_WORDS:
+                fresh = list(set().union(*split).difference(known))
+                if len(known) + len(fresh) > len(logs):
                     known.clear()
-                    fresh = list({w for words in split for w in words})
+                    fresh = list(set().union(*split))
+                    if len(fresh) > len(logs):  # one text with so many words
+                        logs = np.zeros((len(fresh), len(languages)))
                 if fresh and languages:
-                    known.update(zip(fresh, forward([MARK + w for w in fresh], pieces, p)))
+                    logs[len(known): len(known) + len(fresh)] = forward([MARK + w for w in fresh], pieces, p)
+                    known.update(zip(fresh, range(len(known), len(known) + len(fresh))))
                 for text, words in zip(texts[first:last], split):
                     if not languages or not any(c.isalpha() for c in text):
                         names.append(UNKNOWN)
                         scores.append(0.0)
                         continue
-                    total = np.log(model["prior"]) + np.sum(list(map(known.__getitem__, words)), axis=0)
+                    total = np.log(model["prior"]) + logs.take(np.fromiter(map(known.__getitem__, words), np.int64, len(words)), axis=0).sum(axis=0)
                     best = int(np.argmax(total))
                     names.append(languages[best])
                     scores.append(float(1.0 / np.exp(total - total[best]).sum()))

@@ -152,6 +152,36 @@ def test_expected_counts_are_derivatives():
         assert got[i, 0] == pytest.approx(change, abs=1e-3)
 
 
+def test_forward_sums_lie_by_position():
+    """A position's sums of all words lie side by side, which is what a step reads and writes."""
+    pieces = language_id._pieces(MODEL)
+    p = np.random.default_rng(2).dirichlet(np.ones(pieces.size), 3).T
+    some = ["▁the", "▁", "▁abcd", "▁éé"]
+    codes, lengths = language_id._matrix(some)
+    sums = language_id._alpha(pieces.arcs(codes, lengths), len(some), codes.shape[1], p)
+    assert sums.shape == (codes.shape[1] + 1, len(some), 3)
+    for i, word in enumerate(some):
+        assert sums[len(word), i] == pytest.approx(segmentations(word, pieces, p))
+
+
+def test_pieces_are_found_by_their_hashes():
+    """Every piece, behind others in the same slots too, and nothing else."""
+    pieces = language_id._pieces(MODEL)
+    filled = np.flatnonzero(pieces.slots >= 0)
+    assert (pieces.find(pieces.keys[filled]) == pieces.slots[filled]).all() and len(filled) == pieces.unknown
+    near = pieces.keys[filled] + np.uint64(1)
+    assert (pieces.find(near[~np.isin(near, pieces.keys)]) == -1).all()
+
+
+def test_more_words_than_are_remembered(spark, monkeypatch):
+    df = docs(spark, [*ODD, *random_texts(60, seed=31, vocabulary=500)])
+    key = lambda r: r["doc_id"]
+    model = language_id.train(df.where("text is not null").withColumn("lang", F.concat("lang", F.col("doc_id") % 3)), MODEL)
+    want = sorted(rows(language_id.predict(df, model, MODEL)), key=key)
+    monkeypatch.setattr(language_id, "REMEMBERED_WORDS", 40)
+    assert sorted(rows(language_id.predict(df, model, MODEL)), key=key) == want
+
+
 def test_languages(spark):
     rng = random.Random(0)
     makers = {"aa": ["ka", "lo", "ni", "ta"], "bb": ["sch", "ung", "er", "ein"], "cc": ["éau", "que", "oi", "ment"]}
