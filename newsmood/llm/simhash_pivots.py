@@ -191,10 +191,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 # ---- groups of similar texts ------------------------------------------------------------------------------------------------------
 #
-# At a similarity of 0.8 fingerprints differ in about ten bits, too many for cells of equal blocks and for pivots to discard anything.
-# So this is MinHash: cells are made of equal minima of shingle hashes, and two texts of that similarity share one of KEYS minima all
-# but surely. Fingerprints only help to tell classes of equal shingles apart. Inside a cell every member is tied to the
-# member that it agrees with most in MINIMA further minima; such ties are verified on the whole texts. Where one fails, the cell is
+# First the method above: fingerprints within RADIUS bits meet in the tables of pivots, and their links are verified on the whole texts.
+# At a similarity of 0.8 fingerprints differ in about ten bits, too many for those tables. What they cannot reach is completed with
+# MinHash: cells are made of equal minima of shingle hashes, and two texts of that similarity share one of KEYS minima all
+# but surely. Inside a cell every member is tied to the member that it agrees with most in MINIMA further minima, unless both are in one
+# group already; such ties are verified on the whole texts. Where one fails, the cell is
 # searched again for pairs between groups that are not tested yet, until there is none.
 
 KEYS, MINIMA = 8, 128
@@ -267,17 +268,18 @@ def _agreement(minima: np.ndarray, sizes: np.ndarray, others: np.ndarray, node:
 
 
 def _ties(cell: dict[str, np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Ties of one cell: every member with the reached member that it agrees with most, if that is hopeful."""
-    ids, sizes, minima = cell["rep"], cell["n"], cell["minima"]
+    """Ties of one cell: every member with the reached member that it agrees with most, if that is hopeful and of another group."""
+    ids, sizes, minima, root = cell["rep"], cell["n"], cell["minima"], cell["root"]
     left = np.arange(1, len(ids))
     best, tied = np.zeros(len(ids)), np.full(len(ids), -1)
     queue, links = [0], []
+    tie = lambda a, b: links.append((int(ids[a]), int(ids[b]))) if root[a] != root[b] else None
     while len(left):
         if not queue:
             # None is close: go on with the member that agrees most with those reached.
             node = left[np.argmax(best[left])]
             if tied[node] >= 0:
-                links.append((int(ids[tied[node]]), int(ids[node])))
+                tie(tied[node], node)
             left = left[left != node]
             queue.append(node)
             continue
@@ -286,7 +288,8 @@ def _ties(cell: dict[str, np.ndarray], similarity: float) -> list[tuple[int, int
         better = (agree > best[left]) & (agree >= HOPEFUL)
         best[left[better]], tied[left[better]] = agree[better], node
         close = left[agree >= CLOSE]
-        links += [(int(ids[node]), int(ids[i])) for i in close]
+        for i in close:
+            tie(node, i)
         queue += close.tolist()
         left = left[agree < CLOSE]
     return links
@@ -386,6 +389,20 @@ def _tested(pairs: DataFrame, rows: DataFrame, shingle: int, similarity: float)
     return stage(dealt.mapInArrow(verify, "a long, b long, similar boolean"), "tested")
 
 
+def _fingerprint_links(classes: DataFrame) -> DataFrame:
+    """Links `a` < `b` between classes (`rep`) whose fingerprints differ in at most RADIUS bits, by the tables of pivots.
+
+    Classes of one fingerprint are tied to the least of them, and that one to those of linked fingerprints.
+    """
+    nodes = stage(classes.groupBy(F.col("same.fp").alias("fp")).agg(F.min("rep").alias("least"), F.count("*").alias("n")), "fingerprint-nodes")
+    several = nodes.where("n > 1").select("fp", "least")
+    equal = classes.select(F.col("same.fp").alias("fp"), "rep").join(several, "fp").where("rep != least").select(F.col("least").alias("a"), F.col("rep").alias("b"))
+    end = lambda c: nodes.select(F.col("fp").alias(f"fp_{c}"), F.col("least").alias(c))
+    links = near_links(nodes).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b"))
+    between = links.join(end("a"), "fp_a").join(end("b"), "fp_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return equal.union(between).distinct()
+
+
 def _joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
     """`node`, `root` after more links (`a`, `b`): only roots are linked anew."""
     end = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
@@ -400,9 +417,9 @@ def _joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """`doc_id`, `component_id` (the smallest id reachable over texts that share at least `similarity` of their shingles).
 
-    Texts with the same shingles are one class. Rows without id take no part. A pair is a candidate if it shares a key and HOPEFUL of the
-    minima (a byte of each, which agree by chance in one case of 256); at 0.8 that misses it with a chance of 0.2^8 and 0.00004, and nothing is lost if others
-    connect it. Candidates are tested on the whole texts until none is left between two groups.
+    Texts with the same shingles are one class. Rows without id take no part. A pair is a candidate if its fingerprints meet in a table of pivots and differ in at most
+    RADIUS bits, or if it shares a key and HOPEFUL of the minima (a byte of each, which agree by chance in one case of 256); at 0.8 that misses it with a chance of
+    0.2^8 and 0.00004, and nothing is lost if others connect it. Candidates are tested on the whole texts until none is left between two groups.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = stage(sketches(rows, "doc_id", "text", shingle), "sketches")
@@ -411,15 +428,21 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = stage(tagged.groupBy("same").agg(
         F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("minima").alias("minima")), "classes")
 
+    tested = _tested(_fingerprint_links(classes), rows, shingle, similarity)
+    roots = stage(components(tested.where("similar"), "a", "b"), "group-roots")
+
     keyed = classes.select("rep", F.col("same.n").alias("n"), "minima", F.posexplode("keys").alias("table", "key"))
     shared = keyed.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1").select("table", "key")
-    met = keyed.join(shared, ["table", "key"])
-    tested = _tested(_per_cell(met, lambda cell: _ties(cell, similarity)), rows, shingle, similarity)
+    met = keyed.join(shared, ["table", "key"]).join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    met = met.select("table", "key", "rep", "n", "minima", F.coalesce("root", "rep").alias("root"))
+    ties = _tested(_per_cell(met, lambda cell: _ties(cell, similarity)), rows, shingle, similarity)
+    if not ties.where("similar").isEmpty():
+        roots = _joined_roots(roots, ties.where("similar"))
+    tested = tested.union(ties)
 
     # A cell whose ties all hold is settled: they connect every hopeful pair of it. Elsewhere members of different groups
     # go on with their next best, more of them each time, until a round finds none.
-    roots = stage(components(tested.where("similar"), "a", "b"), "group-roots")
-    last, wide = tested.where(~F.col("similar")), 4
+    last, wide = ties.where(~F.col("similar")), 4
     while True:
         members = last.select(F.col("a").alias("rep")).union(last.select("b")).distinct()
         if members.isEmpty():

@@ -121,6 +121,28 @@ def test_similar_groups(spark):
     assert kept.columns[-1] == "score" and simhash_pivots.keep_rows(docs(spark, [])).count() == 0
 
 
+def test_fingerprints_by_pivots_settle_groups(spark, monkeypatch):
+    """Similar texts within the fingerprints' radius are grouped by the tables of pivots alone; the cells of minima get only what those leave."""
+    rng = random.Random(29)
+    base = random_texts(12, seed=33, vocabulary=3000, length=(500, 900))
+    pairs = list(enumerate(base + [edited(t, rng, 1) for t in base for _ in range(3)], 1))
+    prints = {i: int(f) for i, f in simhash_pivots.sketches(docs(spark, pairs), "doc_id", "text", 5).select("doc_id", "fp").collect()}
+    near = {(a, b) for a in prints for b in prints if a < b and ((prints[a] ^ prints[b]) & (2**64 - 1)).bit_count() <= 3}
+    texts = dict(pairs)
+    assert near and all(plain_groups([(a, texts[a]), (b, texts[b])])[b] == a for a, b in near)
+    linked, per_cell, asked = roots(set(texts), near), simhash_pivots._per_cell, []
+
+    def recorded(met, search):
+        found = per_cell(met, search)
+        asked.extend((r["a"], r["b"]) for r in found.collect())
+        return found
+
+    monkeypatch.setattr(simhash_pivots, "_per_cell", recorded)
+    got = simhash_pivots.similar_groups(docs(spark, pairs)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == plain_groups(pairs)
+    assert len(set(linked.values())) < len(linked) and all(linked[a] != linked[b] for a, b in asked)
+
+
 def test_groups_with_pairs_on_both_sides_of_the_limit(spark):
     """A member whose best estimate fails on the whole texts still finds its other partners."""
     rng = random.Random(13)
