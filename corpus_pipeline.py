@@ -12,8 +12,19 @@ from newsmood.llm import exact_dedup, mixing, packing, simhash_pivots, toxicity
 from newsmood.llm.common import stage, table
 
 
+#: Bytes of whole texts that go to a Python worker at once, on both sides of the pipe; batches of 10 000 rows would hold tens of MB of text several times.
+BATCH_BYTES = 4 << 20
+
+
+def _bounded_batches(spark: SparkSession) -> None:
+    """Batches for Python are bounded by their bytes as well, unless the session has a bound of its own; rows are the same."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def clean(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that are not predicted toxic; the scorer learns from the labels of documents in `docs`."""
+    _bounded_batches(spark)
     return toxicity.keep_rows(docs, table(spark, folder, "labels"))
 
 
@@ -23,7 +34,11 @@ def exact(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Of each group of texts that share 0.8 or more of their five-word shingles, the row with the smallest id."""
+    """Of each group of texts that share 0.8 or more of their five-word shingles, the row with the smallest id.
+
+    SimHash fingerprints by tables of pivots, verified; then MinHash for pairs that lie outside the fingerprints' radius.
+    """
+    _bounded_batches(spark)
     return simhash_pivots.keep_rows(docs, shingle=5, similarity=0.8)
 
 
@@ -36,6 +51,7 @@ def pack(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Pieces of at most 2048 ids in sequences; `row` tells a document's repeats apart."""
     import public_tokenizers
 
+    _bounded_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -1,6 +1,7 @@
 """The pipeline's stages, and the registered queries, on the smallest tables."""
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 import __spark_entry__
@@ -45,3 +46,17 @@ def test_oracles(spark, name):
 def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14))
+
+
+def test_batches_of_texts_are_bounded_by_bytes(spark):
+    """A stage that hands whole texts to Python does so in batches of bounded bytes."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    corpus_pipeline.clean(spark, spark.read.parquet(f"{FOLDER}/documents.parquet"), FOLDER)
+    wide = spark.range(6000, numPartitions=1).selectExpr("id", "repeat('abcd', 1000) AS text")
+    sizes = wide.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches), "n long").collect()
+    assert max(r["n"] for r in sizes) <= 1.1 * corpus_pipeline.BATCH_BYTES and len(sizes) > 4
+    spark.conf.set(name, 1 << 20)
+    corpus_pipeline._bounded_batches(spark)
+    assert spark.conf.get(name) == str(1 << 20)
+    spark.conf.unset(name)
