@@ -195,8 +195,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 # At a similarity of 0.8 fingerprints differ in about ten bits, too many for those tables. What they cannot reach is completed with
 # MinHash: cells are made of equal minima of shingle hashes, and two texts of that similarity share one of KEYS minima all
 # but surely. Inside a cell every member is tied to the member that it agrees with most in MINIMA further minima, unless both are in one
-# group already; such ties are verified on the whole texts. Where one fails, the cell is
-# searched again for pairs between groups that are not tested yet, until there is none.
+# group already; such ties are verified on the whole texts. Groups with a failed tie between them make a family, and the whole texts of a
+# family are compared between its groups. That is done in blocks of bounded size which give the links of a spanning forest, so no pair
+# becomes a row.
 
 KEYS, MINIMA = 8, 128
 #: A tie is verified if at least this share of the minima agree; from CLOSE on the search takes it for certain at first.
@@ -295,24 +296,6 @@ def _ties(cell: dict[str, np.ndarray], similarity: float) -> list[tuple[int, int
     return links
 
 
-def _candidates(cell: dict[str, np.ndarray], similarity: float, wide: int) -> list[tuple[int, int]]:
-    """Pairs of one cell that are hopeful, not tested and between groups: every member with its `wide` best of larger groups."""
-    ids, sizes, minima = cell["rep"], cell["n"], cell["minima"]
-    _, group, members = np.unique(cell["root"], return_inverse=True, return_counts=True)
-    place = np.empty(len(members), np.int64)
-    place[np.argsort(members, kind="stable")] = np.arange(len(members))
-    place, pairs = place[group], []
-    for node in np.flatnonzero(place < len(members) - 1):
-        others = np.flatnonzero(place > place[node])
-        agree = _agreement(minima, sizes, others, node, similarity)
-        if cell["failed"][node] is not None:
-            agree[np.isin(ids[others], cell["failed"][node])] = 0
-        hopeful = np.flatnonzero(agree >= HOPEFUL)
-        hopeful = hopeful[np.argsort(-agree[hopeful], kind="stable")[:wide]]
-        pairs += [(int(ids[node]), int(ids[i])) for i in others[hopeful]]
-    return pairs
-
-
 def _per_cell(met: DataFrame, search: Callable[[dict[str, np.ndarray]], list[tuple[int, int]]]) -> DataFrame:
     """The different pairs `a` < `b` that `search` names in the cells (rows of equal `table` and `key`, two at least) of `met`."""
 
@@ -345,6 +328,12 @@ def _per_cell(met: DataFrame, search: Callable[[dict[str, np.ndarray]], list[tup
     return dealt.mapInPandas(cells, "a long, b long").distinct()
 
 
+def _whole_texts(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """`rep`, `text` (bytes) of the ids in `members`."""
+    texts = rows.join(members, rows["doc_id"] == members["rep"], "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
+    return stage(texts.select(F.col("doc_id").alias("rep"), whole_text(F.col("text")).cast("binary").alias("text")), "tied-texts")
+
+
 #: Pairs that are tested against one reading of their left text.
 _PER_LEFT = 64
 
@@ -357,9 +346,7 @@ def _tested(pairs: DataFrame, rows: DataFrame, shingle: int, similarity: float)
     pairs = stage(pairs, "ties")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("rep"))
     members = stage(ends.groupBy("rep").agg(F.count("*").alias("n")), "tied")
-    texts = rows.join(members, rows["doc_id"] == members["rep"], "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
-    texts = stage(texts.select(F.col("doc_id").alias("rep"), whole_text(F.col("text")).cast("binary").alias("text")), "tied-texts")
-
+    texts = _whole_texts(rows, members)
     sized = lambda end: members.select(F.col("rep").alias(end), F.col("n").alias(f"n_{end}"))
     turned = pairs.join(sized("a"), "a").join(sized("b"), "b")
     more = F.col("n_a") >= F.col("n_b")
@@ -389,6 +376,90 @@ def _tested(pairs: DataFrame, rows: DataFrame, shingle: int, similarity: float)
     return stage(dealt.mapInArrow(verify, "a long, b long, similar boolean"), "tested")
 
 
+#: A part of a family holds about so many texts and shingles; two parts are compared at once.
+PART_ROWS, PART_SHINGLES = 1024, 1 << 18
+
+
+def _block_links(sets: list[np.ndarray], roots: np.ndarray, side: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links of a spanning forest between the groups `roots` of a block's members, given as `sets` of shingles.
+
+    Members of different sides are compared; if there is one side only, all are. Each is compared only with members of groups not yet reached.
+    """
+    across = side.min() != side.max()
+    names, group = np.unique(roots, return_inverse=True)
+    sizes = np.array([len(x) for x in sets])
+    # Shingles of two members or more as bits.
+    _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = times > 1
+    bit = (np.cumsum(often) - 1)[place][often[place]].astype(np.uint64)
+    row = np.repeat(np.arange(len(sets)), sizes)[often[place]]
+    bits = np.zeros((len(sets), int(often.sum()) // 64 + 1), np.uint64)
+    np.bitwise_or.at(bits, (row, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
+
+    unreached, links = np.ones(len(sets), bool), []
+    order = np.argsort(group, kind="stable")
+    members = np.split(order, np.cumsum(np.bincount(group))[:-1])
+    for first in range(len(names)):
+        if not unreached[members[first][0]]:
+            continue
+        unreached[members[first]] = False
+        front = members[first].tolist()
+        while front:
+            node = front.pop()
+            others = np.flatnonzero(unreached & (side != side[node]) if across else unreached)
+            small, large = np.minimum(sizes[others], sizes[node]), np.maximum(sizes[others], sizes[node])
+            others = others[small >= similarity * large - 1]  # one to spare for rounding
+            both = np.bitwise_count(bits[others] & bits[node]).sum(axis=1, dtype=np.int64)
+            every = sizes[others] + sizes[node] - both
+            # As in `jaccard`: two texts without words are equal.
+            similar = np.where(every > 0, both / np.maximum(every, 1), 1.0) >= similarity
+            for found in np.unique(group[others[similar]]).tolist():
+                links.append((int(roots[node]), int(names[found])))
+                unreached[members[found]] = False
+                front += members[found].tolist()
+    return links
+
+
+def _family_links(members: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links `a`, `b` between the groups (`root`) of each `family` in `members` (`rep`, `n`, `root`, `family`): all that their whole texts give.
+
+    A family is dealt at random over parts of about PART_ROWS texts, and every two parts, or one with itself, are a block; a task holds the shingles of one block.
+    """
+    members = stage(members.groupBy("rep").agg(*(F.max(c).alias(c) for c in ("n", "root", "family"))), "family-members")
+    parts = F.ceil(F.greatest(F.count("*") / PART_ROWS, F.sum("n") / PART_SHINGLES)).cast("int")
+    families = stage(members.groupBy("family").agg(F.count("*").alias("texts"), parts.alias("parts")), "families")
+    placed = join_groups(members, families, "family", "texts", members.count()).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    blocks = placed.join(_whole_texts(rows, members), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    blocks = blocks.select("family", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "root", "text")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: tuple | None = None
+        sets: list[np.ndarray] = []
+        roots: list[int] = []
+        side: list[int] = []
+
+        def links() -> pa.RecordBatch:
+            found = _block_links(sets, np.array(roots, np.int64), np.array(side), similarity) if sets and (block[1] == block[2] or side[0] != side[-1]) else []
+            pairs = np.array(found, np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+        for batch in batches:
+            family, i, j, part, root = (batch.column(c).to_pylist() for c in range(5))
+            for k, here in enumerate(zip(family, i, j)):
+                if here != block:
+                    if sets:
+                        yield links()
+                    block, sets, roots, side = here, [], [], []
+                sets.append(shingle_hashes(batch.column(5)[k].as_py(), shingle))
+                roots.append(root[k])
+                side.append(part[k])
+        if sets:
+            yield links()
+
+    dealt = blocks.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "part")
+    return stage(dealt.mapInArrow(search, "a long, b long"), "family-links")
+
+
 def _fingerprint_links(classes: DataFrame) -> DataFrame:
     """Links `a` < `b` between classes (`rep`) whose fingerprints differ in at most RADIUS bits, by the tables of pivots.
 
@@ -419,7 +490,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Texts with the same shingles are one class. Rows without id take no part. A pair is a candidate if its fingerprints meet in a table of pivots and differ in at most
     RADIUS bits, or if it shares a key and HOPEFUL of the minima (a byte of each, which agree by chance in one case of 256); at 0.8 that misses it with a chance of
-    0.2^8 and 0.00004, and nothing is lost if others connect it. Candidates are tested on the whole texts until none is left between two groups.
+    0.2^8 and 0.00004, and nothing is lost if others connect it. Ties that connect all candidates are tested on the whole texts; where one fails, all texts of the groups
+    that such ties join are compared.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = stage(sketches(rows, "doc_id", "text", shingle), "sketches")
@@ -431,31 +503,25 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tested = _tested(_fingerprint_links(classes), rows, shingle, similarity)
     roots = stage(components(tested.where("similar"), "a", "b"), "group-roots")
 
-    keyed = classes.select("rep", F.col("same.n").alias("n"), "minima", F.posexplode("keys").alias("table", "key"))
+    # Only members of cells that others share take their minima along.
+    keyed = classes.select("same", F.posexplode("keys").alias("table", "key"))
     shared = keyed.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1").select("table", "key")
-    met = keyed.join(shared, ["table", "key"]).join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    met = met.select("table", "key", "rep", "n", "minima", F.coalesce("root", "rep").alias("root"))
+    met = keyed.join(shared, ["table", "key"]).join(classes.select("same", "rep", "minima"), "same").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    met = met.select("table", "key", "rep", F.col("same.n").alias("n"), "minima", F.coalesce("root", "rep").alias("root"))
     ties = _tested(_per_cell(met, lambda cell: _ties(cell, similarity)), rows, shingle, similarity)
     if not ties.where("similar").isEmpty():
         roots = _joined_roots(roots, ties.where("similar"))
-    tested = tested.union(ties)
-
-    # A cell whose ties all hold is settled: they connect every hopeful pair of it. Elsewhere members of different groups
-    # go on with their next best, more of them each time, until a round finds none.
-    last, wide = ties.where(~F.col("similar")), 4
-    while True:
-        members = last.select(F.col("a").alias("rep")).union(last.select("b")).distinct()
-        if members.isEmpty():
-            break
-        unsettled = keyed.join(members, "rep", "left_semi").select("table", "key").distinct()
-        failed = tested.where(~F.col("similar"))
-        failed = failed.select(F.col("a").alias("rep"), "b").union(failed.select("b", "a")).groupBy("rep").agg(F.collect_list("b").alias("failed"))
-        again = keyed.join(unsettled, ["table", "key"], "left_semi").join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(failed, "rep", "left")
-        again = again.select("table", "key", "rep", "n", "minima", F.coalesce("root", "rep").alias("root"), "failed")
-        last = _tested(_per_cell(again, lambda cell, wide=wide: _candidates(cell, similarity, wide)), rows, shingle, similarity)
-        if not last.where("similar").isEmpty():
-            roots = _joined_roots(roots, last.where("similar"))
-        tested, wide = tested.union(last), wide * 4
+
+    # Ties connect every hopeful pair of a cell. So groups without a failed tie to another are settled, and hopeful pairs between others lie within the
+    # families that such ties make.
+    end = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    failed = ties.where(~F.col("similar")).join(end("a"), "a", "left").join(end("b"), "b", "left")
+    families = components(failed.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")), "a", "b")
+    families = stage(families.select(F.col("node").alias("root"), F.col("root").alias("family")), "group-families")
+    if not families.isEmpty():
+        grouped = classes.select("rep", F.col("same.n").alias("n")).join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+        members = grouped.select("rep", "n", F.coalesce("root", "rep").alias("root")).join(families, "root")
+        roots = _joined_roots(roots, _family_links(members, rows, shingle, similarity))
 
     placed = classes.join(roots, classes["rep"] == roots["node"], "left").select("same", "copies", F.coalesce("root", "rep").alias("component_id"))
     groups = stage(placed, "groups")

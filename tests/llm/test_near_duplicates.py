@@ -157,6 +157,44 @@ def test_groups_with_pairs_on_both_sides_of_the_limit(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
+def test_work_on_a_large_group_grows_with_its_size(spark, monkeypatch):
+    """Of a group of near copies on both sides of the limit few pairs become rows; its parts are compared in blocks that lose no link."""
+    rng = random.Random(41)
+    (base,) = random_texts(1, seed=45, vocabulary=3000, length=(200, 200))
+    pairs = list(enumerate([edited(base, rng, rng.randint(1, 5)) for _ in range(160)] + ["", "some other words", None], 1))
+    asked, tested = [], simhash_pivots._tested
+
+    def recorded(ties, *more):
+        asked.append(ties.count())
+        return tested(ties, *more)
+
+    monkeypatch.setattr(simhash_pivots, "_tested", recorded)
+    got = simhash_pivots.similar_groups(docs(spark, pairs)).collect()
+    want = plain_groups(pairs)
+    assert 10 < len(set(want.values())) < 150
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+    assert sum(asked) < 8 * len(pairs)
+
+    monkeypatch.setattr(simhash_pivots, "PART_ROWS", 40)
+    got = simhash_pivots.similar_groups(docs(spark, pairs)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+@pytest.mark.parametrize("across", [False, True])
+def test_links_of_a_block(across):
+    """A block of one part, and of two parts whose members are compared with the other part only."""
+    rng = random.Random(17)
+    base = [rng.getrandbits(64) for _ in range(150)]
+    sets = [np.unique(np.array(rng.sample(base, rng.randint(110, 150)) + [rng.getrandbits(64)], np.uint64)) for _ in range(60)] + [np.zeros(0, np.uint64)] * 2
+    groups, side = np.array([5 * i // 2 for i in range(62)]), np.array([i % 2 if across else 0 for i in range(62)])
+    linked = [(int(groups[i]), int(groups[k])) for i in range(62) for k in range(i)
+              if (side[i] != side[k] or not across) and simhash_pivots.jaccard(sets[i], sets[k]) >= 0.8]
+    got = simhash_pivots._block_links(sets, groups, side, 0.8)
+    nodes = set(groups.tolist())
+    assert roots(nodes, got) == roots(nodes, linked) and 1 < len(set(roots(nodes, linked).values())) < len(nodes)
+    assert len(got) < len(nodes)
+
+
 def test_levels_grow_geometrically():
     rng = np.random.default_rng(1)
     family, want = chunks.Levels(), Counter()
